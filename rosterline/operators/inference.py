@@ -48,10 +48,10 @@ def header_type(column: str) -> str | None:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column: number of non-empty values and of matches per type."""
+    """One row per column: number of rows, of non-empty values and of matches per type."""
     columns = columns or df.columns
     values = df.select(*[normalize(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(columns)])
-    counts: list[Column] = []
+    counts: list[Column] = [F.count(F.lit(1)).alias("records")]
     for i, _ in enumerate(columns):
         value = F.col(f"v{i}")
         counts.append(F.count_if(value != "").alias(f"v{i}_non_empty"))
@@ -61,6 +61,7 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             F.lit(i).alias("ordinal"),
             F.lit(c).alias("column"),
             F.lit(header_type(c)).cast("string").alias("header_type"),
+            F.col("records"),
             F.col(f"v{i}_non_empty").alias("non_empty"),
             *[F.col(f"v{i}_{'firstName' if k == 'lastName' else k}").alias(k) for k in CHECKS],
         )

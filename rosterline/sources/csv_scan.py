@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from rosterline.functions.text import base_name, extension
 from rosterline.functions.validators import normalize
-from rosterline.operators.inference import infer_types
+from rosterline.operators.inference import decide, infer_types, value_counts
 
 CORRUPT = "_corrupt_record"
 
@@ -72,10 +72,15 @@ def scan(spark: SparkSession, path: str | list[str], multi_line: bool = False) -
 
 
 def ingest_report(scanned: CsvScan, sample_rows: int | None = None, order_by: list[str] | None = None) -> DataFrame:
-    """Row total and, per column, the inferred type; one row per column."""
-    types = infer_types(scanned.rows, scanned.columns, sample_rows, order_by)
-    total = scanned.rows.agg(F.count(F.lit(1))).scalar()
-    return types.select(total.alias("total_rows"), "ordinal", "column", "non_empty", "inferred_type")
+    """Row total and, per column, the inferred type; one row per column.
+
+    Totals always come from all rows; ``sample_rows`` only limits what the types are inferred from.
+    """
+    report = decide(value_counts(scanned.rows, scanned.columns)).withColumnRenamed("records", "total_rows")
+    if sample_rows is not None:
+        types = infer_types(scanned.rows, scanned.columns, sample_rows, order_by)
+        report = report.drop("inferred_type").join(types.select("ordinal", "inferred_type"), "ordinal")
+    return report.select("total_rows", "ordinal", "column", "non_empty", "inferred_type")
 
 
 def preview(rows: DataFrame, order_by: list[str], n: int = PREVIEW_ROWS) -> DataFrame:

@@ -32,10 +32,20 @@ def opted_in(df: DataFrame, consent: str = CONSENT) -> DataFrame:
 def outcome(df: DataFrame, consent: str = CONSENT) -> DataFrame:
     """One row: ``not_found`` without records, ``empty`` without a consenting one, else ``ok``."""
     agreed = F.count_if(F.col(consent)) if consent in df.columns else F.lit(0).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("records"), agreed.alias("exported")).withColumn(
-        "status",
-        F.when(F.col("records") == 0, "not_found").when(F.col("exported") == 0, "empty").otherwise("ok"),
-    )
+    return _with_status(df.agg(F.count(F.lit(1)).alias("records"), agreed.alias("exported")))
+
+
+def outcomes(companies: DataFrame, df: DataFrame, consent: str = CONSENT) -> DataFrame:
+    """:func:`outcome` for every company at once, also for those without any record."""
+    agreed = F.count_if(F.col(consent)) if consent in df.columns else F.lit(0).cast("long")
+    counted = df.groupBy("company_id").agg(F.count(F.lit(1)).alias("records"), agreed.alias("exported"))
+    joined = companies.select("company_id").join(counted, "company_id", "left")
+    return _with_status(joined.fillna(0, ["records", "exported"]))
+
+
+def _with_status(counted: DataFrame) -> DataFrame:
+    status = F.when(F.col("records") == 0, "not_found").when(F.col("exported") == 0, "empty").otherwise("ok")
+    return counted.withColumn("status", status)
 
 
 def _cell(name: str, kind: str) -> Column:
