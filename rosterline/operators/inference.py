@@ -48,26 +48,48 @@ def header_type(column: str) -> str | None:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column: number of rows, of non-empty values and of matches per type."""
+    """One row per column: number of rows, of non-empty values and of matches per type.
+
+    The cells of a row are unfolded and counted per column position. That keeps the plan small for
+    any number of columns, and each task sends on one row per column.
+    """
     columns = columns or df.columns
-    values = df.select(*[normalize(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(columns)])
-    counts: list[Column] = [F.count(F.lit(1)).alias("records")]
-    for i, _ in enumerate(columns):
-        value = F.col(f"v{i}")
-        counts.append(F.count_if(value != "").alias(f"v{i}_non_empty"))
-        counts += [F.count_if(CHECKS[kind](value)).alias(f"v{i}_{kind}") for kind in COUNTED]
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("ordinal"), normalize(F.col(f"`{c}`")).alias("value"))
+            for i, c in enumerate(columns)
+        ]
+    )
+    value = F.col("value")
+    counted = (
+        df.select(F.inline(cells))
+        .groupBy("ordinal")
+        .agg(
+            F.count(F.lit(1)).alias("records"),
+            F.count_if(value != "").alias("non_empty"),
+            *[F.count_if(CHECKS[kind](value)).alias(kind) for kind in COUNTED],
+        )
+    )
+    # one entry per column; a table without rows still reports every column
+    by_position = counted.agg(
+        F.map_from_entries(F.collect_list(F.struct("ordinal", F.struct("records", "non_empty", *COUNTED)))).alias("m")
+    )
+
+    def found(i: int, name: str) -> Column:
+        return F.coalesce(F.try_element_at("m", F.lit(i))[name], F.lit(0)).alias(name)
+
     report = [
         F.struct(
             F.lit(i).alias("ordinal"),
             F.lit(c).alias("column"),
             F.lit(header_type(c)).cast("string").alias("header_type"),
-            F.col("records"),
-            F.col(f"v{i}_non_empty").alias("non_empty"),
-            *[F.col(f"v{i}_{'firstName' if k == 'lastName' else k}").alias(k) for k in CHECKS],
+            found(i, "records"),
+            found(i, "non_empty"),
+            *[found(i, kind) for kind in COUNTED],
         )
         for i, c in enumerate(columns)
     ]
-    return values.agg(*counts).select(F.inline(F.array(*report)))
+    return by_position.select(F.inline(F.array(*report))).withColumn("lastName", F.col("firstName"))
 
 
 def decide(counts: DataFrame) -> DataFrame:

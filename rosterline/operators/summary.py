@@ -91,6 +91,15 @@ def quality_trend(uploads: DataFrame, last: int = 5) -> DataFrame:
     return newest.orderBy("created_at", "upload_id")
 
 
+def analytics_cards(uploads: DataFrame, flags: DataFrame) -> DataFrame:
+    """One row: rows in total, mean quality over uploads with a score, and open flags."""
+    open_flags = flags.agg(F.count_if(~F.coalesce("resolved", F.lit(False)))).scalar()
+    return uploads.agg(
+        F.coalesce(F.sum("total_rows"), F.lit(0)).alias("total_records"),
+        F.coalesce(F.bround(F.avg("health_score"), 1), F.lit(0.0)).alias("mean_quality"),
+    ).withColumn("open_flags", open_flags)
+
+
 def platform_rollup(companies: DataFrame) -> DataFrame:
     return companies.agg(
         F.count(F.lit(1)).alias("orgs"),

@@ -21,7 +21,7 @@ def _quoted(words: tuple[str, ...]) -> str:
 
 
 def _literal(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
+    return "'" + pattern.replace("'", "''").replace("++", "+") + "'"
 
 
 NORMAL = "trim(coalesce(CAST({c} AS VARCHAR), ''), chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(160))"
