@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rosterline.functions.validators import SPACE_CLASS
+# Fixed value: the white space that separates words. Plain characters are taken first, in one run.
+WORD_PATTERN = (
+    r"(?:[!-~]++|[^\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}])++"
+)
 
 
 def first_filled(*values: Column) -> Column:
@@ -37,8 +40,8 @@ def initials(name: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    words = F.split(text, rf"[{SPACE_CLASS}]+")
-    return F.size(F.filter(words, lambda w: w != "")).cast("long")
+    """Number of runs without white space."""
+    return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
 
 
 def clean_list_file_name(source_file: Column, day: Column) -> Column:

@@ -38,14 +38,8 @@ NPI_PREFIX = "80840"
 
 
 def normalize(value: Column) -> Column:
-    """NULL and NaN become the empty string; anything else is text without outer white space.
-
-    Text that starts and ends with a printable ASCII character is kept as it is without a search.
-    """
-    text = value.cast("string")
-    bare = F.substring(text, 1, 1).between("!", "~") & F.substring(text, -1, 1).between("!", "~")
-    stripped = F.btrim(text, F.lit(SPACES))
-    return F.when(text.isNull() | (text == "NaN"), "").when(bare, text).otherwise(stripped)
+    """NULL becomes the empty string; anything else is text without outer white space."""
+    return F.btrim(F.coalesce(value.cast("string"), F.lit("")), F.lit(SPACES))
 
 
 def is_blank(value: Column) -> Column:

@@ -48,11 +48,9 @@ def scan(df: DataFrame, text: str, keys: list[str], lexicon: tuple[Phrase, ...]
     The phrases are a reviewed list in code, so they travel inside the expression; no join is needed
     and texts without a phrase produce nothing.
     """
-    lowered = F.lower(F.col(text))
-    phrases = F.array(*[_literal(p) for p in lexicon])
-    lowered_text = df.select(*keys, lowered.alias("_text"))
-    hits = F.filter(phrases, lambda p: F.col("_text").contains(F.lower(p["phrase"])))
-    return lowered_text.select(*keys, F.inline(hits))
+    lowered = df.select(*keys, F.lower(F.col(text)).alias("_text"))
+    hits = [F.when(F.col("_text").contains(p.phrase.lower()), _literal(p)) for p in lexicon]
+    return lowered.select(*keys, F.inline(F.array_compact(F.array(*hits))))
 
 
 def counts(flags: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.bands import half_up, similarity_band
-from rosterline.functions.validators import normalize
-from rosterline.operators.skew import skewed_join
+from rosterline.functions.validators import is_blank, normalize
+from rosterline.operators.skew import heavy_keys, skewed_join
 
 # Fields that make up the similarity, and those shown side by side.
 SCORED = ("npi", "first_name", "last_name", "specialty", "state", "email", "phone", "address")
@@ -23,36 +23,38 @@ def duplicate_pairs(
     of its records, so a placeholder number shared by very many records stays linear. Records with a
     blank block key have no duplicates.
     """
-    content = F.struct(*fields)
-    named = records.where(~(normalize(F.col(block)) == "")).select(
-        F.col(block).alias("_block"), F.col(key).alias("rec2"), content.alias("b")
+    named = records.where(~is_blank(F.col(block))).select(
+        F.col(block).alias("_block"), F.col(key).alias("rec2"), F.struct(*fields).alias("b")
     )
-    first = (
-        named.groupBy("_block")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rec2", "b")).alias("first"))
-        .where("n > 1")
-        .select("_block", F.col("first.rec2").alias("rec1"), F.col("first.b").alias("a"))
-    )
-    return (
-        skewed_join(named, first, ["_block"], ["rec2"])
-        .where(F.col("rec1") != F.col("rec2"))
-        .select(F.col("_block").alias("block"), "rec1", "rec2", "a", "b")
+    heavy = heavy_keys(named, ["_block"])
+    # only numbers go through this shuffle; blocks of one record are left behind here
+    blocks = named.groupBy("_block").agg(F.count(F.lit(1)).alias("n"), F.min("rec2").alias("rec1")).where("n > 1")
+    members = skewed_join(named, blocks.drop("n"), ["_block"], ["rec2"], heavy=heavy)
+    first = members.where("rec1 = rec2").select("_block", F.col("b").alias("a"))
+    others = members.where("rec1 <> rec2")
+    return skewed_join(others, first, ["_block"], ["rec2"], heavy=heavy).select(
+        F.col("_block").alias("block"), "rec1", "rec2", "a", "b"
     )
 
 
-def field_similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length, on lower-cased text; two blanks are equal."""
-    left, right = F.lower(normalize(a)), F.lower(normalize(b))
-    longest = F.greatest(F.char_length(left), F.char_length(right))
-    distance = F.levenshtein(left, right)
-    return F.when(left == right, 1.0).otherwise(1 - F.try_divide(distance, longest))
+def with_similarity(pairs: DataFrame, fields: tuple[str, ...] = SCORED) -> DataFrame:
+    """Add the mean field similarity as 0-100 and its band.
 
+    The similarity of a field is 1 - edit distance / longer length on lower-cased text.
+    """
+    lowered = {f"_{s}_{f}": F.lower(normalize(F.col(f"{s}.{f}"))) for f in fields for s in "ab"}
 
-def with_similarity(pairs: DataFrame, fields: tuple[str, ...] = SCORED) -> DataFrame:
-    """Add the mean field similarity as 0-100 and its band."""
-    total = sum((field_similarity(F.col(f"a.{f}"), F.col(f"b.{f}")) for f in fields), F.lit(0.0))
-    return pairs.withColumn("similarity", half_up(total / len(fields) * 100)).withColumn(
-        "band", similarity_band(F.col("similarity"))
+    def similar(field: str) -> Column:
+        a, b = F.col(f"_a_{field}"), F.col(f"_b_{field}")
+        longest = F.greatest(F.char_length(a), F.char_length(b))
+        return F.when(a == b, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+
+    total = sum((similar(f) for f in fields), F.lit(0.0))
+    return (
+        pairs.withColumns(lowered)
+        .withColumn("similarity", half_up(total / len(fields) * 100))
+        .withColumn("band", similarity_band(F.col("similarity")))
+        .select(*pairs.columns, "similarity", "band")
     )
 
 

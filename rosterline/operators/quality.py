@@ -16,7 +16,10 @@ STATES = ("complete", "partial", "invalid", "missing")
 
 @dataclass(frozen=True)
 class FieldRule:
-    """How a cell of one field is judged; ``full`` is the length below which it is only partial."""
+    """How a cell of one field is judged; ``full`` is the length below which it is only partial.
+
+    One rule per column.
+    """
 
     field: str
     column: str
@@ -39,45 +42,56 @@ FIELD_RULES = (
 )
 
 
-def cell_status(rule: FieldRule) -> Column:
-    """missing, then invalid, then partial, else complete."""
-    value = v.normalize(F.col(rule.column))
+def _normalized(df: DataFrame, rules: tuple[FieldRule, ...]) -> DataFrame:
+    """Add the normalised value of every judged column once, for all conditions on it."""
+    return df.withColumns({f"_{r.column}": v.normalize(F.col(r.column)) for r in rules})
+
+
+def _status(rule: FieldRule) -> Column:
+    """missing, then invalid, then partial, else complete; reads the normalised value."""
+    value = F.col(f"_{rule.column}")
     status = F.when(value == "", "missing")
     if rule.valid is not None:
         status = status.when(~rule.valid(value), "invalid")
     return status.when(F.char_length(value) < rule.full, "partial").otherwise("complete")
 
 
-def cells(df: DataFrame, rules: tuple[FieldRule, ...] = FIELD_RULES) -> DataFrame:
-    """Add ``cells``, one ``(field, status)`` struct per rule."""
-    return df.withColumn(
-        "cells",
-        F.array(*[F.struct(F.lit(r.field).alias("field"), cell_status(r).alias("status")) for r in rules]),
-    )
-
+def _shown(rules: tuple[FieldRule, ...], fields: list[str] | None) -> list[FieldRule]:
+    return [r for r in rules if fields is None or r.field in fields]
 
-def _visible(fields: list[str] | None) -> Column:
-    if fields is None:
-        return F.col("cells")
-    return F.filter("cells", lambda c: c["field"].isin(*fields))
 
+def cells(
+    df: DataFrame,
+    rules: tuple[FieldRule, ...] = FIELD_RULES,
+    fields: list[str] | None = None,
+    status: str | None = None,
+) -> DataFrame:
+    """The heatmap: records with ``cells``, one ``(field, status)`` struct per shown field.
 
-def filter_heatmap(df: DataFrame, status: str | None = None, fields: list[str] | None = None) -> DataFrame:
-    """Rows of :func:`cells` narrowed to some fields, kept if a visible cell has the status."""
-    shown = df.withColumn("cells", _visible(fields))
-    return shown if status is None else shown.where(F.exists("cells", lambda c: c["status"] == status))
+    ``fields`` narrows the shown fields; with a ``status`` only records with such a cell among them stay.
+    """
+    shown = _shown(rules, fields)
+    judged = _normalized(df, tuple(shown)).withColumn(
+        "cells", F.array(*[F.struct(F.lit(r.field).alias("field"), _status(r).alias("status")) for r in shown])
+    )
+    if status is not None:
+        judged = judged.where(F.array_contains("cells.status", status))
+    return judged.select(*df.columns, "cells")
 
 
-def record_health(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """Add ``health``, the rounded percentage of complete visible cells. No shuffle."""
-    visible = _visible(fields)
-    complete = F.size(F.filter(visible, lambda c: c["status"] == "complete"))
-    return df.withColumn("health", half_up(F.try_divide(complete, F.size(visible)) * 100))
+def record_health(
+    df: DataFrame, rules: tuple[FieldRule, ...] = FIELD_RULES, fields: list[str] | None = None
+) -> DataFrame:
+    """Add ``health``, the rounded percentage of complete cells among the shown fields. No shuffle."""
+    shown = _shown(rules, fields)
+    complete = sum((F.when(_status(r) == "complete", 1).otherwise(0) for r in shown), F.lit(0))
+    health = half_up(F.try_divide(complete, F.lit(len(shown))) * 100)
+    return _normalized(df, tuple(shown)).withColumn("health", health).select(*df.columns, "health")
 
 
 def field_health(df: DataFrame, rules: tuple[FieldRule, ...] = FIELD_RULES) -> DataFrame:
     """Per field: counts and percentages of the four states, from one aggregate over one scan."""
-    judged = df.select(*[cell_status(r).alias(f"s{i}") for i, r in enumerate(rules)])
+    judged = _normalized(df, rules).select(*[_status(r).alias(f"s{i}") for i, r in enumerate(rules)])
     totals = judged.agg(
         F.count(F.lit(1)).alias("records"),
         *[F.count_if(F.col(f"s{i}") == s).alias(f"s{i}_{s}") for i, _ in enumerate(rules) for s in STATES],

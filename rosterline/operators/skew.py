@@ -25,14 +25,21 @@ def heavy_keys(rows: DataFrame, keys: list[str]) -> list[int]:
 
 
 def skewed_join(
-    rows: DataFrame, side: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner"
+    rows: DataFrame,
+    side: DataFrame,
+    keys: list[str],
+    spread_by: list[str],
+    how: str = "inner",
+    heavy: list[int] | None = None,
 ) -> DataFrame:
     """Join ``rows`` (inner or left) with ``side``, which has one row per key.
 
     Rows of heavy keys are spread over 256 salts, taken from a hash of ``spread_by`` so that a retried
-    task makes the same choice; the one matching row of ``side`` is repeated per salt.
+    task makes the same choice; the one matching row of ``side`` is repeated per salt. ``heavy`` are the
+    keys from :func:`heavy_keys` where they are known already.
     """
-    heavy = heavy_keys(rows, keys)
+    if heavy is None:
+        heavy = heavy_keys(rows, keys)
     if not heavy:
         return rows.join(side, keys, how)
     is_heavy: Column = F.xxhash64(*keys).isin(heavy)

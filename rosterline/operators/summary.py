@@ -63,7 +63,7 @@ def top_shares(df: DataFrame, column: str, top: int = 4) -> DataFrame:
         .groupBy(F.coalesce("lead", F.lit("Other")).alias("name"))
         .agg(F.sum("n").alias("n"))
     )
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counted.agg(F.sum("n")).scalar()
     return grouped.select("name", "n", F.try_divide(F.col("n") * 100.0, total).alias("pct"))
 
 

@@ -185,6 +185,8 @@ def _hits_sql(field: str, severity: str, pattern: str, keep: str = "true") -> st
         SELECT id, unnest(regexp_extract_all(text, '{pattern}')) AS value FROM texts) WHERE {keep}"""
 
 
+EMAIL_SQL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+
 _CARD = """(list_sum(list_transform(range(0, length(n)), lambda i: CASE WHEN i % 2 = 1
     THEN CAST(substr(n, CAST(length(n) - i AS BIGINT), 1) AS INTEGER) * 2
         - CASE WHEN CAST(substr(n, CAST(length(n) - i AS BIGINT), 1) AS INTEGER) > 4 THEN 9 ELSE 0 END
@@ -198,7 +200,7 @@ _CARD = """(list_sum(list_transform(range(0, length(n)), lambda i: CASE WHEN i %
         {_hits_sql("Credit Card", "High", pii.TEXT_RULES[1][3])}))
     {_hits_sql("SSN", "High", pii.TEXT_RULES[0][3])} UNION ALL
     SELECT id, field, severity, value FROM cards WHERE {_CARD} UNION ALL
-    {_hits_sql("Personal Email", "Low", pii.TEXT_RULES[2][3])}"""
+    {_hits_sql("Personal Email", "Low", EMAIL_SQL)}"""
 )
 def pii_in_text(spark: SparkSession, d: str) -> DataFrame:
     """Personal data in whole documents and conversation turns."""

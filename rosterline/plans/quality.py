@@ -42,7 +42,7 @@ def cell_states(spark: SparkSession, d: str) -> DataFrame:
 
 @plan(s.sql("records", _CELLS + "SELECT record_id FROM cells WHERE field IN ('Email', 'Phone') AND status = 'invalid' GROUP BY 1"))
 def heatmap_filter(spark: SparkSession, d: str) -> DataFrame:
-    shown = quality.filter_heatmap(quality.cells(s.records(spark, d)), "invalid", ["Email", "Phone"])
+    shown = quality.cells(s.records(spark, d), fields=["Email", "Phone"], status="invalid")
     return shown.select("record_id")
 
 
@@ -55,7 +55,7 @@ def heatmap_filter(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def record_health(spark: SparkSession, d: str) -> DataFrame:
-    return quality.record_health(quality.cells(s.records(spark, d))).select("record_id", "health")
+    return quality.record_health(s.records(spark, d)).select("record_id", "health")
 
 
 @plan(
