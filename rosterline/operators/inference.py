@@ -56,21 +56,21 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or df.columns
     kinds = dict(df.dtypes)
 
-    def raw(column: str) -> Column:
+    def text(column: str) -> Column:
         cell = F.col(f"`{column}`")
         if kinds.get(column) in ("float", "double"):  # a NaN is an empty cell
             cell = F.nanvl(cell, F.lit(None))
-        return cell.cast("string").alias("raw")
-
-    unfolded = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), raw(c)) for i, c in enumerate(columns)])))
-    cells = unfolded.select("ordinal", normalize(F.col("raw")).alias("value"))
-    checked = cells.select(
-        "ordinal",
-        (F.col("value") != "").alias("non_empty"),
-        *[CHECKS[kind](F.col("value")).alias(kind) for kind in COUNTED],
-    )
-    counted = checked.groupBy("ordinal").agg(
-        F.count(F.lit(1)).alias("records"), *[F.count_if(c).alias(c) for c in ("non_empty", *COUNTED)]
+        return normalize(cell)
+
+    value = F.col("value")
+    counted = (
+        df.select(F.posexplode(F.array(*[text(c) for c in columns])).alias("ordinal", "value"))
+        .groupBy("ordinal")
+        .agg(
+            F.count(F.lit(1)).alias("records"),
+            F.count_if(value != "").alias("non_empty"),
+            *[F.count_if(CHECKS[kind](value)).alias(kind) for kind in COUNTED],
+        )
     )
     # one entry per column; a table without rows still reports every column
     by_position = counted.agg(

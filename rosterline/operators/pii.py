@@ -10,8 +10,8 @@ from rosterline.functions.validators import is_blank
 # What is searched in text: field, type, severity, pattern. An address is only tried at the start of a
 # run of its characters and never again inside it, so that long texts take linear time.
 TEXT_RULES = (
-    ("SSN", "Social Security Number", "High", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
-    ("Credit Card", "Financial Identifier", "High", r"\b(?:[0-9]{4}[ -]?){3}[0-9]{1,4}\b"),
+    ("SSN", "Social Security Number", "High", r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])"),
+    ("Credit Card", "Financial Identifier", "High", r"(?<![A-Za-z0-9_-])(?:[0-9]{4}[ -]?){3}[0-9]{1,4}(?![A-Za-z0-9_])"),
     ("Personal Email", "Personal Identifier", "Low", r"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
 )
 

@@ -185,6 +185,8 @@ def _hits_sql(field: str, severity: str, pattern: str, keep: str = "true") -> st
         SELECT id, unnest(regexp_extract_all(text, '{pattern}')) AS value FROM texts) WHERE {keep}"""
 
 
+SSN_SQL = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
+CARD_SQL = r"\b(?:[0-9]{4}[ -]?){3}[0-9]{1,4}\b"
 EMAIL_SQL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 _CARD = """(list_sum(list_transform(range(0, length(n)), lambda i: CASE WHEN i % 2 = 1
@@ -197,8 +199,8 @@ _CARD = """(list_sum(list_transform(range(0, length(n)), lambda i: CASE WHEN i %
     "WITH "
     + _TEXTS.removeprefix(", ")
     + f""", cards AS (SELECT id, field, severity, value, regexp_replace(value, '[ -]', '', 'g') AS n FROM (
-        {_hits_sql("Credit Card", "High", pii.TEXT_RULES[1][3])}))
-    {_hits_sql("SSN", "High", pii.TEXT_RULES[0][3])} UNION ALL
+        {_hits_sql("Credit Card", "High", CARD_SQL)}))
+    {_hits_sql("SSN", "High", SSN_SQL)} UNION ALL
     SELECT id, field, severity, value FROM cards WHERE {_CARD} UNION ALL
     {_hits_sql("Personal Email", "Low", EMAIL_SQL)}"""
 )

@@ -52,7 +52,13 @@ def scan(spark: SparkSession, path: str | list[str], multi_line: bool = False) -
     text. ``multi_line`` is needed only for files whose quoted fields span lines (see
     ``csv_check.structure_faults``), since such files cannot be split.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    # a reader that skips columns no longer notices rows of the wrong width
+    reader = (
+        spark.read.option("header", True)
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("columnPruning", False)
+    )
     columns = reader.csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
     raw = (
@@ -61,8 +67,9 @@ def scan(spark: SparkSession, path: str | list[str], multi_line: bool = False) -
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
-    bare = F.regexp_replace(F.col(CORRUPT), r'"[^"]*+"', "")
-    width = F.size(F.split(bare, ","))
+    # a query that reads nothing but the corrupt record is refused, so the text falls back to a column
+    text = F.coalesce(F.col(CORRUPT), F.col(f"`{columns[0]}`"))
+    width = F.size(F.split(F.regexp_replace(text, r'"[^"]*+"', ""), ","))
     long_row = F.col(CORRUPT).isNotNull() & (width > len(columns))
     rows = raw.where(~long_row).select(
         *[F.col(f"`{c}`") for c in columns], F.col(CORRUPT).isNotNull().alias("_short")
