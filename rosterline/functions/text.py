@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the white space that separates words. Plain characters are taken first, in one run.
@@ -23,6 +23,11 @@ def instant(text: Column) -> Column:
     return F.try_to_timestamp(F.nullif(text, F.lit("")))
 
 
+def moment(df: DataFrame, column: str, text: str) -> Column:
+    """A fixed point in time in the type of a column, so that a comparison can reach the scan."""
+    return F.lit(text).cast(df.schema[column].dataType)
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
 

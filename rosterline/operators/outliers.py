@@ -64,10 +64,12 @@ def implausible_expiry(rows: DataFrame, expiry: str, as_of: str, years: int = MA
     return rows.where(F.col(expiry).cast("date") > latest_plausible)
 
 
-def domain_mismatch(rows: DataFrame, practices: DataFrame, key: str, email: str = "email") -> DataFrame:
+def domain_mismatch(
+    rows: DataFrame, practices: DataFrame, key: str, unique: str, email: str = "email"
+) -> DataFrame:
     """Rows whose e-mail domain is not the one expected for their practice.
 
-    ``practices`` has one ``(key, email_domain)`` row per practice; without an expected domain or
+    ``practices`` has one ``(key, email_domain)`` row per practice, ``unique`` identifies a row; without an expected domain or
     without an e-mail there is nothing to report.
     """
     expected = practices.select(key, F.lower("email_domain").alias("expected_domain")).where(
@@ -75,4 +77,4 @@ def domain_mismatch(rows: DataFrame, practices: DataFrame, key: str, email: str
     )
     actual = F.split_part(F.lower(F.col(email)), F.lit("@"), F.lit(2))
     given = rows.where(F.col(email).contains("@")).withColumn("actual_domain", actual)
-    return skewed_join(given, expected, [key], [email]).where("actual_domain <> expected_domain")
+    return skewed_join(given, expected, [key], [unique]).where("actual_domain <> expected_domain")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.validators import normalize
+from rosterline.operators.skew import skewed_join
 
 # Fixed value: shortest justification that makes an override of a provider number count.
 MIN_JUSTIFICATION = 15
@@ -80,15 +81,15 @@ def quality_warnings(decided: DataFrame) -> DataFrame:
 
 
 def tag_warnings(records: DataFrame, warned: DataFrame, key: str = "record_id") -> DataFrame:
-    """All records, those under a warning with ``dq_flag`` set and their notes.
+    """Clean records and, for each warning, its record tagged with ``dq_flag`` and ``dq_note``.
 
-    A record may carry several warnings; their notes are joined in order.
+    ``records`` has one row per key, while one record may be under any number of warnings.
     """
-    notes = warned.groupBy(key).agg(
-        F.array_join(F.array_sort(F.collect_set("note")), " | ").alias("dq_note")
-    )
-    return records.join(notes, key, "left").withColumn(
-        "dq_flag", F.when(F.col("dq_note").isNotNull(), "[DATA QUALITY WARNING]").otherwise("")
+    notes = warned.select(key, "flag_id", F.col("note").alias("dq_note"))
+    tagged = skewed_join(notes, records, [key], ["flag_id"]).drop("flag_id")
+    clean = records.join(warned.select(key).distinct(), key, "left_anti")
+    return clean.withColumn("dq_flag", F.lit("")).unionByName(
+        tagged.withColumn("dq_flag", F.lit("[DATA QUALITY WARNING]")), allowMissingColumns=True
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.bands import severity_rank
+from rosterline.functions.text import moment
 from rosterline.functions.validators import is_email, normalize
 
 
@@ -28,12 +29,12 @@ def invalid_emails(df: DataFrame, email: str = "email") -> DataFrame:
 
 def since(df: DataFrame, column: str, as_of: str, days: int) -> DataFrame:
     """Rows not older than ``days`` before ``as_of``; there is no upper bound."""
-    return df.where(F.col(column) >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+    return df.where(F.col(column) >= moment(df, column, as_of) - F.expr(f"INTERVAL {days} DAYS"))
 
 
 def with_expiry(exports: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """Add whether an export is too old to be downloaded again."""
-    oldest = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")
+    oldest = moment(exports, "created_at", as_of) - F.expr(f"INTERVAL {hours} HOURS")
     return exports.withColumn("expired", F.col("created_at") < oldest)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_CATEGORIES = 1000
@@ -33,20 +34,32 @@ def segment(
             KMeans(featuresCol="_features", predictionCol="segment", k=k, seed=seed),
         ]
     )
-    return encoded.fit(df).transform(df).select(*df.columns, "segment")
+    # fitting reads the input several times; the lineage stays, so lost blocks are computed again
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = encoded.fit(kept)
+    finally:
+        kept.unpersist()
+    return model.transform(df).select(*df.columns, "segment")
 
 
 def profile(df: DataFrame, segment: str, specialty: str, region: str) -> DataFrame:
     """Size, dominant specialty and dominant region per segment; first in order on ties.
 
-    Counts are taken per segment and value first, so that no segment is gathered in one place.
+    One pass counts per segment and value, so that no segment is gathered in one place.
     """
+    values = F.array(
+        F.struct(F.lit("specialty").alias("kind"), F.col(specialty).alias("value")),
+        F.struct(F.lit("region").alias("kind"), F.col(region).alias("value")),
+    )
+    counted = df.select(segment, F.inline(values)).groupBy(segment, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = F.struct((-F.col("n")).alias("order"), "value")
 
-    def dominant(column: str) -> DataFrame:
-        counted = df.groupBy(segment, column).agg(F.count(F.lit(1)).alias("n"))
-        return counted.groupBy(segment).agg(
-            F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("order"), column))[column].alias(column)
-        )
+    def dominant(kind: str) -> Column:
+        return F.min(F.when(F.col("kind") == kind, ranked))["value"]
 
-    regions = dominant(region).drop("size")
-    return dominant(specialty).join(regions, segment)
+    return counted.groupBy(segment).agg(
+        F.sum(F.when(F.col("kind") == "specialty", F.col("n"))).alias("size"),
+        dominant("specialty").alias(specialty),
+        dominant("region").alias(region),
+    )

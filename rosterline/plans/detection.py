@@ -147,7 +147,7 @@ def implausible_expiry(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def domain_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    found = outliers.domain_mismatch(s.records(spark, d), s.companies(spark, d), "company_id")
+    found = outliers.domain_mismatch(s.records(spark, d), s.companies(spark, d), "company_id", "record_id")
     return found.select("record_id", "actual_domain", "expected_domain")
 
 
@@ -305,7 +305,7 @@ def detected_flags(spark: SparkSession, d: str) -> DataFrame:
     records = s.records(spark, d)
     npi = registry.errors(registry.validate(records, s.registry(spark, d))).select("record_id", "severity")
     pairs = _pairs(spark, d).select(F.col("rec2").alias("record_id"), F.lit("Medium").alias("severity"))
-    off_domain = outliers.domain_mismatch(records, s.companies(spark, d), "company_id")
+    off_domain = outliers.domain_mismatch(records, s.companies(spark, d), "company_id", "record_id")
     home = records.select("record_id", F.col("address").alias("home_address"))
     found = {
         "npi_validation": npi,

@@ -53,22 +53,42 @@ def _follow(state: Column, step: Column) -> Column:
     return F.when(state == OUTSIDE, step["outside"]).when(state == INSIDE, step["inside"]).otherwise(FAULT)
 
 
-def _run(lines: Column, start: int) -> Column:
-    """End state of a run of ordered lines from one start state, the faulty line if any, and whether
-    a quoted field went over a line end."""
-    first = F.struct(
-        F.lit(start).alias("state"), F.lit(None).cast("long").alias("at"), F.lit(start == INSIDE).alias("multi")
-    )
+def _outcome(state: Column, at: Column, multi: Column) -> Column:
+    return F.struct(state.alias("state"), at.cast("long").alias("at"), multi.alias("multi"))
+
+
+def _run(lines: Column, first_pos: Column, start: int) -> Column:
+    """What a run of ordered lines does from one start state: end state, line of the fault within the
+    run if any, and whether a quoted field went over a line end."""
 
     def step(acc: Column, line: Column) -> Column:
         state = _follow(acc["state"], line)
+        fault = F.when((state == FAULT) & acc["at"].isNull(), line["pos"] - first_pos + 1).otherwise(acc["at"])
+        return _outcome(state, fault, acc["multi"] | (state == INSIDE))
+
+    return F.aggregate(lines, _outcome(F.lit(start), F.lit(None), F.lit(start == INSIDE)), step)
+
+
+def _chain(steps: Column, start: int) -> Column:
+    """What consecutive steps do together from one start state; ``lines`` counts all their lines."""
+    begin = F.struct(
+        F.lit(start).alias("state"),
+        F.lit(None).cast("long").alias("at"),
+        F.lit(start == INSIDE).alias("multi"),
+        F.lit(0).cast("long").alias("lines"),
+    )
+
+    def advance(acc: Column, s: Column) -> Column:
+        taken = F.when(acc["state"] == INSIDE, s["from_inside"]).otherwise(s["from_outside"])
+        done = acc["state"] == FAULT
         return F.struct(
-            state.alias("state"),
-            F.when((state == FAULT) & acc["at"].isNull(), line["pos"]).otherwise(acc["at"]).alias("at"),
-            (acc["multi"] | (state == INSIDE)).alias("multi"),
+            F.when(done, FAULT).otherwise(taken["state"]).alias("state"),
+            F.when(done, acc["at"]).otherwise(acc["lines"] + taken["at"]).alias("at"),
+            (acc["multi"] | (~done & taken["multi"])).alias("multi"),
+            (acc["lines"] + s["n"]).alias("lines"),
         )
 
-    return F.aggregate(lines, first, step)
+    return F.aggregate(steps, begin, advance)
 
 
 def structure_faults(lines: DataFrame) -> DataFrame:
@@ -77,6 +97,9 @@ def structure_faults(lines: DataFrame) -> DataFrame:
     ``status`` is ``ok``, ``invalid_utf8`` (reported at line 1), ``stray_text`` behind a closing quote
     (at its line) or ``unclosed_quote`` (at the last line). ``multi_line`` tells whether a quoted field
     spans lines, which is what a reader must know to split the file or not.
+
+    Lines become runs of at most 65,536, the runs of an input split one step, and the splits of a file
+    its verdict, so that no array grows beyond the number of runs per split or of splits per file.
     """
     line = F.col("line")
     from_outside, from_inside = _outcomes(line)
@@ -94,38 +117,32 @@ def structure_faults(lines: DataFrame) -> DataFrame:
         )
         .select(
             "file",
+            "block",
             "bad_text",
             F.struct(
-                "block",
                 "run",
                 "n",
-                "first_pos",
-                _run(F.col("quoted"), OUTSIDE).alias("from_outside"),
-                _run(F.col("quoted"), INSIDE).alias("from_inside"),
+                _run(F.col("quoted"), F.col("first_pos"), OUTSIDE).alias("from_outside"),
+                _run(F.col("quoted"), F.col("first_pos"), INSIDE).alias("from_inside"),
             ).alias("step"),
         )
     )
-    files = runs.groupBy("file").agg(
-        F.sum("bad_text").alias("bad_text"), F.array_sort(F.collect_list("step")).alias("steps")
-    )
-    start = F.struct(
-        F.lit(OUTSIDE).alias("state"),
-        F.lit(None).cast("long").alias("at"),
-        F.lit(False).alias("multi"),
-        F.lit(0).cast("long").alias("lines"),
+    ordered = F.array_sort(F.collect_list("step")).alias("steps")
+    blocks = runs.groupBy("file", "block").agg(F.sum("bad_text").alias("bad_text"), ordered)
+    outside, inside = _chain(F.col("steps"), OUTSIDE), _chain(F.col("steps"), INSIDE)
+    chained = blocks.select("file", "block", "bad_text", outside.alias("o"), inside.alias("i")).select(
+        "file",
+        "bad_text",
+        F.struct(
+            "block",
+            F.col("o.lines").alias("n"),
+            _outcome(F.col("o.state"), F.col("o.at"), F.col("o.multi")).alias("from_outside"),
+            _outcome(F.col("i.state"), F.col("i.at"), F.col("i.multi")).alias("from_inside"),
+        ).alias("step"),
     )
-
-    def advance(acc: Column, s: Column) -> Column:
-        taken = F.when(acc["state"] == INSIDE, s["from_inside"]).otherwise(s["from_outside"])
-        done = acc["state"] == FAULT
-        return F.struct(
-            F.when(done, FAULT).otherwise(taken["state"]).alias("state"),
-            F.when(done, acc["at"]).otherwise(acc["lines"] + taken["at"] - s["first_pos"] + 1).alias("at"),
-            (acc["multi"] | taken["multi"]).alias("multi"),
-            (acc["lines"] + s["n"]).alias("lines"),
-        )
-
-    end = F.aggregate("steps", start, advance)
+    files = chained.groupBy("file").agg(F.sum("bad_text").alias("bad_text"), ordered)
+    ended = files.select("file", "bad_text", _chain(F.col("steps"), OUTSIDE).alias("end"))
+    end = F.col("end")
     status = (
         F.when(F.col("bad_text") > 0, "invalid_utf8")
         .when(end["state"] == FAULT, "stray_text")
@@ -133,13 +150,15 @@ def structure_faults(lines: DataFrame) -> DataFrame:
         .otherwise("ok")
     )
     line_number = (
-        F.when(F.col("bad_text") > 0, 1).when(end["state"] == FAULT, end["at"]).when(end["state"] == INSIDE, end["lines"])
+        F.when(F.col("bad_text") > 0, F.lit(1).cast("long"))
+        .when(end["state"] == FAULT, end["at"])
+        .when(end["state"] == INSIDE, end["lines"])
     )
-    return files.select(
+    return ended.select(
         "file",
         end["lines"].alias("lines"),
         status.alias("status"),
-        line_number.cast("long").alias("line_number"),
+        line_number.alias("line_number"),
         end["multi"].alias("multi_line"),
     )
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def write_records(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Store rows below one folder per tenant, so that a tenant scan reads only its own files."""
-    df.write.mode(mode).partitionBy("company_id").parquet(path)
+    """Store rows below one folder per tenant, so that a tenant scan reads only its own files.
+
+    Rebalancing gathers small tenants in few files and splits large ones over many tasks.
+    """
+    df.hint("rebalance", "company_id").write.mode(mode).partitionBy("company_id").parquet(path)
 
 
 def tenant(df: DataFrame, company_id: str) -> DataFrame:

@@ -119,7 +119,7 @@ def test_plausibility(spark):
     assert [r.id for r in outliers.implausible_expiry(licences, "expiry", "2026-07-18").collect()] == [1]
     mails = spark.createDataFrame([(1, "p", "A@Clinic.org"), (2, "p", "b@mail.com"), (3, "p", None), (4, "q", "x@y.z")], "id int, practice string, email string")
     practices = spark.createDataFrame([("p", "clinic.org"), ("q", None)], "practice string, email_domain string")
-    assert [r.id for r in outliers.domain_mismatch(mails, practices, "practice").collect()] == [2]
+    assert [r.id for r in outliers.domain_mismatch(mails, practices, "practice", "id").collect()] == [2]
 
 
 def test_segments_keep_every_provider(spark):

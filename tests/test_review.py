@@ -92,6 +92,21 @@ def test_survivors_and_losers_make_up_the_input(spark):
     assert kept == {2, 3, 5, 6, 7}
 
 
+def test_every_warning_tags_its_record(spark):
+    records = spark.createDataFrame([(1, "a"), (2, "b")], "record_id int, npi string")
+    warned = spark.createDataFrame([(10, 1, "x"), (11, 1, "y")], "flag_id int, record_id int, note string")
+    tagged = review.tag_warnings(records, warned)
+    found = sorted((r.record_id, r.npi, r.dq_flag, r.dq_note or "") for r in tagged.collect())
+    mark = "[DATA QUALITY WARNING]"
+    assert found == [(1, "a", mark, "x"), (1, "a", mark, "y"), (2, "b", "", "")]
+
+
+def test_recency_filter_reaches_the_scan(spark):
+    recent = search.since(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), "ts", "2024-01-20 00:00:00", 7)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-13" in plan
+
+
 def test_export_gate(spark):
     blocked = exports.gate(flags(spark, lambda c, i: False)).first()
     assert (blocked.available, blocked.open_high) == (False, 2)
