@@ -72,26 +72,17 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             *[F.count_if(CHECKS[kind](value)).alias(kind) for kind in COUNTED],
         )
     )
-    # one entry per column; a table without rows still reports every column
-    by_position = counted.agg(
-        F.map_from_entries(F.collect_list(F.struct("ordinal", F.struct("records", "non_empty", *COUNTED)))).alias("m")
+    # from the names, so that a table without rows still reports every column; there is one counted
+    # row per column at most, which bounds the broadcast
+    names = df.sparkSession.createDataFrame(
+        [(i, c, header_type(c)) for i, c in enumerate(columns)], "ordinal int, column string, header_type string"
+    )
+    counts = ["records", "non_empty", *COUNTED]
+    return (
+        names.join(F.broadcast(counted), "ordinal", "left")
+        .fillna(0, counts)
+        .select("ordinal", "column", "header_type", *counts, F.col("firstName").alias("lastName"))
     )
-
-    def found(i: int, name: str) -> Column:
-        return F.coalesce(F.try_element_at("m", F.lit(i))[name], F.lit(0)).alias(name)
-
-    report = [
-        F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(c).alias("column"),
-            F.lit(header_type(c)).cast("string").alias("header_type"),
-            found(i, "records"),
-            found(i, "non_empty"),
-            *[found(i, kind) for kind in COUNTED],
-        )
-        for i, c in enumerate(columns)
-    ]
-    return by_position.select(F.inline(F.array(*report))).withColumn("lastName", F.col("firstName"))
 
 
 def decide(counts: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# A key is heavy above 1/1000 of all rows, if that is more than a task handles with ease.
 HEAVY_SHARE = 1000
+HEAVY_ROWS = 10_000
 SPREAD = 256
 
 
 def heavy_keys(rows: DataFrame, keys: list[str]) -> list[int]:
-    """Hashes of the keys that hold more than 1/1000 of the rows.
+    """Hashes of the heavy keys.
 
     One narrow scan with a bounded frequent-items sketch per task. Fewer than 1000 keys can pass the
     share, so the list is small for any data. It only steers the join below: a key that is missed or
@@ -21,7 +23,8 @@ def heavy_keys(rows: DataFrame, keys: list[str]) -> list[int]:
         F.call_function("approx_top_k", key, F.lit(HEAVY_SHARE), F.lit(10_000)).alias("top"),
         F.count(F.lit(1)).alias("total"),
     ).first()
-    return [entry["item"] for entry in found["top"] or [] if entry["count"] > found["total"] / HEAVY_SHARE]
+    limit = max(HEAVY_ROWS, found["total"] / HEAVY_SHARE)
+    return [entry["item"] for entry in found["top"] or [] if entry["count"] > limit]
 
 
 def skewed_join(

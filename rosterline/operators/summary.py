@@ -27,13 +27,15 @@ def flag_counts(flags: DataFrame, companies: DataFrame | None = None) -> DataFra
 def upload_totals(uploads: DataFrame, companies: DataFrame, as_of: str) -> DataFrame:
     """One row: rows in total and in the seven days before ``as_of``, mean health, last upload.
 
-    Health is the plain mean over uploads that have a score. ``created_at`` may be text; what cannot
-    be read as a time counts in the totals but is neither recent nor last.
+    Health is the plain mean over uploads that have a score. ``created_at``, or ``uploaded_at`` where it
+    is empty, may be text; what cannot be read as a time counts in the totals but is neither recent nor last.
     """
     known = uploads.join(companies, "company_id", "left_semi")
-    created = F.col("created_at")
+    given = [F.col(c) for c in ("created_at", "uploaded_at") if c in uploads.columns]
     if dict(uploads.dtypes)["created_at"] == "string":
-        created = instant(first_filled(created))
+        created = instant(first_filled(*given))
+    else:
+        created = F.coalesce(*given)
     rows = F.coalesce(F.col("total_rows").cast("long"), F.lit(0))
     week_ago = F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 7 DAYS")
     return known.select(rows.alias("n"), "health_score", created.alias("t")).agg(

@@ -40,7 +40,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     executor or a restarted driver can reach it. Only where that setting is absent (tests on one
     machine) a temporary folder is used.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", "")
     if shared:
         return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix=f"{label}-")

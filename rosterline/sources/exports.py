@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CONSENT = "has_opted_in"
 
@@ -22,22 +23,32 @@ CLEAN_COLUMNS = {
 }
 
 
+def _agreed(df: DataFrame, consent: str) -> Column:
+    """True where consent is exactly true or the number one; words are no consent."""
+    kind = df.schema[consent].dataType
+    if isinstance(kind, T.BooleanType):
+        return F.col(consent) == F.lit(True)
+    if isinstance(kind, T.NumericType):
+        return F.col(consent) == F.lit(1)
+    return F.lit(False)
+
+
 def opted_in(df: DataFrame, consent: str = CONSENT) -> DataFrame:
-    """Rows whose consent is exactly true. Without a consent column nothing may leave."""
+    """Rows with explicit consent. Without a consent column nothing may leave."""
     if consent not in df.columns:
         return df.limit(0)
-    return df.where(F.col(consent) == F.lit(True))
+    return df.where(_agreed(df, consent))
 
 
 def outcome(df: DataFrame, consent: str = CONSENT) -> DataFrame:
     """One row: ``not_found`` without records, ``empty`` without a consenting one, else ``ok``."""
-    agreed = F.count_if(F.col(consent)) if consent in df.columns else F.lit(0).cast("long")
+    agreed = F.count_if(_agreed(df, consent)) if consent in df.columns else F.lit(0).cast("long")
     return _with_status(df.agg(F.count(F.lit(1)).alias("records"), agreed.alias("exported")))
 
 
 def outcomes(companies: DataFrame, df: DataFrame, consent: str = CONSENT) -> DataFrame:
     """:func:`outcome` for every company at once, also for those without any record."""
-    agreed = F.count_if(F.col(consent)) if consent in df.columns else F.lit(0).cast("long")
+    agreed = F.count_if(_agreed(df, consent)) if consent in df.columns else F.lit(0).cast("long")
     counted = df.groupBy("company_id").agg(F.count(F.lit(1)).alias("records"), agreed.alias("exported"))
     joined = companies.select("company_id").join(counted, "company_id", "left")
     return _with_status(joined.fillna(0, ["records", "exported"]))

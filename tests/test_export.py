@@ -38,6 +38,13 @@ def test_outcomes(spark):
     assert exports.for_crm(people(spark, True, False, True), "Has_Opted_In").count() == 2
 
 
+def test_numbers_and_words_as_consent(spark):
+    numbers = spark.createDataFrame([(1, 1), (2, 0), (3, None), (4, 2)], "id int, Has_Opted_In int")
+    assert [r.id for r in exports.for_crm(numbers, "Has_Opted_In").collect()] == ["1"]
+    words = spark.createDataFrame([(1, "true")], "id int, Has_Opted_In string")
+    assert exports.for_crm(words, "Has_Opted_In").count() == 0 and status(words) == "empty"
+
+
 def test_consent_filter_reaches_the_scan(spark, tmp_path):
     people(spark, True, False).write.parquet(str(tmp_path / "p"))
     kept = exports.for_crm(spark.read.parquet(str(tmp_path / "p")).select("id", "Has_Opted_In"), "Has_Opted_In")

@@ -158,12 +158,12 @@ def test_dashboard(spark):
     companies = spark.createDataFrame([("a",), ("empty",)], "company_id string")
     uploads = spark.createDataFrame(
         [("a", 10, 80.0, "2026-07-18T10:00:00Z"), ("a", 5, None, "2026-01-01T00:00:00"), ("a", None, 81.5, "bad"),
-         ("gone", 99, 1.0, "2026-07-18T10:00:00Z")],
+         ("gone", 99, 1.0, "2026-07-18T10:00:00Z"), ("a", 1, None, "")],
         "company_id string, total_rows int, health_score double, created_at string",
-    )
+    ).withColumn("uploaded_at", F.lit("2026-07-17T00:00:00Z"))
     found = flags(spark, lambda c, i: c == "PII").withColumn("company_id", F.lit("a"))
     board = summary.dashboard(uploads, found, companies, "2026-07-20 00:00:00").first()
-    assert (board.total_hcps, board.records_this_week, board.health_score) == (15, 10, 80.8)
+    assert (board.total_hcps, board.records_this_week, board.health_score) == (16, 11, 80.8)
     assert board.last_upload == dt.datetime(2026, 7, 18, 10)
     assert (board.pii, board.duplicates, board.outliers, board.npi_validation, board.total_flags) == (0, 3, 4, 4, 11)
     nothing = summary.dashboard(uploads.limit(0), found.limit(0), companies, "2026-07-20 00:00:00").first()
