@@ -73,3 +73,9 @@ def with_origin(pairs: DataFrame) -> DataFrame:
     """Add whether the two records come from one upload or from two."""
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
     return pairs.withColumn("origin", F.when(same, "Same upload").otherwise("Cross-upload"))
+
+
+def by_name(pairs: DataFrame, descending: bool = False) -> DataFrame:
+    """Pairs in order of the first record's "last first" name, ties by the second record."""
+    name = F.concat_ws(" ", "a.last_name", "a.first_name")
+    return pairs.orderBy(name.desc() if descending else name.asc(), "rec2")

@@ -79,6 +79,17 @@ def duplicate_review_list(spark: SparkSession, d: str) -> DataFrame:
     return search.ordered(scored, "similarity", "rec2")
 
 
+@plan(
+    s.sql(
+        "records",
+        _PAIRS + "SELECT rec1, rec2, concat_ws(' ', a_last_name, a_first_name) AS name FROM pairs ORDER BY name, rec2",
+    )
+)
+def duplicate_list_by_name(spark: SparkSession, d: str) -> DataFrame:
+    listed = linkage.by_name(_pairs(spark, d))
+    return listed.select("rec1", "rec2", F.concat_ws(" ", "a.last_name", "a.first_name").alias("name"))
+
+
 @plan(
     s.sql(
         "records resolutions latest",

@@ -14,6 +14,15 @@ from rosterline.operators.inference import decide, infer_types, value_counts
 
 CORRUPT = "_corrupt_record"
 
+# A reader that skips columns no longer notices rows of the wrong width, hence no column pruning.
+OPTIONS = {
+    "header": "true",
+    "escape": '"',
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": CORRUPT,
+    "columnPruning": "false",
+}
+
 # Accepted extensions, size limit, preview length and longest phone text.
 EXTENSIONS = ("csv", "xlsx")
 MAX_BYTES = 50 * 1024 * 1024
@@ -52,30 +61,28 @@ def scan(spark: SparkSession, path: str | list[str], multi_line: bool = False) -
     text. ``multi_line`` is needed only for files whose quoted fields span lines (see
     ``csv_check.structure_faults``), since such files cannot be split.
     """
-    # a reader that skips columns no longer notices rows of the wrong width
-    reader = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("columnPruning", False)
-    )
+    reader = spark.read.options(**OPTIONS).option("multiLine", multi_line)
     columns = reader.csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
-    raw = (
-        reader.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
+    rows, quarantine = split(reader.schema(raw_schema(columns)).csv(path), columns)
+    return CsvScan(rows, quarantine, columns)
+
+
+def raw_schema(columns: list[str]) -> T.StructType:
+    """Every column as text, and the raw line of rows that are too short or too long."""
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
+
+
+def split(raw: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows to use, short ones marked in ``_short``, and the long rows as raw text; both with ``keep``."""
     # a query that reads nothing but the corrupt record is refused, so the text falls back to a column
     text = F.coalesce(F.col(CORRUPT), F.col(f"`{columns[0]}`"))
     width = F.size(F.split(F.regexp_replace(text, r'"[^"]*+"', ""), ","))
-    long_row = F.col(CORRUPT).isNotNull() & (width > len(columns))
-    rows = raw.where(~long_row).select(
-        *[F.col(f"`{c}`") for c in columns], F.col(CORRUPT).isNotNull().alias("_short")
+    too_long = F.col(CORRUPT).isNotNull() & (width > len(columns))
+    rows = raw.where(~too_long).select(
+        *[F.col(f"`{c}`") for c in columns], F.col(CORRUPT).isNotNull().alias("_short"), *keep
     )
-    quarantine = raw.where(long_row).select(F.col(CORRUPT).alias("raw"), width.alias("fields"))
-    return CsvScan(rows, quarantine, columns)
+    quarantine = raw.where(too_long).select(F.col(CORRUPT).alias("raw"), width.alias("fields"), *keep)
+    return rows, quarantine
 
 
 def ingest_report(scanned: CsvScan, sample_rows: int | None = None, order_by: list[str] | None = None) -> DataFrame:

@@ -4,40 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from rosterline.sources import csv_scan
+
 
 def csv_stream(spark: SparkSession, path: str, columns: list[str], files_per_batch: int = 100) -> DataFrame:
-    """New CSV files below ``path``, every column as text, with the file as ``upload_id``."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    """New CSV files below ``path``, every column as text, with the file name as ``upload_id``."""
     return (
-        spark.readStream.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
+        spark.readStream.schema(csv_scan.raw_schema(columns))
+        .options(**csv_scan.OPTIONS)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(path)
         .withColumn("upload_id", F.col("_metadata.file_name"))
     )
 
 
-def start(stream: DataFrame, records: str, counts: str, checkpoint: str, key: str = "upload_id") -> StreamingQuery:
-    """Append the stream to ``records`` and its row counts per ``key`` to ``counts``.
+def start(stream: DataFrame, columns: list[str], out: str, checkpoint: str, key: str = "upload_id") -> StreamingQuery:
+    """Append the stream to ``out``: ``records``, ``quarantine`` of long rows, and ``counts`` per ``key``.
 
-    One checkpointed query writes both. Each micro-batch owns its ``batch_id`` folder and overwrites
-    it when it is run again, so a restart neither loses nor doubles rows.
+    One checkpointed query writes all three. Each micro-batch owns its ``batch_id`` folders and
+    overwrites them when it is run again, so a restart neither loses nor doubles rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        folder = f"batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(f"{records}/{folder}")
-        written = batch.sparkSession.read.parquet(f"{records}/{folder}")
-        (
-            written.groupBy(key)
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .write.mode("overwrite")
-            .parquet(f"{counts}/{folder}")
-        )
+        def folder(name: str) -> str:
+            return f"{out}/{name}/batch_id={batch_id}"
+
+        rows, quarantine = csv_scan.split(batch, columns, (key,) if key not in columns else ())
+        rows.write.mode("overwrite").parquet(folder("records"))
+        quarantine.write.mode("overwrite").parquet(folder("quarantine"))
+        written = batch.sparkSession.read.parquet(folder("records"))
+        counts = written.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+        counts.write.mode("overwrite").parquet(folder("counts"))
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -47,6 +46,6 @@ def start(stream: DataFrame, records: str, counts: str, checkpoint: str, key: st
     )
 
 
-def running_totals(spark: SparkSession, counts: str, key: str = "upload_id") -> DataFrame:
+def running_totals(spark: SparkSession, out: str, key: str = "upload_id") -> DataFrame:
     """Rows ingested so far per ``key``; reads the small counts, not the records."""
-    return spark.read.parquet(counts).groupBy(key).agg(F.sum("rows").alias("total_rows"))
+    return spark.read.parquet(f"{out}/counts").groupBy(key).agg(F.sum("rows").alias("total_rows"))

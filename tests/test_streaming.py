@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from rosterline.streaming import ingest
 
 
@@ -8,23 +10,35 @@ def totals(spark, path):
 def test_restarts_neither_lose_nor_double_rows(spark, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()
-    records, counts, state = (str(tmp_path / n) for n in ("records", "counts", "state"))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
 
     def arrive(name, n):
         (landing / name).write_text("id,name\n" + "".join(f'{i},"n, {i}"\n' for i in range(n)))
 
     def run():
         stream = ingest.csv_stream(spark, str(landing), ["id", "name"], files_per_batch=1)
-        query = ingest.start(stream, records, counts, state)
+        query = ingest.start(stream, ["id", "name"], out, state)
         query.awaitTermination()
         assert query.exception() is None
 
     arrive("a.csv", 10)
     arrive("b.csv", 5)
     run()
-    assert totals(spark, counts) == {"a.csv": 10, "b.csv": 5}
+    assert totals(spark, out) == {"a.csv": 10, "b.csv": 5}
     run()
     arrive("c.csv", 7)
     run()
-    assert totals(spark, counts) == {"a.csv": 10, "b.csv": 5, "c.csv": 7}
-    assert spark.read.parquet(records).count() == 22
+    assert totals(spark, out) == {"a.csv": 10, "b.csv": 5, "c.csv": 7}
+    assert spark.read.parquet(f"{out}/records").count() == 22
+
+
+def test_long_rows_are_set_aside(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    landing.mkdir()
+    (landing / "a.csv").write_text('id,name\n1,a\n2\n3,"c, d",extra\n')
+    query = ingest.start(ingest.csv_stream(spark, str(landing), ["id", "name"]), ["id", "name"], out, str(tmp_path / "s"))
+    query.awaitTermination()
+    assert totals(spark, out) == {"a.csv": 2}
+    rows = {r.id: (r.name, r._short) for r in spark.read.parquet(f"{out}/records").select("id", F.col("name"), "_short").collect()}
+    assert rows == {"1": ("a", False), "2": (None, True)}
+    assert [(r.raw, r.upload_id) for r in spark.read.parquet(f"{out}/quarantine").collect()] == [('3,"c, d",extra', "a.csv")]
