@@ -43,4 +43,6 @@ def scratch(spark: SparkSession, label: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", "")
     if shared:
         return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
     return tempfile.mkdtemp(prefix=f"{label}-")
