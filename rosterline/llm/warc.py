@@ -1,11 +1,12 @@
 """WARC archives: write records, read them back, resolve revisits.
 
-An archive folder holds uncompressed WARC 1.0 files. A response record's block is an HTTP response head and the
+An archive folder holds WARC 1.0 files, each compressed with gzip as a whole. A response record's block is an HTTP response head and the
 payload; a revisit record's block is the head alone, and its header names the original response.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -74,6 +75,7 @@ def write(found: DataFrame, folder: str) -> None:
         found.select(value.alias("value"))
         .write.option("lineSep", END * 2)
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
+        .option("compression", "gzip")
         .text(folder)
     )
 
@@ -100,7 +102,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
 
 
 def _records(content: pa.Buffer) -> Iterator[dict]:
-    data = content.to_pybytes()
+    data = gzip.decompress(content)
     at = 0
     while at < len(data):
         head_end = data.index(b"\r\n\r\n", at)
