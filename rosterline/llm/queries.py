@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import common, language, quality, warc
+from rosterline.llm import bpe, common, language, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model(docs, common.table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", (common.remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and the text decoded from them, as digests."""
+    return bpe.digests(common.table(spark, sf_dir, "documents"), tokenizer())
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.packed(common.stored(packing.pieces(common.table(spark, sf_dir, "documents"), tokenizer()), "pieces"))
