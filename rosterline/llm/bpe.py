@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -199,12 +198,12 @@ def _encoded(docs, tokenizer, text, identifier, rows, schema):  # noqa: ANN001,
     # A chunk on a third of all rows has one row per group here, not one per document.
     shared = uses.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("part").alias("part")).filter("n > 1").drop("n")
 
-    packed = named.mapInArrow(_pack, "part long, doc_id long, text binary")
+    packed = named.mapInArrow(common.pack, "part long, doc_id long, text binary")
 
     def encode_shared(key: tuple, texts: pa.Table, wanted: pa.Table) -> pa.Table:
         codec, found = Codec.of(tokenizer), {}
         left = set(zip(wanted.column("h1").to_pylist(), wanted.column("h2").to_pylist(), strict=True))
-        for batch in _unpacked(texts) if left else ():
+        for batch in common.unpacked(texts) if left else ():
             data, begins = common.joined(batch[1])
             content = data.tobytes()
             for low, high, _, *h in zip(*(x.tolist() for x in chunks(data, begins)), strict=True):
@@ -224,7 +223,7 @@ def _encoded(docs, tokenizer, text, identifier, rows, schema):  # noqa: ANN001,
             for a, b, c in zip(*(known.column(k).to_pylist() for k in ("h1", "h2", "ids")), strict=True)
         }
         out = []
-        for ids, batch in _unpacked(texts):
+        for ids, batch in common.unpacked(texts):
             found = _with_known(codec, batch, have)
             out += rows(codec, ids, found)
         return pa.Table.from_batches(out)
@@ -246,27 +245,3 @@ def _with_known(codec: Codec, texts: list[bytes], have: dict[tuple[int, int], np
         full = [(a, np.asarray(codec.encode(text[a:b]), np.uint32) if ids is None else ids) for a, b, ids in own]
         out.append(codec.repaired(text, full) if full else np.zeros(0, np.uint32))
     return out
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffle."""
-    z = zstandard.ZstdCompressor(3)
-    for batch in common.slices(batches, "text"):
-        blobs = pa.array([z.compress(x) for x in common.raw(batch, "text")], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), blobs], ["part", "doc_id", "text"])
-
-
-def _unpacked(texts: pa.Table) -> Iterator[tuple[list[int | None], list[bytes]]]:
-    """Ids and texts in runs of about SLICE_BYTES."""
-    z = zstandard.ZstdDecompressor()
-    ids, found, size = [], [], 0
-    for batch in texts.to_batches(1024):
-        for i, blob in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids.append(i)
-            found.append(z.decompress(blob))
-            size += len(found[-1])
-            if size > common.SLICE_BYTES:
-                yield ids, found
-                ids, found, size = [], [], 0
-    if ids:
-        yield ids, found

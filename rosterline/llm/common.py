@@ -13,11 +13,14 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterline import runtime
 
+#: Bytes of text in a group of documents that is handled together.
+GROUP_BYTES = 8 << 20
 #: Bytes of text that a task turns into arrays at a time. A single longer text is taken whole.
 SLICE_BYTES = 2 << 20
 
@@ -64,6 +67,15 @@ def parts(df: DataFrame, size: Column, target: int) -> int:
     return max(1, -(-int(total) // target))
 
 
+def grouped(docs: DataFrame, text: str, identifier: str) -> tuple[DataFrame, int]:
+    """part, doc_id, text (compressed) in hashed groups of about GROUP_BYTES, and how many groups there are."""
+    groups = parts(docs, F.octet_length(F.col(text)) + 1, GROUP_BYTES)
+    named = docs.select(
+        F.pmod(F.xxhash64(F.col(identifier)), F.lit(groups)).alias("part"), F.col(identifier).cast("long").alias("doc_id"), F.col(text).alias("text")
+    )
+    return named.mapInArrow(pack, "part long, doc_id long, text binary"), groups
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``limit`` bytes of ``text``."""
     for batch in batches:
@@ -162,3 +174,27 @@ def appended(df: DataFrame, fields: dict[str, str]) -> tuple[list[str], str]:
 
 def with_columns(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *new.values()], [*keep, *new])
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle."""
+    z = zstandard.ZstdCompressor(3)
+    for batch in slices(batches, "text"):
+        blobs = pa.array([z.compress(x) for x in raw(batch, "text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), blobs], ["part", "doc_id", "text"])
+
+
+def unpacked(texts: pa.Table) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """Ids and texts in runs of about SLICE_BYTES."""
+    z = zstandard.ZstdDecompressor()
+    ids, found, size = [], [], 0
+    for batch in texts.to_batches(1024):
+        for i, blob in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids.append(i)
+            found.append(z.decompress(blob))
+            size += len(found[-1])
+            if size > SLICE_BYTES:
+                yield ids, found
+                ids, found, size = [], [], 0
+    if ids:
+        yield ids, found

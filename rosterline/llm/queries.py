@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import bpe, common, language, packing, quality, vectors, warc
+from rosterline.llm import bpe, common, language, packing, quality, substrings, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,3 +105,24 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every 50th embedding among all embeddings."""
     rows = common.table(spark, sf_dir, "embeddings")
     return vectors.nearest(rows, rows.filter("vec_id % 50 = 0"))
+
+
+@query
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that remain once windows of earlier documents are removed."""
+    found = substrings.first_seen(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op4_substrings"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM starts),
+least AS (SELECT win, min(doc_id) AS m FROM windows GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN least USING (win), range(13) t(k) WHERE m < doc_id),
+lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN ps IS NULL THEN array_to_string(ws, ' ')
+              ELSE array_to_string(list_filter(ws, lambda x, j: NOT list_contains(ps, j)), ' ') END) AS kept_sha256
+FROM w LEFT JOIN lost USING (doc_id)
+"""
