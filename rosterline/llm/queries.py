@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import bpe, common, language, packing, quality, substrings, vectors, warc
+from rosterline.llm import bpe, common, language, packing, quality, substrings, suffixes, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,3 +126,11 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_r
               ELSE array_to_string(list_filter(ws, lambda x, j: NOT list_contains(ps, j)), ' ') END) AS kept_sha256
 FROM w LEFT JOIN lost USING (doc_id)
 """
+
+
+@query
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that remain once 200-byte strings that occur elsewhere are removed."""
+    found = suffixes.repeats_removed(common.table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -8,24 +8,18 @@ underestimates, so only windows whose counter reaches two can be repeated, and o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm import common
+from rosterline.llm import common, sketch
 
 #: Words of a window.
 WINDOW = 13
-#: Counters of the sketch per byte of text, at least (rounded up to a power of two).
-COUNTERS_PER_BYTE = 4
 
 _LAST = np.iinfo(np.int64).max  # a null id comes after all others
-_ASKED = "shard long, part long, first long, steps binary, width int, again binary"
 _KEYS = "shard long, part long, keys binary, more binary, owners binary"
-_BITS = "part long, shard long, exact boolean, bits binary"
 
 
 class _Group:
@@ -47,9 +41,9 @@ class _Group:
         self.h, self.h2, self.doc = joined(h, np.uint64), joined(h2, np.uint32), joined(doc, np.int64)
 
     def counters(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counters in use, in order; whether each is used more than once; the counter (by position) of each window."""
+        """Counters in use, in order; how often each is used; the counter (by position) of each window."""
         counter, at, n = np.unique(self.h >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-        return counter, n > 1, at
+        return counter, n, at
 
     def keys(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys of the chosen windows, in order, in two parts; their smallest document; the key of each window."""
@@ -62,25 +56,6 @@ class _Group:
         return h[new], h2[new], doc[new], at
 
 
-def _bounds(values: np.ndarray, bits: int, shards: int) -> np.ndarray:
-    """Where the values of each shard begin, for sorted values below 2^bits."""
-    edges = [-(-(s << bits) // shards) for s in range(shards)]
-    return np.append(np.searchsorted(values, np.array(edges, np.uint64)), len(values))
-
-
-def _bit(table: pa.Table, exact: bool) -> dict[int, np.ndarray]:
-    rows = zip(*(table.column(k).to_pylist() for k in ("shard", "exact", "bits")), strict=True)
-    return {shard: np.unpackbits(np.frombuffer(bits, np.uint8)) for shard, kind, bits in rows if kind == exact}
-
-
-def _answers(bits: dict[int, np.ndarray], bounds: np.ndarray) -> np.ndarray:
-    out = np.zeros(bounds[-1], bool)
-    for s in range(len(bounds) - 1):
-        if bounds[s + 1] > bounds[s]:
-            out[bounds[s] : bounds[s + 1]] = bits[s][: bounds[s + 1] - bounds[s]]
-    return out
-
-
 def first_seen(docs: DataFrame, text: str = "text", identifier: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by a space).
 
@@ -90,45 +65,22 @@ def first_seen(docs: DataFrame, text: str = "text", identifier: str = "doc_id",
     """
     packed, groups = common.grouped(docs, text, identifier)
     size = docs.select(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    bits = max(20, (COUNTERS_PER_BYTE * int(size)).bit_length())
+    bits = sketch.bits_for(int(size))
 
     def ask(key: tuple, texts: pa.Table) -> pa.Table:
-        counter, again, _ = _Group(texts, window).counters(bits)
-        bounds, out = _bounds(counter, bits, groups), []
-        for s in range(groups):
-            own = counter[bounds[s] : bounds[s + 1]]
-            if len(own):
-                steps = np.diff(own)
-                width = next(w for w in (2, 4, 8) if not len(steps) or int(steps.max()) < 1 << (8 * w))
-                out.append((s, key[0].as_py(), int(own[0]), steps.astype(f"<u{width}").tobytes(), width, np.packbits(again[bounds[s] : bounds[s + 1]]).tobytes()))
-        return _rows(out, _ASKED)
-
-    def estimate(key: tuple, asked: pa.Table) -> pa.Table:
-        found, counts, where = [], [], []
-        for row in asked.to_pylist():
-            steps = np.frombuffer(row["steps"], f"<u{row['width']}")
-            own = np.full(len(steps) + 1, row["first"], np.int64)
-            own[1:] += np.cumsum(steps, dtype=np.int64)
-            found.append(own)
-            counts.append(1 + np.unpackbits(np.frombuffer(row["again"], np.uint8))[: len(own)].astype(np.int64))
-            where.append(row["part"])
-        _, at = np.unique(np.concatenate(found), return_inverse=True)
-        total = np.bincount(at, np.concatenate(counts))[at] >= 2
-        cut = np.cumsum([len(x) for x in found])[:-1]
-        return _rows([(part, key[0].as_py(), False, np.packbits(x).tobytes()) for part, x in zip(where, np.split(total, cut), strict=True)], _BITS)
+        return sketch.questions(key[0].as_py(), *_Group(texts, window).counters(bits)[:2], bits, groups)
 
     def ask_exactly(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
         group = _Group(texts, window)
         counter, _, at = group.counters(bits)
-        chosen = np.flatnonzero(_answers(_bit(known, False), _bounds(counter, bits, groups))[at])
+        chosen = np.flatnonzero(sketch.answers(sketch.bit(known, "repeated"), sketch.bounds(counter, bits, groups))[at])
         h, h2, owner, _ = group.keys(chosen)
-        bounds, out = _bounds(h, 64, groups), []
-        for s in range(groups):
+        bounds, out = sketch.bounds(h, 64, groups), []
+        for s in np.flatnonzero(np.diff(bounds)).tolist():
             own = slice(bounds[s], bounds[s + 1])
-            if len(h[own]):
-                small = len(owner[own]) and owner[own].min() >= 0 and owner[own].max() < 1 << 32
-                out.append((s, key[0].as_py(), h[own].astype("<u8").tobytes(), h2[own].astype("<u4").tobytes(), owner[own].astype("<u4" if small else "<i8").tobytes()))
-        return _rows(out, _KEYS)
+            small = owner[own].min() >= 0 and owner[own].max() < 1 << 32
+            out.append((s, key[0].as_py(), h[own].astype("<u8").tobytes(), h2[own].astype("<u4").tobytes(), owner[own].astype("<u4" if small else "<i8").tobytes()))
+        return sketch.rows(out, _KEYS)
 
     def settle(key: tuple, asked: pa.Table) -> pa.Table:
         h, h2, owner, where = [], [], [], []
@@ -145,14 +97,14 @@ def first_seen(docs: DataFrame, text: str = "text", identifier: str = "doc_id",
         least = owner[order][new][np.cumsum(new) - 1]
         earlier = np.zeros(len(h), bool)
         earlier[order] = least < owner[order]
-        return _rows([(part, key[0].as_py(), True, np.packbits(x).tobytes()) for part, x in zip(where, np.split(earlier, cut), strict=True)], _BITS)
+        return sketch.rows([(part, key[0].as_py(), "earlier", np.packbits(x).tobytes()) for part, x in zip(where, np.split(earlier, cut), strict=True)], sketch.BITS)
 
     def remove(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
         group = _Group(texts, window)
         counter, _, at = group.counters(bits)
-        chosen = np.flatnonzero(_answers(_bit(known, False), _bounds(counter, bits, groups))[at])
+        chosen = np.flatnonzero(sketch.answers(sketch.bit(known, "repeated"), sketch.bounds(counter, bits, groups))[at])
         h, _, owner, at = group.keys(chosen)
-        earlier = _answers(_bit(known, True), _bounds(h, 64, groups))
+        earlier = sketch.answers(sketch.bit(known, "earlier"), sketch.bounds(h, 64, groups))
         gone = np.zeros(len(group.h), bool)
         gone[chosen] = earlier[at] | (owner[at] < group.doc[chosen])
         out, done = [], 0
@@ -173,14 +125,7 @@ def first_seen(docs: DataFrame, text: str = "text", identifier: str = "doc_id",
         return pa.Table.from_batches(out)
 
     by = packed.groupBy("part")
-    estimated = common.stored(by.applyInArrow(ask, _ASKED).groupBy("shard").applyInArrow(estimate, _BITS), "estimates")
-    exact = by.cogroup(estimated.groupBy("part")).applyInArrow(ask_exactly, _KEYS).groupBy("shard").applyInArrow(settle, _BITS)
+    estimated = common.stored(by.applyInArrow(ask, sketch.ASKED).groupBy("shard").applyInArrow(sketch.estimate(2), sketch.BITS), "estimates")
+    exact = by.cogroup(estimated.groupBy("part")).applyInArrow(ask_exactly, _KEYS).groupBy("shard").applyInArrow(settle, sketch.BITS)
     known = estimated.unionByName(exact)
     return by.cogroup(known.groupBy("part")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
-
-
-def _rows(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
-    fields = [x.split() for x in schema.split(", ")]
-    columns: Iterator = zip(*rows, strict=True) if rows else ([] for _ in fields)
-    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
