@@ -22,7 +22,7 @@ from rosterline import runtime
 #: Bytes of text in a group of documents that is handled together.
 GROUP_BYTES = 8 << 20
 #: Bytes of text that a task turns into arrays at a time. A single longer text is taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -123,31 +123,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(16)
-def _numbers(seed: int) -> tuple[np.ndarray, int]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(1, 1 << 63, 256, np.uint64), int(rng.integers(1, 1 << 62)) * 8 + 5
+#: An odd base, the same for all seeds, so that a worker keeps two tables of powers.
+_BASE = 0x2545F4914F6CDD1D
+_tables: dict[int, np.ndarray] = {}
 
 
-@lru_cache(16)
-def _powers(base: int, log_size: int) -> np.ndarray:
-    out = np.full(1 << log_size, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+@lru_cache(32)
+def _numbers(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, 257, np.uint64)
 
 
 def powers(base: int, size: int) -> np.ndarray:
-    return _powers(base % (1 << 64), max(16, int(size).bit_length()))[:size]
+    """The first powers of the base modulo 2^64; a table that was too short is made anew, and a very long one isn't kept."""
+    known = _tables.get(base)
+    if known is None or len(known) < size:
+        known = np.full(max(size, SLICE_BYTES + (SLICE_BYTES >> 2)), base, np.uint64)
+        known[0] = 1
+        np.cumprod(known, dtype=np.uint64, out=known)
+        if len(known) <= 4 * SLICE_BYTES:
+            _tables[base] = known
+    return known[:size]
 
 
 class Hashes:
     """64-bit hashes of any byte runs of one array, from prefix sums."""
 
     def __init__(self, data: np.ndarray, seed: int):
-        values, base = _numbers(seed)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * powers(base, len(data)), out=self.sums[1:])
-        self.inverse = powers(pow(base, -1, 1 << 64), len(data) + 1)
+        terms = _numbers(seed)[data]
+        terms *= powers(_BASE, len(data))
+        np.cumsum(terms, out=self.sums[1:])
+        self.inverse = powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
@@ -157,10 +163,10 @@ class Hashes:
 def runs_of(values: np.ndarray, size: int, seed: int) -> np.ndarray:
     """Hash of each ``size`` consecutive values (of word hashes, say)."""
     n = max(0, len(values) - size + 1)
-    _, base = _numbers(seed)
+    base = _numbers(seed)[256] | np.uint64(1)
     out = np.zeros(n, np.uint64)
     for i in range(size):
-        out = out * np.uint64(base % (1 << 64)) + values[i : i + n]
+        out = out * base + values[i : i + n]
     return mix(out)
 
 

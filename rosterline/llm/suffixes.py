@@ -25,7 +25,7 @@ from rosterline.llm import common, sketch
 #: Bytes of a repeated string, and of the gram that anchors it.
 LENGTH, GRAM = 200, 24
 #: Bytes of text per bucket, and shards whose transforms are merged in a bucket.
-BUCKET_BYTES, SHARDS = 32 << 20, 4
+BUCKET_BYTES, SHARDS = 16 << 20, 4
 #: Runs that share an anchor before they are dealt by what blocks of BLOCK windows have in common besides.
 MANY, BLOCK = 20_000, 8
 
@@ -157,10 +157,8 @@ class _Columns:
 def transform(lead: np.ndarray, windows: np.ndarray, data: np.ndarray, length: int, gram: int) -> np.ndarray:
     """The Burrows-Wheeler transform of contexts (their bytes one after the other), columns from right to left."""
     c = _Columns(lead, windows, length, gram)
-    sizes = windows - 1 + length
     table = np.zeros((len(lead), c.width), np.uint8)
-    row = np.repeat(np.arange(len(lead)), sizes)
-    table[row, np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + c.first[row]] = data
+    table[(np.arange(c.width) >= c.first[:, None]) & (np.arange(c.width) < c.end[:, None])] = data
     order, out = np.zeros(0, np.int64), []
     for column in range(c.width - 1, -1, -1):
         order = c.active(order, column)
