@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import bpe, common, language, packing, quality, substrings, suffixes, vectors, warc
+from rosterline.llm import bpe, common, language, minhash, packing, quality, substrings, suffixes, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,3 +134,9 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeats_removed(common.table(spark, sf_dir, "documents"))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents, on 4-word shingles."""
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), shingle=4)
