@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import zipfile
@@ -22,7 +24,7 @@ from rosterline import runtime
 #: Bytes of text in a group of documents that is handled together.
 GROUP_BYTES = 8 << 20
 #: Bytes of text that a task turns into arrays at a time. A single longer text is taken whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -76,6 +78,13 @@ def grouped(docs: DataFrame, text: str, identifier: str) -> tuple[DataFrame, int
     return named.mapInArrow(pack, "part long, doc_id long, text binary"), groups
 
 
+def release() -> None:
+    """Give memory that a finished group has freed back to the machine; a worker lives through many groups."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only one C library has this call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``limit`` bytes of ``text``."""
     for batch in batches:

@@ -14,6 +14,8 @@ with a common prefix of 200 bytes are the repeated windows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -216,6 +218,7 @@ def repeats_removed(docs: DataFrame, text: str = "text", identifier: str = "doc_
     bits, buckets = sketch.bits_for(size), max(1, -(-size // BUCKET_BYTES))
 
     def ask(key: tuple, texts: pa.Table) -> pa.Table:
+        common.release()
         return sketch.questions(key[0].as_py(), *_Group(texts, length, gram).counters(bits)[:2], bits, groups)
 
     def requests(texts: pa.Table, known: pa.Table) -> tuple[_Group, dict[str, np.ndarray], np.ndarray]:
@@ -226,6 +229,7 @@ def repeats_removed(docs: DataFrame, text: str = "text", identifier: str = "doc_
         return group, found, sketch.bounds(found["key"][found["distinct"]], 64, buckets)
 
     def extract(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
+        common.release()
         group, found, edges = requests(texts, known)
         part, out = key[0].as_py(), []
         for bucket in np.flatnonzero(np.diff(edges)).tolist():
@@ -236,6 +240,7 @@ def repeats_removed(docs: DataFrame, text: str = "text", identifier: str = "doc_
         return sketch.rows(out, _CONTEXTS)
 
     def build(key: tuple, contexts: pa.Table) -> pa.Table:
+        common.release()
         parts, found = [], []
         for part, blob in sorted(zip(contexts.column("part").to_pylist(), contexts.column("blob").to_pylist(), strict=True)):
             found.append(_unzip(blob, "<i4", "<i4", "u1"))
@@ -245,6 +250,7 @@ def repeats_removed(docs: DataFrame, text: str = "text", identifier: str = "doc_
         return sketch.rows([(key[0].as_py(), key[1].as_py(), blob)], _TRANSFORM)
 
     def combine(key: tuple, transforms: pa.Table) -> pa.Table:
+        common.release()
         found = [_unzip(b, "<i8", "<i4", "<i4", "u1") for b in transforms.column("blob").to_pylist()]
         lead, windows = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (1, 2))
         shard = np.repeat(np.arange(len(found)), [len(f[1]) for f in found])
@@ -256,6 +262,7 @@ def repeats_removed(docs: DataFrame, text: str = "text", identifier: str = "doc_
         return sketch.rows(out, sketch.BITS)
 
     def remove(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
+        common.release()
         group, found, edges = requests(texts, known)
         answers = sketch.bit(known, "windows")
         windows = found["windows"][found["distinct"]]
@@ -292,3 +299,14 @@ def repeats_removed(docs: DataFrame, text: str = "text", identifier: str = "doc_
     transforms = contexts.groupBy("bucket", "shard").applyInArrow(build, _TRANSFORM)
     known = estimated.unionByName(transforms.groupBy("bucket").applyInArrow(combine, sketch.BITS))
     return by.cogroup(known.groupBy("part")).applyInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+
+
+def as_text(found: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, kept_text of the result of ``repeats_removed``: a character that was cut in two goes whole."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pa.array([b.decode(errors="ignore") for b in batch.column("kept").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), kept], ["doc_id", "n_bytes", "kept_text"])
+
+    return found.select("doc_id", "n_bytes", "kept").mapInArrow(decode, "doc_id long, n_bytes long, kept_text string")
