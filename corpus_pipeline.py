@@ -6,8 +6,9 @@ Each stage takes the rows its predecessor kept and returns those that it keeps;
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rosterline.llm import common, language, queries, quality
+from rosterline.llm import common, language, minhash, packing, quality, queries, suffixes
 
 #: A document is rejected if its language is unknown or explains less than this share of it.
 LEAST_LANGUAGE = 0.5
@@ -27,7 +28,37 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
-STAGES = [("language_id", language_id), ("quality_classifier", quality_classifier)]
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates on 5-word shingles; those without words are no one's duplicate."""
+    common.ship(spark)
+    found = minhash.near_duplicates(docs)
+    kept = found.filter("kept").select(found.doc_id.alias("_kept")).distinct()
+    return docs.join(kept, docs.doc_id == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated strings; one of which nothing is left goes. A character cut in two goes whole."""
+    common.ship(spark)
+    found = suffixes.as_text(suffixes.repeats_removed(docs))
+    left = found.filter((F.octet_length("kept_text") > 0) | (F.col("n_bytes") == 0)).select("doc_id", F.col("kept_text").alias("_text"))
+    fresh = docs.drop("text", "n_chars").join(left, "doc_id")
+    text = F.col("_text")
+    return fresh.select(*(text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    common.ship(spark)
+    return packing.packed(common.stored(packing.pieces(docs, queries.tokenizer()), "pieces"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_classifier", quality_classifier),
+    ("minhash_dedup", minhash_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("sequence_packing", sequence_packing),
+]
 
 #: Trained models can't be expressed in SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
