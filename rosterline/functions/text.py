@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,5 +57,10 @@ def clean_list_file_name(source_file: Column, day: Column) -> Column:
 
 
 def replace_phrases(text: Column, replacements: dict[str, str]) -> Column:
-    """Put each accepted suggestion in place of its phrase."""
-    return reduce(lambda out, pair: F.replace(out, F.lit(pair[0]), F.lit(pair[1])), replacements.items(), text)
+    """Put each accepted suggestion in place of its phrase, which is found in any case as the scan finds it."""
+
+    def put(out: Column, pair: tuple[str, str]) -> Column:
+        literal = pair[1].replace("\\", "\\\\").replace("$", "\\$")
+        return F.regexp_replace(out, F.lit("(?iu)" + re.escape(pair[0])), F.lit(literal))
+
+    return reduce(put, replacements.items(), text)

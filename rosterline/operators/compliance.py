@@ -65,8 +65,11 @@ def counts(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def campaign_gate(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Whether campaign assets may be exported, with the reason if not."""
+def campaign_gate(flags: DataFrame, by: list[str] | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """Whether campaign assets may be exported, with the reason if not.
+
+    ``groups`` has all values of ``by``; one without flags is available.
+    """
     n = F.col("high_open")
     reason = F.concat(
         F.lit("Export blocked: "),
@@ -74,6 +77,9 @@ def campaign_gate(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.when(n > 1, " High-severity flags").otherwise(" High-severity flag"),
         F.lit(" must be resolved before exporting campaign assets."),
     )
-    return counts(flags, by).select(
+    counted = counts(flags, by)
+    if groups is not None:
+        counted = groups.select(*by).distinct().join(counted, by, "left").fillna(0, ["high_open"]).fillna({"all_high_resolved": True})
+    return counted.select(
         *(by or []), F.col("all_high_resolved").alias("available"), F.when(n > 0, reason).alias("block_reason")
     )

@@ -29,8 +29,12 @@ def validate(
             F.lit("pending").alias("issue_type"),
             F.lit(None).cast("string").alias("severity"),
         )
-    known = registry.select(
-        F.col("npi").alias("_npi"),
+    # one row per number, whatever the snapshot holds: the first by its fields, and numbers are compared as the records' are
+    known = registry.withColumn("_npi", normalize(F.col("npi"))).groupBy("_npi").agg(
+        F.min(F.struct("status", "specialty", "deactivated_year")).alias("r")
+    ).select("_npi", "r.*")
+    known = known.select(
+        "_npi",
         F.col("status").alias("registry_status"),
         F.col("specialty").alias("registry_specialty"),
         "deactivated_year",

@@ -18,7 +18,7 @@ NO_NOTE = "No note provided"
 
 
 def latest(resolutions: DataFrame, key: str = "flag_id") -> DataFrame:
-    """Current decision per flag. A plain maximum, so it pre-aggregates and needs no sort per flag."""
+    """Current decision per flag: a maximum, combined before the shuffle (sorted by flag, since it holds text)."""
     payload = [c for c in resolutions.columns if c not in (key, "ts", "seq")]
     newest = F.max(F.struct("ts", "seq", *payload)).alias("newest")
     current = resolutions.groupBy(key).agg(newest)
@@ -43,12 +43,16 @@ def open_flags(flags: DataFrame) -> DataFrame:
     return flags.where(~F.coalesce("resolved", F.lit(False)))
 
 
-def open_counts(flags: DataFrame, keys: list[str]) -> DataFrame:
-    """Flags in total, resolved and still open per group; open never falls below zero."""
+def open_counts(flags: DataFrame, keys: list[str], groups: DataFrame | None = None) -> DataFrame:
+    """Flags in total, resolved and still open per group; open never falls below zero.
+
+    ``groups`` has all values of ``keys``; one without flags has zeros.
+    """
+    counted = flags.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if("resolved").alias("resolved"))
+    if groups is not None:
+        counted = groups.select(*keys).distinct().join(counted, keys, "left").fillna(0, ["total", "resolved"])
     return (
-        flags.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("total"), F.count_if("resolved").alias("resolved"))
-        .withColumn("open", F.greatest(F.lit(0), F.col("total") - F.col("resolved")))
+        counted.withColumn("open", F.greatest(F.lit(0), F.col("total") - F.col("resolved")))
     )
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import FeatureHasher, StandardScaler, VectorAssembler
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CATEGORIES = 1000
+#: Width of the hashed categories. No list of values is gathered, so a column may have any number of them.
+HASHED = 1 << 12
 
 
 def segment(
@@ -17,20 +18,15 @@ def segment(
 ) -> DataFrame:
     """Add ``segment``, the k-means cluster of the encoded categories and scaled numbers.
 
-    Category columns are encoded one value per dimension, so they must have few values; that is
-    checked with a bounded sketch before the labels are gathered.
+    Category values are hashed to one dimension each; a collision joins two values, which is rare while a column
+    has far fewer values than dimensions.
     """
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categories]).first()
-    wide = [c for c in categories if sizes[c] > MAX_CATEGORIES]
-    if wide:
-        raise ValueError(f"too many distinct values to encode: {wide}")
     encoded = Pipeline(
         stages=[
-            StringIndexer(inputCols=categories, outputCols=[f"_{c}_i" for c in categories], handleInvalid="keep"),
-            OneHotEncoder(inputCols=[f"_{c}_i" for c in categories], outputCols=[f"_{c}_v" for c in categories]),
+            FeatureHasher(inputCols=categories, outputCol="_categories", categoricalCols=categories, numFeatures=HASHED),
             VectorAssembler(inputCols=numbers, outputCol="_numbers", handleInvalid="keep"),
             StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
-            VectorAssembler(inputCols=[*[f"_{c}_v" for c in categories], "_scaled"], outputCol="_features"),
+            VectorAssembler(inputCols=["_categories", "_scaled"], outputCol="_features"),
             KMeans(featuresCol="_features", predictionCol="segment", k=k, seed=seed),
         ]
     )

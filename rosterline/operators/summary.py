@@ -59,7 +59,8 @@ def top_shares(df: DataFrame, column: str, top: int = 4) -> DataFrame:
     """Percentage of rows per value: the most frequent values and ``Other`` for the rest."""
     counted = df.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     # `top` rows at most, so broadcasting them is safe
-    leading = counted.orderBy(F.desc("n"), "name").limit(top).select(F.col("name").alias("lead"))
+    named = counted.where(F.trim(F.col("name").cast("string")) != "")  # a missing value takes no place, it counts as Other
+    leading = named.orderBy(F.desc("n"), "name").limit(top).select(F.col("name").alias("lead"))
     grouped = (
         counted.join(F.broadcast(leading), F.col("name") == F.col("lead"), "left")
         .groupBy(F.coalesce("lead", F.lit("Other")).alias("name"))

@@ -286,7 +286,7 @@ def campaign_gate(spark: SparkSession, d: str) -> DataFrame:
 
 _REPLACED = "text"
 for _p in PHRASES:
-    _REPLACED = f"replace({_REPLACED}, '{_p.phrase}', '{_p.suggestion}')"
+    _REPLACED = f"regexp_replace({_REPLACED}, '{_p.phrase}', '{_p.suggestion}', 'gi')"
 
 
 @plan(f"SELECT doc_id, {_REPLACED} AS text FROM documents")

@@ -23,6 +23,11 @@ CLEAN_COLUMNS = {
 }
 
 
+def _consent_column(df: DataFrame, consent: str) -> str | None:
+    """The consent column as the table spells it; names are resolved without regard to case, as Spark does."""
+    return next((c for c in df.columns if c.lower() == consent.lower()), None)
+
+
 def _agreed(df: DataFrame, consent: str) -> Column:
     """True where consent is exactly true or the number one; words are no consent."""
     kind = df.schema[consent].dataType
@@ -35,20 +40,21 @@ def _agreed(df: DataFrame, consent: str) -> Column:
 
 def opted_in(df: DataFrame, consent: str = CONSENT) -> DataFrame:
     """Rows with explicit consent. Without a consent column nothing may leave."""
-    if consent not in df.columns:
-        return df.limit(0)
-    return df.where(_agreed(df, consent))
+    column = _consent_column(df, consent)
+    return df.where(_agreed(df, column)) if column else df.limit(0)
 
 
 def outcome(df: DataFrame, consent: str = CONSENT) -> DataFrame:
     """One row: ``not_found`` without records, ``empty`` without a consenting one, else ``ok``."""
-    agreed = F.count_if(_agreed(df, consent)) if consent in df.columns else F.lit(0).cast("long")
+    column = _consent_column(df, consent)
+    agreed = F.count_if(_agreed(df, column)) if column else F.lit(0).cast("long")
     return _with_status(df.agg(F.count(F.lit(1)).alias("records"), agreed.alias("exported")))
 
 
 def outcomes(companies: DataFrame, df: DataFrame, consent: str = CONSENT) -> DataFrame:
     """:func:`outcome` for every company at once, also for those without any record."""
-    agreed = F.count_if(_agreed(df, consent)) if consent in df.columns else F.lit(0).cast("long")
+    column = _consent_column(df, consent)
+    agreed = F.count_if(_agreed(df, column)) if column else F.lit(0).cast("long")
     counted = df.groupBy("company_id").agg(F.count(F.lit(1)).alias("records"), agreed.alias("exported"))
     joined = companies.select("company_id").join(counted, "company_id", "left")
     return _with_status(joined.fillna(0, ["records", "exported"]))
@@ -63,7 +69,7 @@ def _cell(name: str, kind: str) -> Column:
     """Text of a cell: NULL is empty, booleans are capitalised, binary text is made valid UTF-8."""
     value = F.col(f"`{name}`")
     if kind == "binary":
-        value = F.call_function("make_valid_utf8", F.decode(value, "UTF-8"))
+        value = F.call_function("make_valid_utf8", value.cast("string"))
     elif kind == "boolean":
         value = F.initcap(value.cast("string"))
     return F.coalesce(value.cast("string"), F.lit("")).alias(name)
@@ -98,8 +104,11 @@ def clean_list_summary(tagged: DataFrame, role: str) -> DataFrame:
     return counted.withColumn("trailer", line)
 
 
-def gate(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Whether the clean list may be exported: no open High provider-number error."""
+def gate(flags: DataFrame, by: list[str] | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """Whether the clean list may be exported: no open High provider-number error.
+
+    ``groups`` has all values of ``by``; one without flags is available.
+    """
     by = by or []
     is_open = ~F.coalesce("resolved", F.lit(False))
     serious = (F.lower("category") == "npi_validation") & (F.col("severity") == "High") & is_open
@@ -109,10 +118,11 @@ def gate(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.when(n > 1, " High-severity NPI errors").otherwise(" High-severity NPI error"),
         F.lit(" must be resolved in Data Review before export."),
     )
+    counted = flags.groupBy(*by).agg(F.count_if(serious).alias("open_high"))
+    if groups is not None:
+        counted = groups.select(*by).distinct().join(counted, by, "left").fillna(0, ["open_high"])
     return (
-        flags.groupBy(*by)
-        .agg(F.count_if(serious).alias("open_high"))
-        .select(*by, "open_high", (n == 0).alias("available"), F.when(n > 0, reason).alias("block_reason"))
+        counted.select(*by, "open_high", (n == 0).alias("available"), F.when(n > 0, reason).alias("block_reason"))
     )
 
 

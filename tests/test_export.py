@@ -50,3 +50,16 @@ def test_consent_filter_reaches_the_scan(spark, tmp_path):
     kept = exports.for_crm(spark.read.parquet(str(tmp_path / "p")).select("id", "Has_Opted_In"), "Has_Opted_In")
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(Has_Opted_In,true)" in plan and "ReadSchema: struct<id:string,Has_Opted_In:boolean>" in plan
+
+
+def test_consent_column_in_any_case_and_invalid_bytes(spark):
+    df = spark.createDataFrame([(1, True, bytearray(b"a\xffb")), (2, False, bytearray(b"c"))], "npi int, Has_Opted_In boolean, note binary")
+    got = exports.for_crm(df).collect()
+    assert [(r.npi, r.note) for r in got] == [("1", "a�b")]
+
+
+def test_gate_of_a_company_without_flags(spark):
+    flags = spark.createDataFrame([("a", "npi_validation", "High", False)], "company_id string, category string, severity string, resolved boolean")
+    companies = spark.createDataFrame([("a",), ("b",)], "company_id string")
+    got = {r.company_id: (r.open_high, r.available) for r in exports.gate(flags, ["company_id"], companies).collect()}
+    assert got == {"a": (1, False), "b": (0, True)}

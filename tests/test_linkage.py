@@ -134,6 +134,6 @@ def test_segments_keep_every_provider(spark):
     assert clustered.select("id").distinct().count() == 300
     shown = segments.profile(clustered, "segment", "specialty", "region").collect()
     assert sum(r["size"] for r in shown) == 300 and len(shown) == 3
-    with pytest.raises(ValueError):
-        segments.segment(df.withColumn("x", F.expr("cast(id * 7919 as string)")).unionByName(
-            spark.range(5000).selectExpr("id", "'a' specialty", "'b' region", "1.0D volume", "cast(-id as string) x")), ["x"], ["volume"])
+    wide = df.withColumn("x", F.expr("cast(id * 7919 as string)")).unionByName(
+        spark.range(5000).selectExpr("id", "'a' specialty", "'b' region", "1.0D volume", "cast(-id as string) x"))
+    assert segments.segment(wide, ["x"], ["volume"], k=3).count() == 5300
