@@ -72,7 +72,8 @@ class _Group:
         new[1:] = (place[inside[1:]] != place[inside[:-1]]) | (inside[1:] != inside[:-1] + 1)
         first = np.flatnonzero(new)
         s = inside[first]
-        return np.stack([s, np.diff(first, append=len(inside)), place[s]], axis=1), hashes[place[s]]
+        # Anchors are small hashes; mixed again they spread over all counters and buckets.
+        return np.stack([s, np.diff(first, append=len(inside)), place[s]], axis=1), common.mix(hashes[place[s]])
 
     def counters(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counter, at, n = np.unique(self.anchor >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
