@@ -295,6 +295,6 @@ def streamed_row_totals(spark: SparkSession, d: str) -> DataFrame:
     columns = ["record_id", "npi", "email", "source"]
     exports.write_csv(s.records(spark, d).select(*columns), landing)
     out, checkpoint = scratch(spark, "ingested"), scratch(spark, "ingest-state")
-    query = ingest.start(ingest.csv_stream(spark, landing, columns), columns, out, checkpoint, key="source")
+    query = ingest.start(ingest.csv_stream(spark, landing), columns, out, checkpoint, key="source")
     query.awaitTermination()
     return ingest.running_totals(spark, out, "source").withColumnRenamed("source", "upload_id")

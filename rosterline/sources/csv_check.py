@@ -7,6 +7,8 @@ into one step each, and only those steps are put in order per file.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,6 +166,16 @@ def structure_faults(lines: DataFrame) -> DataFrame:
 
 
 def check_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Verdict per CSV file below ``path``. Only names ending in ``.csv`` are checked."""
-    lines = read_lines(spark, path)
-    return structure_faults(lines.where(F.lower("file").endswith(".csv")))
+    """Verdict per CSV file below ``path``, an empty one ``ok`` with no lines. Only names ending in ``.csv`` are checked."""
+    text = spark.read.text(path)
+    # a scan leaves empty files out; the names come from the listing that the reader holds anyway
+    files = spark.createDataFrame([(re.sub("^file:/+", "file:/", f),) for f in text.inputFiles()], "file string")
+    lines = read_lines(spark, path).withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
+    is_csv = F.lower("file").endswith(".csv")
+    return files.where(is_csv).join(structure_faults(lines.where(is_csv)), "file", "left").select(
+        "file",
+        F.coalesce("lines", F.lit(0).cast("long")).alias("lines"),
+        F.coalesce("status", F.lit("ok")).alias("status"),
+        "line_number",
+        F.coalesce("multi_line", F.lit(False)).alias("multi_line"),
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from rosterline.functions.text import base_name, extension
 from rosterline.functions.validators import normalize
 from rosterline.operators.inference import decide, infer_types, value_counts
+from rosterline.sources.csv_check import CONTENT, FIELD
 
 CORRUPT = "_corrupt_record"
 
@@ -54,16 +55,22 @@ class CsvScan:
     columns: list[str]
 
 
-def scan(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> CsvScan:
+def scan(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False, file: str | None = None
+) -> CsvScan:
     """Read CSV files with one header layout, every column as text.
 
     Short rows are padded with NULL and marked in ``_short``; long rows go to the quarantine as raw
     text. ``multi_line`` is needed only for files whose quoted fields span lines (see
-    ``csv_check.structure_faults``), since such files cannot be split.
+    ``csv_check.structure_faults``), since such files cannot be split. ``file`` names a column for the
+    path of each row's file.
     """
     reader = spark.read.options(**OPTIONS).option("multiLine", multi_line)
     columns = reader.csv(path).columns
-    rows, quarantine = split(reader.schema(raw_schema(columns)).csv(path), columns)
+    raw = reader.schema(raw_schema(columns)).csv(path)
+    if file is not None:
+        raw = raw.withColumn(file, F.col("_metadata.file_path"))
+    rows, quarantine = split(raw, columns, () if file is None else (file,))
     return CsvScan(rows, quarantine, columns)
 
 
@@ -73,15 +80,18 @@ def raw_schema(columns: list[str]) -> T.StructType:
 
 
 def split(raw: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Rows to use, short ones marked in ``_short``, and the long rows as raw text; both with ``keep``."""
+    """Rows to use, short ones marked in ``_short``, and the others as raw text; both with ``keep``.
+
+    A row of the wrong width is short only if its fields, counted by the strict grammar, are too few and the
+    parser filled no last column. Long rows, and those on which count and parser disagree, are set aside.
+    """
     # a query that reads nothing but the corrupt record is refused, so the text falls back to a column
     text = F.coalesce(F.col(CORRUPT), F.col(f"`{columns[0]}`"))
-    width = F.size(F.split(F.regexp_replace(text, r'"[^"]*+"', ""), ","))
-    too_long = F.col(CORRUPT).isNotNull() & (width > len(columns))
-    rows = raw.where(~too_long).select(
-        *[F.col(f"`{c}`") for c in columns], F.col(CORRUPT).isNotNull().alias("_short"), *keep
-    )
-    quarantine = raw.where(too_long).select(F.col(CORRUPT).alias("raw"), width.alias("fields"), *keep)
+    width = F.size(F.split(F.regexp_replace(text, rf'(^|,)"{CONTENT}"(?=,|\z)', "$1"), ",", -1))
+    odd = F.col(CORRUPT).isNotNull()
+    short = text.rlike(rf"^{FIELD}(?:,{FIELD})*+\z") & (width < len(columns)) & F.col(f"`{columns[-1]}`").isNull()
+    rows = raw.where(~odd | short).select(*[F.col(f"`{c}`") for c in columns], odd.alias("_short"), *keep)
+    quarantine = raw.where(odd & ~short).select(F.col(CORRUPT).alias("raw"), width.alias("fields"), *keep)
     return rows, quarantine
 
 

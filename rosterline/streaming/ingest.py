@@ -6,24 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rosterline.sources import csv_scan
+from rosterline.sources import upload
 
 
-def csv_stream(spark: SparkSession, path: str, columns: list[str], files_per_batch: int = 100) -> DataFrame:
-    """New CSV files below ``path``, every column as text, with the file name as ``upload_id``."""
+def csv_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """The ``file`` paths of new CSV files below ``path``, its folders included; their content is not read here."""
     return (
-        spark.readStream.schema(csv_scan.raw_schema(columns))
-        .options(**csv_scan.OPTIONS)
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.[cC][sS][vV]")
         .option("maxFilesPerTrigger", files_per_batch)
-        .csv(path)
-        .withColumn("upload_id", F.col("_metadata.file_name"))
+        .load(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.lit(path).alias("root"))
     )
 
 
 def start(stream: DataFrame, columns: list[str], out: str, checkpoint: str, key: str = "upload_id") -> StreamingQuery:
-    """Append the stream to ``out``: ``records``, ``quarantine`` of long rows, and ``counts`` per ``key``.
+    """Read the files of the stream as :func:`upload.read` does, so that batch and stream agree, and append to
+    ``out``: ``records``, ``quarantine``, ``rejected`` files with their verdict, and ``counts`` per ``key``.
 
-    One checkpointed query writes all three. Each micro-batch owns its ``batch_id`` folders and
+    ``upload_id`` is the path of a file below the folder of the stream, so equal names of two tenants stay apart.
+    Records have all ``columns``, NULL where a file lacks one, and whatever else a file has; read them with
+    ``mergeSchema``. One checkpointed query writes all. Each micro-batch owns its ``batch_id`` folders and
     overwrites them when it is run again, so a restart neither loses nor doubles rows.
     """
 
@@ -31,10 +36,19 @@ def start(stream: DataFrame, columns: list[str], out: str, checkpoint: str, key:
         def folder(name: str) -> str:
             return f"{out}/{name}/batch_id={batch_id}"
 
-        rows, quarantine = csv_scan.split(batch, columns, (key,) if key not in columns else ())
-        rows.write.mode("overwrite").parquet(folder("records"))
-        quarantine.write.mode("overwrite").parquet(folder("quarantine"))
-        written = batch.sparkSession.read.parquet(folder("records"))
+        files = batch.distinct().collect()  # at most files_per_batch
+        if not files:
+            return
+        spark = batch.sparkSession
+        read = upload.read(spark, [upload.literal_path(f["file"]) for f in files])
+        name = upload.below(F.col(upload.FILE), F.lit(files[0]["root"])).alias("upload_id")
+        missing = [F.lit(None).cast("string").alias(c) for c in columns if c not in read.rows.columns]
+        read.rows.select("*", *missing, name).drop(upload.FILE).write.mode("overwrite").parquet(folder("records"))
+        read.quarantine.select("raw", "fields", name).write.mode("overwrite").parquet(folder("quarantine"))
+        rejected = read.verdicts.where("status <> 'ok'")
+        named = upload.below(F.col("file"), F.lit(files[0]["root"])).alias("upload_id")
+        rejected.select(named, "status", "line_number").write.mode("overwrite").parquet(folder("rejected"))
+        written = spark.read.parquet(folder("records"))
         counts = written.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
         counts.write.mode("overwrite").parquet(folder("counts"))
 

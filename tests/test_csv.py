@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rosterline.sources import csv_check, csv_scan, exports, tenants
+from rosterline.sources import csv_check, csv_scan, exports, tenants, upload
 
 HEAD = "id,name,email,status\n"
 
@@ -92,6 +92,38 @@ def test_scan_pads_short_rows_and_sets_long_rows_aside(spark, tmp_path):
     assert [r.status for r in scanned.rows.select("status").collect()] == ["ok", None, "NA"]
 
 
+def test_rows_with_bare_and_doubled_quotes_are_counted_by_the_grammar(spark, tmp_path):
+    long = ['5" x,6" y,z', '"a ""b"", c",d,e', "a,b,", '"p",q,""']
+    short = ['"one ""only"", field"', '5" x']
+    path = write(tmp_path, "a.csv", "\n".join(["a,b", *long, *short, '"x, ""y""",5" z', ""]))
+    scanned = csv_scan.scan(spark, path)
+    assert sorted((r.raw, r.fields) for r in scanned.quarantine.collect()) == sorted((t, 3) for t in long)
+    assert {(r.a, r.b, r._short) for r in scanned.rows.collect()} == {
+        ('one "only", field', None, True), ('5" x', None, True), ('x, "y"', '5" z', False)
+    }
+
+
+def test_upload_reads_each_file_by_its_header_and_loses_no_row(spark, tmp_path):
+    for name, text in {
+        "one.csv": "npi,email\n1,a@x.org\n2\n", "two [b].csv": "email,npi\nb@x.org,3\n", "open.csv": 'npi,email\n4,"x\n',
+        "lines.csv": 'npi,email\n5,"c\nd"\n6,e,long\n', "empty.csv": "", "head.csv": "npi,email\n", "skip.txt": "npi\n9\n",
+    }.items():
+        write(tmp_path, name, text)
+    found = upload.read(spark, str(tmp_path))
+    assert {(r.npi, r.email, r._short) for r in found.rows.collect()} == {
+        ("1", "a@x.org", False), ("2", None, True), ("3", "b@x.org", False), ("5", "c\nd", False)
+    }
+    assert [r.raw for r in found.quarantine.collect()] == ["6,e,long"]
+    names = F.regexp_extract("file", "[^/]*$", 0).alias("name")
+    verdicts = {r["name"]: (r.status, r.lines) for r in found.verdicts.select(names, "status", "lines").collect()}
+    assert verdicts["empty.csv"] == ("ok", 0) and verdicts["open.csv"] == ("unclosed_quote", 2) and len(verdicts) == 6
+
+
+def test_upload_of_nothing_but_rejected_files(spark, tmp_path):
+    found = upload.read(spark, write(tmp_path, "open.csv", 'a\n"x\n'))
+    assert found.rows.count() == found.quarantine.count() == 0 and found.verdicts.count() == 1
+
+
 def test_scan_of_multi_line_fields(spark, tmp_path):
     path = write(tmp_path, "a.csv", HEAD + '1,"two\nlines",e,ok\n2,n,e,ok,extra\n3,"a\n,b",e\n')
     assert csv_check.check_files(spark, path).first().multi_line
