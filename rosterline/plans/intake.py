@@ -11,7 +11,7 @@ from rosterline.plans import standins as s
 from rosterline.plans.catalog import plan
 from rosterline.plans.inference import COLUMNS, infer_sql
 from rosterline.runtime import scratch, table
-from rosterline.sources import csv_check, csv_scan, exports, tenants
+from rosterline.sources import csv_check, csv_scan, exports, tenants, upload
 from rosterline.streaming import ingest
 
 
@@ -298,3 +298,70 @@ def streamed_row_totals(spark: SparkSession, d: str) -> DataFrame:
     query = ingest.start(ingest.csv_stream(spark, landing), columns, out, checkpoint, key="source")
     query.awaitTermination()
     return ingest.running_totals(spark, out, "source").withColumnRenamed("source", "upload_id")
+
+
+# Layouts of the uploads below: plain, another header order with line ends in fields, rows of the wrong width, text behind a closing quote.
+HEADERS = ("id,customer,note", "note,id,customer", "id,customer,note", "id,customer,note")
+IDS_PER_FILE = 100_000
+
+
+def _uploads(spark: SparkSession, d: str, path: str) -> None:
+    """Orders as CSV files, a folder per tenant, layout and range of ids."""
+    orders = table(spark, d, "orders").select(
+        F.concat(F.lit("T"), F.col("o_custkey") % 3).alias("company"),
+        (F.col("o_orderkey") % 4).cast("int").alias("layout"),
+        F.floor(F.col("o_orderkey") / IDS_PER_FILE).alias("part"),
+        F.col("o_orderkey").alias("id"),
+        F.col("o_custkey").alias("customer"),
+    )
+    key = F.concat_ws(",", "id", "customer")
+    width = F.col("customer") % 5
+    lines = (
+        F.when(F.col("layout") == 0, F.array(F.concat(key, F.lit(',"5"" x"'))))
+        .when(F.col("layout") == 1, F.array(F.lit('"line one'), F.concat(F.lit('line two",'), key)))
+        .when(F.col("layout") == 3, F.array(F.concat(key, F.lit(',"open"text'))))
+        .when(width == 0, F.array(F.concat(key, F.lit(',5" n,6" n'))))
+        .when(width == 1, F.array(key))
+        .otherwise(F.array(F.concat(key, F.lit(',6" y'))))
+    )
+    body = orders.select("company", "layout", "part", "id", F.posexplode(lines).alias("at", "line"))
+    head = orders.select("company", "layout", "part").distinct().select(
+        "*", F.lit(-1).cast("long").alias("id"), F.lit(0).alias("at"), F.element_at(F.array(*map(F.lit, HEADERS)), F.col("layout") + 1).alias("line")
+    )
+    group = ["company", "layout", "part"]
+    files = head.unionByName(body).repartition(*group).sortWithinPartitions(*group, "id", "at")
+    # separator and quote that no line holds, so that lines are written as they are
+    raw = files.select(*group, "line").write.partitionBy(*group)
+    raw.csv(path, sep="\u0001", quote="\u0002", escape="\u0003", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+@plan(
+    """WITH o AS (SELECT concat('T', o_custkey % 3) AS company, CAST(o_orderkey % 4 AS INT) AS layout, o_orderkey AS id,
+        o_custkey % 5 AS w FROM orders),
+    r AS (SELECT *, layout < 3 AND NOT (layout = 2 AND w = 0) AS kept,
+        CASE layout WHEN 0 THEN 4 WHEN 1 THEN 17 WHEN 2 THEN CASE WHEN w > 1 THEN 4 END END AS chars FROM o)
+    SELECT company, layout, layout = 3 AS rejected, count_if(kept) AS kept, count_if(layout = 2 AND w = 0) AS quarantined,
+        count_if(kept AND layout = 2 AND w = 1) AS short, CAST(coalesce(sum(id) FILTER (kept), 0) AS BIGINT) AS id_sum,
+        CAST(coalesce(sum(chars) FILTER (kept), 0) AS BIGINT) AS note_chars
+    FROM r GROUP BY 1, 2"""
+)
+def upload_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Files of three tenants checked, read each by its own header and mode, with nothing lost."""
+    path = scratch(spark, "uploads")
+    _uploads(spark, d, path)
+    found = upload.read(spark, path)
+
+    def keys(file: str) -> list:
+        company = F.regexp_extract(file, "company=([^/]*)", 1).alias("company")
+        return [company, F.regexp_extract(file, "layout=([^/]*)", 1).cast("int").alias("layout")]
+
+    rows = found.rows.groupBy(*keys(upload.FILE)).agg(
+        F.count(F.lit(1)).alias("kept"),
+        F.count_if("_short").alias("short"),
+        F.sum(F.col("id").cast("long")).alias("id_sum"),
+        F.sum(F.char_length("note")).cast("long").alias("note_chars"),
+    )
+    aside = found.quarantine.groupBy(*keys(upload.FILE)).agg(F.count(F.lit(1)).alias("quarantined"))
+    files = found.verdicts.groupBy(*keys("file")).agg(F.bool_or(F.col("status") != "ok").alias("rejected"))
+    joined = files.join(rows, ["company", "layout"], "left").join(aside, ["company", "layout"], "left")
+    return joined.fillna(0, ["kept", "quarantined", "short", "id_sum", "note_chars"])
