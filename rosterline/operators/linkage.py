@@ -76,6 +76,6 @@ def with_origin(pairs: DataFrame) -> DataFrame:
 
 
 def by_name(pairs: DataFrame, descending: bool = False) -> DataFrame:
-    """Pairs in order of the first record's "last first" name, ties by the second record."""
-    name = F.concat_ws(" ", "a.last_name", "a.first_name")
+    """Pairs in order of the first record's "last first" name as a reader sorts names, ties by the second record."""
+    name = F.collate(F.concat_ws(" ", "a.last_name", "a.first_name"), "UNICODE")
     return pairs.orderBy(name.desc() if descending else name.asc(), "rec2")

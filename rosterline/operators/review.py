@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from rosterline.functions.validators import normalize
 from rosterline.operators.skew import skewed_join
 
-# Fixed value: shortest justification that makes an override of a provider number count.
+# Fixed value: shortest justification that makes an override of a provider number count, and the category of these.
 MIN_JUSTIFICATION = 15
+OVERRIDE_CATEGORY = "npi_validation"
 NO_NOTE = "No note provided"
 
 
@@ -25,10 +26,17 @@ def latest(resolutions: DataFrame, key: str = "flag_id") -> DataFrame:
     return current.select(key, *[f"newest.{c}" for c in ("ts", "seq", *payload)]).where("action <> 'undo'")
 
 
-def accepted_overrides(resolutions: DataFrame) -> DataFrame:
-    """Drop overrides without a sufficient justification before they take effect."""
+def accepted_overrides(resolutions: DataFrame, flags: DataFrame, key: str = "flag_id") -> DataFrame:
+    """Decisions on ``flags`` without overrides of provider numbers that lack a sufficient justification.
+
+    They go before the latest decision is found, so an earlier one stays in force. Overrides of other
+    categories need no justification.
+    """
     long_enough = F.char_length(F.coalesce("justification", F.lit(""))) >= MIN_JUSTIFICATION
-    return resolutions.where((F.col("action") != "override") | long_enough)
+    category = F.coalesce(F.lower("_category"), F.lit(""))
+    known = resolutions.join(flags.select(key, F.col("category").alias("_category")), key)
+    accepted = (F.col("action") != "override") | (category != OVERRIDE_CATEGORY) | long_enough
+    return known.where(accepted).select(*resolutions.columns)
 
 
 def with_decision(flags: DataFrame, decisions: DataFrame, key: str = "flag_id") -> DataFrame:

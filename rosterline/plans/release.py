@@ -12,11 +12,12 @@ from rosterline.runtime import scratch
 from rosterline.sources import exports
 
 EVENTS_AS_OF = "2024-01-30 12:00:00"
-DECIDED = "flags resolutions latest decided"
+DECIDED = "flags resolutions accepted effective decided"
 
 
 def decided_flags(spark: SparkSession, d: str) -> DataFrame:
-    return review.with_decision(s.flags(spark, d), review.latest(s.resolutions(spark, d)))
+    flags = s.flags(spark, d)
+    return review.with_decision(flags, review.latest(review.accepted_overrides(s.resolutions(spark, d), flags)))
 
 
 @plan(

@@ -30,13 +30,12 @@ def open_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @plan(
     s.sql(
-        "resolutions",
-        """SELECT flag_id, seq, action, justification FROM resolutions
-        WHERE action <> 'override' OR length(justification) >= 15""",
+        "flags resolutions accepted",
+        "SELECT flag_id, seq, action, justification FROM accepted",
     )
 )
 def accepted_overrides(spark: SparkSession, d: str) -> DataFrame:
-    accepted = review.accepted_overrides(s.resolutions(spark, d))
+    accepted = review.accepted_overrides(s.resolutions(spark, d), s.flags(spark, d))
     return accepted.select("flag_id", "seq", "action", "justification")
 
 

@@ -119,7 +119,7 @@ def flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolutions(spark: SparkSession, d: str) -> DataFrame:
-    return _project(table(spark, d, "lineitem").where("l_linestatus = 'F'"), _RESOLUTION_COLUMNS)
+    return _project(table(spark, d, "lineitem"), _RESOLUTION_COLUMNS)
 
 
 def registry(spark: SparkSession, d: str) -> DataFrame:
@@ -193,16 +193,24 @@ def providers(spark: SparkSession, d: str) -> DataFrame:
 
 _ORDERS = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 
+
+def _latest(log: str) -> str:
+    return f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY flag_id ORDER BY ts DESC,
+        seq DESC, action DESC, justification DESC, note DESC NULLS LAST, master DESC) AS rn
+        FROM {log}) WHERE rn = 1 AND action <> 'undo'"""
+
+
 SQL = {
     "records": f"""SELECT {_duck(_RECORD_COLUMNS)} FROM (SELECT *,
         lpad(CAST(CAST(floor(o_totalprice * 100) AS BIGINT) AS VARCHAR), 10, '5') AS digits FROM {_ORDERS})""",
     "flags": f"SELECT {_duck(_FLAG_COLUMNS)} FROM {_ORDERS}",
-    "resolutions": f"SELECT {_duck(_RESOLUTION_COLUMNS)} FROM lineitem WHERE l_linestatus = 'F'",
-    "latest": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY flag_id ORDER BY ts DESC,
-        seq DESC, action DESC, justification DESC, note DESC NULLS LAST, master DESC) AS rn
-        FROM resolutions) WHERE rn = 1 AND action <> 'undo'""",
+    "resolutions": f"SELECT {_duck(_RESOLUTION_COLUMNS)} FROM lineitem",
+    "latest": _latest("resolutions"),
+    "accepted": """SELECT resolutions.* FROM resolutions JOIN flags ON resolutions.flag_id = flags.flag_id
+        WHERE action <> 'override' OR category <> 'npi_validation' OR length(justification) >= 15""",
+    "effective": _latest("accepted"),
     "decided": """SELECT flags.*, action, note, justification, master, action IS NOT NULL AS resolved
-        FROM flags LEFT JOIN latest USING (flag_id)""",
+        FROM flags LEFT JOIN effective USING (flag_id)""",
     "registry": f"SELECT {_duck(_REGISTRY_COLUMNS)} FROM customer WHERE NOT c_acctbal BETWEEN 0 AND 500",
     "companies": f"""SELECT {_duck(_COMPANY_COLUMNS)} FROM nation JOIN region ON n_regionkey = r_regionkey
         WHERE r_name <> 'EUROPE'""",

@@ -137,3 +137,10 @@ def test_segments_keep_every_provider(spark):
     wide = df.withColumn("x", F.expr("cast(id * 7919 as string)")).unionByName(
         spark.range(5000).selectExpr("id", "'a' specialty", "'b' region", "1.0D volume", "cast(-id as string) x"))
     assert segments.segment(wide, ["x"], ["volume"], k=3).count() == 5300
+
+
+def test_names_are_listed_as_a_reader_sorts_them(spark):
+    pairs = spark.createDataFrame(
+        [(n, ("x", n)) for n in ("Zimmer", "adams", "Élan", "Baker")], "rec2 string, a struct<first_name: string, last_name: string>"
+    )
+    assert [r.rec2 for r in linkage.by_name(pairs).collect()] == ["adams", "Baker", "Élan", "Zimmer"]

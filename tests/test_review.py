@@ -62,7 +62,8 @@ def test_latest_decision_and_undo(spark):
         (4, "override", 1, 1, None, None, "too short"),
         (5, "override", 1, 1, None, None, "exactly 15 char"),
     )
-    current = review.latest(review.accepted_overrides(log))
+    of = spark.createDataFrame([(i, "NPI_validation" if i > 3 else "PII") for i in range(1, 8)], "flag_id int, category string")
+    current = review.latest(review.accepted_overrides(log, of))
     assert {r.flag_id: r.action for r in current.collect()} == {1: "kept", 3: "warned", 5: "override"}
     warned = review.quality_warnings(current).collect()
     assert [(r.flag_id, r.note) for r in warned] == [(3, "No note provided")]
@@ -71,6 +72,19 @@ def test_latest_decision_and_undo(spark):
     assert (counted.total, counted.resolved, counted.open) == (5, 3, 2)
 
 
+def test_only_overrides_of_provider_numbers_need_a_justification(spark):
+    log = resolutions(
+        spark,
+        (1, "override", 1, 1, None, None, "ok"),
+        (2, "override", 1, 1, None, None, None),
+        (3, "warned", 1, 1, None, None, None),
+        (3, "override", 2, 1, None, None, "ok"),
+    )
+    of = spark.createDataFrame([(1, "PII"), (2, None), (3, "npi_validation")], "flag_id int, category string")
+    current = review.latest(review.accepted_overrides(log, of))
+    assert {r.flag_id: r.action for r in current.collect()} == {1: "override", 2: "override", 3: "warned"}
+
+
 def test_effects_on_records(spark):
     records = spark.createDataFrame([(1, "a@x"), (2, "b@x"), (3, None)], "record_id int, email string")
     decided = spark.createDataFrame(
