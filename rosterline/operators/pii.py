@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterline.functions.validators import is_blank
 
+# The names of the kinds and their severities, here and in the rules by column name below.
 # What is searched in text: field, type, severity, pattern. An address is only tried at the start of a
 # run of its characters and never again inside it, so that long texts take linear time.
 TEXT_RULES = (

@@ -28,6 +28,7 @@ class FieldRule:
     required: bool = False
 
 
+# The names of the judged fields.
 FIELD_RULES = (
     FieldRule("NPI", "npi", v.is_npi, required=True),
     FieldRule("First Name", "first_name", v.is_name, 3, required=True),

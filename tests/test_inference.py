@@ -5,19 +5,19 @@ from rosterline.functions import validators as v
 from rosterline.operators.inference import infer_types
 
 VALIDATORS = {
-    "npi": (["1234567890", "0000000000", "١٢٣٤٥٦٧٨٩٠"], ["123456789", "12345678901", "123456789a", ""]),
-    "email": (["dr.johnson+tag@clinic.co.uk"], ["invalid@", "@example.com", "no-at-sign.com", ""]),
+    "npi": (["1700000017", "0000000000", "١٢٣٤٥٦٧٨٩٠"], ["170000001", "17000000170", "17000O0017", ""]),
+    "email": (["o.krantz+desk@lakeside.co.example"], ["krantz@", "@lakeside.example", "lakeside.example", ""]),
     "phone": (
-        ["(555) 123-4567", "555-123-4567", "5551234567", "+1-555-123-4567", "555.123.4567", "+1 (555) 123-4567"],
-        ["123-456", "invalid", ""],
+        ["(907) 234-1180", "907-234-1180", "9072341180", "+1-907-234-1180", "907.234.1180", "+1 (907) 234-1180"],
+        ["907-234", "none", ""],
     ),
-    "practiceState": (["CA", "NY", "TX", "DC"], ["ca", "CAL", "C", "12", ""]),
+    "practiceState": (["AK", "OR", "VT", "DC"], ["ak", "ORE", "V", "50", ""]),
     "boolean": (
         ["true", "True", "TRUE", "yes", "1", "y", "opt-in", "opted-in", "false", "no", "0", "n", "opt-out"],
-        ["maybe", "2", ""],
+        ["perhaps", "3", ""],
     ),
-    "firstName": (["John", "Mary-Anne", "O'Brien", "JOHN", "Anna Lena"], ["john", "J", "123", ""]),
-    "specialty": (["Cardiology", "OB/GYN", "ENT & Head Surgery"], ["M", "123", ""]),
+    "firstName": (["Imani", "Anne-Luz", "D'Arcy", "PIET", "Anna Lena"], ["imani", "I", "907", ""]),
+    "specialty": (["Radiology", "OB/GYN", "ENT & Head Surgery"], ["R", "907", ""]),
 }
 
 
@@ -49,11 +49,11 @@ def types(df, **kw):
 
 
 PROVIDERS = [
-    ("1234567890", "John", "Doe", "john.doe@hospital.com", "(555) 123-4567", "CA", "Cardiology", "true"),
-    ("9876543210", "Jane", "Smith", "jane.smith@clinic.org", "555-234-5678", "NY", "Internal Medicine", "yes"),
-    ("1111111111", "Michael", "Johnson", "michael.j@medical.net", "5559876543", "TX", "OB/GYN", "1"),
-    ("2222222222", "Sarah", "Williams", "sarah.williams@health.com", "(555) 555-5555", "FL", "Orthopedics", "true"),
-    ("3333333333", "David", "Brown", "david.brown@practice.com", "555-666-6666", "PA", "Neurology", "yes"),
+    ("1700000017", "Ottilie", "Krantz", "o.krantz@lakeside.example", "(907) 234-1180", "AK", "Dermatology", "opt-in"),
+    ("1700000025", "Bao", "Tran", "bao+office@riverbend.example", "907-234-1181", "OR", "Family Medicine", "no"),
+    ("1700000033", "Imani", "Okafor", "imani@okafor.example", "9072341182", "NM", "OB/GYN", "0"),
+    ("1700000041", "Luz", "Del Rio", "luz.delrio@mesa.example", "(907) 234-1183", "VT", "Urology", "false"),
+    ("1700000058", "Piet", "Vos", "piet_vos@polder.example", "907.234.1184", "ME", "Radiology", "y"),
 ]
 HEADER = ["npi", "first_name", "last_name", "email", "phone", "practice_state", "specialty", "has_opted_in"]
 

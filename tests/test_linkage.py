@@ -69,10 +69,10 @@ def test_skewed_join_equals_plain_join(spark, how):
 
 
 DUPLICATES = [
-    (1, "1234567890", "James", "Morrison", "Cardiology", "FL", "j.m@floridahealth.com", "(305) 882-4411", "101 Medical Dr", "Q1"),
-    (2, "1234567890", "Jim", "Morrison", "Cardiology", "FL", "jm@baptisthealth.net", "(305) 882-4411", "101 Medical Dr", "Q2"),
-    (3, "5544332211", "Robert", "Patel", "Neurology", "CA", None, "(415) 476-0001", "505 Parnassus Ave", "Q1"),
-    (4, "5544332211", "Robert", "Patel", "Neurology", "CA", None, "(415) 476-0001", "505 Parnassus Ave", "Q1"),
+    (1, "1700000017", "Wilhelmina", "Ashdown", "Radiology", "VT", "w.ashdown@polder.example", "(907) 234-1184", "7 Mill Lane", "north"),
+    (2, "1700000017", "Mina", "Ashdown", "Radiology", "VT", "mina@ashdown.example", "(907) 234-1184", "7 Mill Lane", "south"),
+    (3, "1700000025", "Bao", "Tran", "Urology", "ME", None, "(907) 234-1181", "22 Harbour Row", "north"),
+    (4, "1700000025", "Bao", "Tran", "Urology", "ME", None, "(907) 234-1181", "22 Harbour Row", "north"),
 ]
 
 
