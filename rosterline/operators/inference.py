@@ -51,7 +51,8 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: number of rows, of non-empty values and of matches per type.
 
     The cells of a row are unfolded and counted per column position. That keeps the plan small for
-    any number of columns, and each task sends on one row per column.
+    any number of columns, and each task sends on one row per column. Where the header decides alone, no value is
+    checked and the matches are NULL.
     """
     columns = columns or df.columns
     kinds = dict(df.dtypes)
@@ -63,13 +64,15 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         return normalize(cell)
 
     value = F.col("value")
+    settled = [i for i, c in enumerate(columns) if header_type(c) not in (None, "boolean")]
+    undecided = ~F.col("ordinal").isin(settled) if settled else F.lit(True)
     counted = (
         df.select(F.posexplode(F.array(*[text(c) for c in columns])).alias("ordinal", "value"))
         .groupBy("ordinal")
         .agg(
             F.count(F.lit(1)).alias("records"),
             F.count_if(value != "").alias("non_empty"),
-            *[F.count_if(CHECKS[kind](value)).alias(kind) for kind in COUNTED],
+            *[F.count_if(undecided & CHECKS[kind](value)).alias(kind) for kind in COUNTED],
         )
     )
     # from the names, so that a table without rows still reports every column; there is one counted
@@ -81,6 +84,7 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return (
         names.join(F.broadcast(counted), "ordinal", "left")
         .fillna(0, counts)
+        .withColumns({kind: F.when(undecided, F.col(kind)) for kind in COUNTED})
         .select("ordinal", "column", "header_type", *counts, F.col("firstName").alias("lastName"))
     )
 
@@ -89,7 +93,8 @@ def decide(counts: DataFrame) -> DataFrame:
     """Add the inferred type to the rows of :func:`value_counts`.
 
     A header name decides at once, except that a boolean header needs certain values. Otherwise the
-    type with most matches wins, the earlier one on ties, if at least half of the values match.
+    type with most matches wins, the earlier one on ties, if at least half of the values match. ``best_share`` is NULL
+    where the header decided.
     """
     ranked = F.array_max(
         F.array(*[F.struct(F.col(k).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("kind"))
@@ -101,7 +106,8 @@ def decide(counts: DataFrame) -> DataFrame:
         (F.col("header_type") == "boolean") & (boolean_share >= CERTAIN), F.lit("boolean")
     )
     by_value = F.when(share >= ACCEPTABLE, ranked["kind"])
-    return counts.withColumn("best_share", F.coalesce(share, F.lit(0.0))).withColumn(
+    best = F.when(F.coalesce("header_type", F.lit("boolean")) == "boolean", F.coalesce(share, F.lit(0.0)))
+    return counts.withColumn("best_share", best).withColumn(
         "inferred_type", F.coalesce(named, by_value, F.lit("string"))
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterline.functions.bands import half_up, similarity_band
 from rosterline.functions.validators import is_blank, normalize
-from rosterline.operators.skew import heavy_keys, skewed_join
+from rosterline.operators.skew import copied
 
 # Fields that make up the similarity, and those shown side by side.
 SCORED = ("npi", "first_name", "last_name", "specialty", "state", "email", "phone", "address")
@@ -26,15 +26,15 @@ def duplicate_pairs(
     named = records.where(~is_blank(F.col(block))).select(
         F.col(block).alias("_block"), F.col(key).alias("rec2"), F.struct(*fields).alias("b")
     )
-    heavy = heavy_keys(named, ["_block"])
-    # only numbers go through this shuffle; blocks of one record are left behind here
-    blocks = named.groupBy("_block").agg(F.count(F.lit(1)).alias("n"), F.min("rec2").alias("rec1")).where("n > 1")
-    members = skewed_join(named, blocks.drop("n"), ["_block"], ["rec2"], heavy=heavy)
-    first = members.where("rec1 = rec2").select("_block", F.col("b").alias("a"))
-    others = members.where("rec1 <> rec2")
-    return skewed_join(others, first, ["_block"], ["rec2"], heavy=heavy).select(
-        F.col("_block").alias("block"), "rec1", "rec2", "a", "b"
+    # one record per block goes on from each task; blocks of one record are left behind here
+    first = (
+        named.groupBy("_block")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("rec2").alias("rec1"), F.col("b").alias("a"))).alias("first"))
+        .where("n > 1")
+        .select(copied(F.col("_block")).alias("_first"), "first.*")
     )
+    members = named.join(first, F.col("_block").cast("string") == F.col("_first"))
+    return members.where("rec1 <> rec2").select(F.col("_block").alias("block"), "rec1", "rec2", "a", "b")
 
 
 def with_similarity(pairs: DataFrame, fields: tuple[str, ...] = SCORED) -> DataFrame:

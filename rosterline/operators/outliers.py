@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.bands import anomaly_band
-from rosterline.operators.skew import skewed_join
+from rosterline.operators.skew import copied
 
 # Ratio to the group average, and distance in deviations, that are reported.
 RATIO = 10.0
@@ -29,13 +29,15 @@ def group_statistics(rows: DataFrame, group: str, value: str, accuracy: int = 10
     )
 
 
-def statistical_outliers(rows: DataFrame, group: str, value: str, key: str) -> DataFrame:
+def statistical_outliers(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Rows far from their group: ratio to the mean, z-score or above the 99th percentile."""
     stats = group_statistics(rows, group, value)
+    stats = stats.withColumn("_group", copied(F.col(group))).drop(group)
     v = F.col(value).cast("double")
     z = F.try_divide(v - F.col("group_mean"), F.col("group_sd"))
     scored = (
-        skewed_join(rows, stats, [group], [key])
+        rows.join(stats, F.col(group).cast("string") == F.col("_group"))
+        .drop("_group")
         .withColumn("z", z)
         .withColumn("ratio", F.try_divide(v, F.col("group_mean")))
         .withColumn("above_p99", v > F.col("group_p99"))
@@ -65,16 +67,16 @@ def implausible_expiry(rows: DataFrame, expiry: str, as_of: str, years: int = MA
 
 
 def domain_mismatch(
-    rows: DataFrame, practices: DataFrame, key: str, unique: str, email: str = "email"
+    rows: DataFrame, practices: DataFrame, key: str, email: str = "email"
 ) -> DataFrame:
     """Rows whose e-mail domain is not the one expected for their practice.
 
-    ``practices`` has one ``(key, email_domain)`` row per practice, ``unique`` identifies a row; without an expected domain or
-    without an e-mail there is nothing to report.
+    ``practices`` has one ``(key, email_domain)`` row per practice; without an expected domain or without an e-mail there is
+    nothing to report.
     """
     expected = practices.select(key, F.lower("email_domain").alias("expected_domain")).where(
         "expected_domain IS NOT NULL"
     )
     actual = F.split_part(F.lower(F.col(email)), F.lit("@"), F.lit(2))
     given = rows.where(F.col(email).contains("@")).withColumn("actual_domain", actual)
-    return skewed_join(given, expected, [key], [unique]).where("actual_domain <> expected_domain")
+    return given.join(expected, key).where("actual_domain <> expected_domain")

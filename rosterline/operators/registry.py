@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.validators import has_valid_check_digit, normalize
-from rosterline.operators.skew import skewed_join
+from rosterline.operators.skew import copied
 
 SEVERITY = {"Inactive": "Medium", "Mismatch": "Medium", "Invalid": "High", "Not Found": "High"}
 
@@ -14,7 +14,6 @@ SEVERITY = {"Inactive": "Medium", "Mismatch": "Medium", "Invalid": "High", "Not
 def validate(
     records: DataFrame,
     registry: DataFrame | None,
-    key: str = "record_id",
     precedence: tuple[str, ...] = ("Inactive", "Mismatch", "Invalid", "Not Found"),
 ) -> DataFrame:
     """Add ``issues`` (all that apply, in order of precedence), ``issue_type`` and ``severity``.
@@ -34,12 +33,13 @@ def validate(
         F.min(F.struct("status", "specialty", "deactivated_year")).alias("r")
     ).select("_npi", "r.*")
     known = known.select(
-        "_npi",
+        copied(F.col("_npi")).alias("_known"),
         F.col("status").alias("registry_status"),
         F.col("specialty").alias("registry_specialty"),
         "deactivated_year",
     )
-    joined = skewed_join(records.withColumn("_npi", normalize(F.col("npi"))), known, ["_npi"], [key], "left")
+    named = records.withColumn("_npi", normalize(F.col("npi")))
+    joined = named.join(known, F.col("_npi") == F.col("_known"), "left").drop("_known")
     found = F.col("registry_status").isNotNull()
     tests = {
         "Inactive": found & (F.col("registry_status") != "Active"),

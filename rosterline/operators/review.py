@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.validators import normalize
-from rosterline.operators.skew import skewed_join
 
 # Fixed value: shortest justification that makes an override of a provider number count, and the category of these.
 MIN_JUSTIFICATION = 15
@@ -95,14 +94,10 @@ def quality_warnings(decided: DataFrame) -> DataFrame:
 def tag_warnings(records: DataFrame, warned: DataFrame, key: str = "record_id") -> DataFrame:
     """Clean records and, for each warning, its record tagged with ``dq_flag`` and ``dq_note``.
 
-    ``records`` has one row per key, while one record may be under any number of warnings.
+    ``records`` has one row per key and is read once. A record's warnings are streamed past it, however many.
     """
-    notes = warned.select(key, "flag_id", F.col("note").alias("dq_note"))
-    tagged = skewed_join(notes, records, [key], ["flag_id"]).drop("flag_id")
-    clean = records.join(warned.select(key).distinct(), key, "left_anti")
-    return clean.withColumn("dq_flag", F.lit("")).unionByName(
-        tagged.withColumn("dq_flag", F.lit("[DATA QUALITY WARNING]")), allowMissingColumns=True
-    )
+    notes = warned.select(key, F.lit("[DATA QUALITY WARNING]").alias("dq_flag"), F.col("note").alias("dq_note"))
+    return records.join(notes, key, "left").fillna("", ["dq_flag"])
 
 
 def surviving_records(records: DataFrame, pairs: DataFrame, key: str = "record_id") -> DataFrame:

@@ -1,55 +1,15 @@
-"""Equi-joins that stay balanced when single keys hold a large share of the rows."""
+"""Keys of joins whose hot partitions AQE can split."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A key is heavy above 1/1000 of all rows, if that is more than a task handles with ease.
-HEAVY_SHARE = 1000
-HEAVY_ROWS = 10_000
-SPREAD = 256
 
+def copied(key: Column) -> Column:
+    """A computed copy of a join key, as text, for the side that was aggregated by this key.
 
-def heavy_keys(rows: DataFrame, keys: list[str]) -> list[int]:
-    """Hashes of the heavy keys.
-
-    One narrow scan with a bounded frequent-items sketch per task. Fewer than 1000 keys can pass the
-    share, so the list is small for any data. It only steers the join below: a key that is missed or
-    listed needlessly changes the speed, never the result.
-    """
-    key = F.xxhash64(*keys)
-    found = rows.agg(
-        F.call_function("approx_top_k", key, F.lit(HEAVY_SHARE), F.lit(10_000)).alias("top"),
-        F.count(F.lit(1)).alias("total"),
-    ).first()
-    limit = max(HEAVY_ROWS, found["total"] / HEAVY_SHARE)
-    return [entry["item"] for entry in found["top"] or [] if entry["count"] > limit]
-
-
-def skewed_join(
-    rows: DataFrame,
-    side: DataFrame,
-    keys: list[str],
-    spread_by: list[str],
-    how: str = "inner",
-    heavy: list[int] | None = None,
-) -> DataFrame:
-    """Join ``rows`` (inner or left) with ``side``, which has one row per key.
-
-    Rows of heavy keys are spread over 256 salts, taken from a hash of ``spread_by`` so that a retried
-    task makes the same choice; the one matching row of ``side`` is repeated per salt. ``heavy`` are the
-    keys from :func:`heavy_keys` where they are known already.
+    AQE splits hot partitions only where each side is shuffled right below the join. A side that was aggregated by
+    the key isn't shuffled again; joined on a copy it is, which costs one row per key. Tables need no copy.
     """
-    if heavy is None:
-        heavy = heavy_keys(rows, keys)
-    if not heavy:
-        return rows.join(side, keys, how)
-    is_heavy: Column = F.xxhash64(*keys).isin(heavy)
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int")
-    salted = rows.withColumn("_salt", F.when(is_heavy, salt).otherwise(0))
-    repeated = side.withColumn(
-        "_salt",
-        F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return F.concat(key.cast("string"), F.lit(""))

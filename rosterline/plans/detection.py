@@ -119,7 +119,7 @@ def surviving_records(spark: SparkSession, d: str) -> DataFrame:
         CASE WHEN a >= 0.85 THEN 'High' WHEN a >= 0.70 THEN 'Medium' ELSE 'Low' END AS severity FROM banded"""
 )
 def statistical_outliers(spark: SparkSession, d: str) -> DataFrame:
-    found = outliers.statistical_outliers(table(spark, d, "events"), "event_type", "value", "event_id")
+    found = outliers.statistical_outliers(table(spark, d, "events"), "event_type", "value")
     rounded = [F.round(c, 4).alias(c) for c in ("z", "ratio", "anomaly_score")]
     return found.select("event_id", "event_type", *rounded, "above_p99", "severity")
 
@@ -158,7 +158,7 @@ def implausible_expiry(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def domain_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    found = outliers.domain_mismatch(s.records(spark, d), s.companies(spark, d), "company_id", "record_id")
+    found = outliers.domain_mismatch(s.records(spark, d), s.companies(spark, d), "company_id")
     return found.select("record_id", "actual_domain", "expected_domain")
 
 
@@ -316,7 +316,7 @@ def detected_flags(spark: SparkSession, d: str) -> DataFrame:
     records = s.records(spark, d)
     npi = registry.errors(registry.validate(records, s.registry(spark, d))).select("record_id", "severity")
     pairs = _pairs(spark, d).select(F.col("rec2").alias("record_id"), F.lit("Medium").alias("severity"))
-    off_domain = outliers.domain_mismatch(records, s.companies(spark, d), "company_id", "record_id")
+    off_domain = outliers.domain_mismatch(records, s.companies(spark, d), "company_id")
     home = records.select("record_id", F.col("address").alias("home_address"))
     found = {
         "npi_validation": npi,

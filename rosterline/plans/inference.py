@@ -48,7 +48,7 @@ def infer_sql(columns: dict[str, str], source: str) -> str:
     best = "greatest(npi, email, phone, practiceState, boolean, firstName, specialty)"
     winner = " ".join(f"WHEN {k} = {best} THEN '{k}'" for k in COUNTED)
     return f"""SELECT CAST(ordinal AS INTEGER) AS ordinal, col AS "column", non_empty,
-        round(CASE WHEN non_empty = 0 THEN 0 ELSE {best} / non_empty END, 4) AS best_share,
+        round(CASE WHEN header NOT IN ('', 'boolean') THEN NULL WHEN non_empty = 0 THEN 0 ELSE {best} / non_empty END, 4) AS best_share,
         CASE WHEN header NOT IN ('', 'boolean') THEN header
              WHEN header = 'boolean' AND non_empty > 0 AND boolean / non_empty >= 0.9 THEN 'boolean'
              WHEN non_empty = 0 OR {best} / non_empty < 0.5 THEN 'string'

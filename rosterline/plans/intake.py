@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterline.functions import text as t
 from rosterline.functions.bands import upload_band
 from rosterline.operators import mapping, search
 from rosterline.plans import standins as s
@@ -80,24 +81,34 @@ def file_admission(spark: SparkSession, d: str) -> DataFrame:
     return csv_scan.admission(files).select("doc_id", "verdict", "file_name")
 
 
-@plan()
+@plan(
+    """SELECT n_name AS folder, 'csv' AS extension, 'accept' AS verdict, n_nationkey % 2 = 0 AS has_rows FROM nation
+    UNION ALL SELECT n_name, 'txt', 'error-type', true FROM nation WHERE n_nationkey % 5 = 0"""
+)
 def file_listing(spark: SparkSession, d: str) -> DataFrame:
-    """Admission of the files that make up the data set; contents are not read."""
-    return csv_scan.admission(csv_scan.list_files(spark, d)).select("file_name", "length", "verdict")
+    """Admission of one file per nation, and of another format for some; their contents are not read."""
+    path = scratch(spark, "listing")
+    nations = table(spark, d, "nation").selectExpr("n_name AS folder", "n_nationkey", "repeat(n_name, 20) AS value")
+    for kind, some in (("csv", F.lit(True)), ("text", F.col("n_nationkey") % 5 == 0)):
+        value = F.when((F.col("n_nationkey") % 2 == 0) | F.lit(kind == "text"), F.col("value")).otherwise("-")
+        rows = nations.where(some).select("folder", value.alias("value"))
+        rows.repartition("folder").write.mode("append").partitionBy("folder").format(kind).save(path)
+    found = csv_scan.admission(csv_scan.list_files(spark, path))
+    folder = F.regexp_extract("path", "folder=([^/]+)/", 1)
+    return found.select(folder.alias("folder"), t.extension(F.col("path")).alias("extension"), "verdict", (F.col("length") > 20).alias("has_rows"))
 
 
 @plan(
     s.sql(
         "records",
         """, quoted AS (SELECT record_id, CASE WHEN has_opted_in THEN npi ELSE 'x' || npi END AS npi, phone,
-            CASE WHEN volume > 450000 THEN '"' || address ELSE address END AS address FROM records)
+            volume > 450000 AND address IS NOT NULL AS opened FROM records)
         SELECT record_id AS row, 'npi' AS col, 'Non-numeric characters in NPI field' AS detail FROM quoted
             WHERE NOT regexp_matches(npi, '^[0-9]+$')
         UNION ALL SELECT record_id, 'phone',
             'Field contains ' || length(phone) || ' characters — exceeds 14-char phone max'
             FROM quoted WHERE length(phone) > 14
-        UNION ALL SELECT record_id, 'address', 'Unclosed quote in field value' FROM quoted
-            WHERE length(address) - length(replace(address, '"', '')) = 1""",
+        UNION ALL SELECT record_id, 'address', 'Unclosed quote in field value' FROM quoted WHERE opened""",
     )
 )
 def parse_errors(spark: SparkSession, d: str) -> DataFrame:
@@ -105,9 +116,12 @@ def parse_errors(spark: SparkSession, d: str) -> DataFrame:
         "record_id",
         "CASE WHEN has_opted_in THEN npi ELSE concat('x', npi) END AS npi",
         "phone",
-        "CASE WHEN volume > 450000 THEN concat('\"', address) ELSE address END AS address",
+        "CASE WHEN volume > 450000 THEN concat('\"', address) WHEN volume > 400000 THEN concat('\"5\"\" ', address, '\"') "
+        "ELSE address END AS address",
     )
-    return csv_scan.parse_errors(rows, "record_id", "npi", "phone")
+    columns = ["record_id", "npi", "phone", "address"]
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return csv_scan.parse_errors(rows.withColumn("line", line), "record_id", "npi", "phone", "line", columns)
 
 
 @plan(s.sql("records", "SELECT record_id, npi, specialty FROM records WHERE company_id = 'NATION_7'"))

@@ -155,3 +155,19 @@ def provider_segments(spark: SparkSession, d: str) -> DataFrame:
     """K-means segments of all providers, profiled."""
     clustered = segments.segment(s.providers(spark, d), ["specialty", "region"], ["volume", "orders"])
     return segments.profile(clustered, "segment", "specialty", "region")
+
+
+@plan(
+    """SELECT count(*) AS providers, sum(orders)::BIGINT AS orders, true AS at_most_six, true AS none_empty
+    FROM (SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"""
+)
+def provider_segment_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for any k-means segments: each provider is in one of at most six, and none is empty."""
+    clustered = segments.segment(s.providers(spark, d), ["specialty", "region"], ["volume", "orders"])
+    sizes = clustered.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("orders").alias("orders"))
+    return sizes.agg(
+        F.sum("n").alias("providers"),
+        F.sum("orders").alias("orders"),
+        (F.count(F.lit(1)) <= 6).alias("at_most_six"),
+        (F.min("n") > 0).alias("none_empty"),
+    )

@@ -22,6 +22,7 @@ def session(master: str = "local[*]", app: str = "rosterline", **conf: str) -> S
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from rosterline.functions.text import base_name, extension
 from rosterline.functions.validators import normalize
 from rosterline.operators.inference import decide, infer_types, value_counts
-from rosterline.sources.csv_check import CONTENT, FIELD
+from rosterline.sources.csv_check import CONTENT, FIELD, OUTSIDE_TO_OUTSIDE
 
 CORRUPT = "_corrupt_record"
 
@@ -111,25 +111,31 @@ def preview(rows: DataFrame, order_by: list[str], n: int = PREVIEW_ROWS) -> Data
     return rows.orderBy(*order_by).limit(n)
 
 
-def parse_errors(rows: DataFrame, row: str, npi: str, phone: str) -> DataFrame:
-    """``row, col, detail`` for every faulty cell: open quote, non-numeric number, phone too long."""
+def parse_errors(rows: DataFrame, row: str, npi: str, phone: str, raw: str, columns: list[str]) -> DataFrame:
+    """``row, col, detail`` for every faulty cell: open quote, non-numeric number, phone too long.
+
+    Open quotes are judged on the ``raw`` line by the strict grammar, since parsed cells may hold any quotes;
+    ``columns`` are those of the line.
+    """
 
     def error(condition: Column, column: str, detail: Column) -> Column:
         return F.when(condition, F.struct(F.lit(column).alias("col"), detail.alias("detail")))
 
-    def odd_quotes(column: str) -> Column:
-        text = F.coalesce(F.col(column), F.lit(""))
-        return (F.char_length(text) - F.char_length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 1
-
+    line = F.col(raw)
+    opened = rf'^((?:{FIELD},)*+)"{CONTENT}$'
+    before = F.regexp_extract_all(F.regexp_extract(line, opened, 1), F.lit(f"({FIELD},)"), F.lit(1))
+    unclosed = F.struct(
+        F.coalesce(F.try_element_at(F.array(*[F.lit(c) for c in columns]), F.size(before) + 1), F.lit("")).alias("col"),
+        F.lit("Unclosed quote in field value").alias("detail"),
+    )
     number, call = normalize(F.col(npi)), normalize(F.col(phone))
     length = F.char_length(call)
     too_long = F.concat(
         F.lit("Field contains "), length.cast("string"), F.lit(f" characters — exceeds {MAX_PHONE}-char phone max")
     )
-    texts = [c for c, kind in rows.dtypes if kind == "string"]
     found = F.array_compact(
         F.array(
-            *[error(odd_quotes(c), c, F.lit("Unclosed quote in field value")) for c in texts],
+            F.when(~line.rlike(OUTSIDE_TO_OUTSIDE) & line.rlike(opened), unclosed),
             error((number != "") & ~number.rlike("^[0-9]+$"), npi, F.lit("Non-numeric characters in NPI field")),
             error(length > MAX_PHONE, phone, too_long),
         )

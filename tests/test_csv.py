@@ -153,11 +153,19 @@ def test_admission(spark):
 
 def test_parse_errors(spark):
     df = spark.createDataFrame(
-        [(47, '"a@x.org', "1234567890", "5551234567"), (112, "a", "12345x7890", ""), (203, "a", "1", "+1-555-123-4567")],
-        "row int, email string, npi string, phone string",
+        [
+            (47, "1234567890", "5551234567", '1234567890,"a@x.org,5551234567'),
+            (48, "1234567890", "", '1234567890,"5"" pipe",'),
+            (49, "1234567890", "", '1234567890,5" pipe,'),
+            (50, "1234567890", "", '"1234567890,a'),
+            (112, "12345x7890", "", "12345x7890,a,"),
+            (203, "1", "+1-555-123-4567", "1,a,+1-555-123-4567"),
+        ],
+        "row int, npi string, phone string, line string",
     )
-    found = {(r.row, r.col): r.detail for r in csv_scan.parse_errors(df, "row", "npi", "phone").collect()}
-    assert set(found) == {(47, "email"), (112, "npi"), (203, "phone")}
+    errors = csv_scan.parse_errors(df, "row", "npi", "phone", "line", ["npi", "email", "phone"])
+    found = {(r.row, r.col): r.detail for r in errors.collect()}
+    assert set(found) == {(47, "email"), (50, "npi"), (112, "npi"), (203, "phone")}
     assert found[203, "phone"] == "Field contains 15 characters — exceeds 14-char phone max"
 
 

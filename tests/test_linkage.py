@@ -3,13 +3,17 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rosterline.operators import linkage, outliers, registry, segments, skew
-from rosterline.operators.skew import heavy_keys, skewed_join
-
-
-@pytest.fixture(autouse=True)
-def any_size_can_be_heavy(monkeypatch):
-    monkeypatch.setattr(skew, "HEAVY_ROWS", 0)
+from rosterline.operators import linkage, outliers, registry, segments
+
+LOW_THRESHOLDS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "16",
+}
 
 FIELDS = "record_id long, npi string, first_name string, last_name string, specialty string, state string, email string, phone string, address string, source string"
 
@@ -37,35 +41,46 @@ def test_pairs_cover_every_duplicate_of_a_hot_block(spark):
         if r[1] and r[1].strip():
             blocks.setdefault(r[1], []).append(r[0])
     expected = sorted((npi, min(ids), i) for npi, ids in blocks.items() for i in ids if i != min(ids))
-    assert heavy_keys(df.where("trim(npi) <> ''"), ["npi"]), "the placeholder must be found"
     found = linkage.duplicate_pairs(df).collect()
     assert sorted((r.block, r.rec1, r.rec2) for r in found) == expected
     assert all(r.a.first_name == f"F{r.rec1}" and r.b.first_name == f"F{r.rec2}" for r in found)
 
 
-def test_hot_rows_are_spread_over_tasks(spark):
-    _, df = skewed_records(spark)
-    side = df.where("npi IS NOT NULL").groupBy("npi").agg(F.count(F.lit(1)).alias("n"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = skewed_join(df, side, ["npi"], ["record_id"])
-        per_task = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
-        assert joined.count() == df.where("npi IS NOT NULL").count()
-        assert per_task < 0.4 * joined.count()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
+@pytest.fixture
+def low_thresholds(spark):
+    before = {key: spark.conf.get(key, None) for key in LOW_THRESHOLDS}
+    for key, value in LOW_THRESHOLDS.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
 
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_skewed_join_equals_plain_join(spark, how):
-    _, df = skewed_records(spark, 1000)
-    side = df.where("npi > '1000000100'").groupBy("npi").agg(F.count(F.lit(1)).alias("n"))
-    side = side.unionByName(spark.createDataFrame([("0000000000", 5)], "npi string, n long"))
-    columns = ["record_id", "npi", "n"]
-    fast = sorted(map(str, skewed_join(df, side, ["npi"], ["record_id"], how).select(*columns).collect()))
-    assert fast == sorted(map(str, df.join(side, "npi", how).select(*columns).collect()))
+
+def test_a_hot_key_is_split_beside_a_table_and_beside_an_aggregate(spark, low_thresholds):
+    """Half of the rows share a key: number (registry), practice (companies), block and group (aggregates)."""
+    rows = spark.range(0, 20_000, 1, 8).selectExpr(
+        "id AS record_id",
+        "CASE WHEN id % 2 = 0 THEN '0000000000' ELSE CAST(1000000000 + id % 4000 AS STRING) END AS npi",
+        "CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('p', id % 500) END AS practice",
+        "concat('F', id) AS first_name", "sha2(string(id), 256) AS last_name", "'S' AS specialty", "'CA' AS state",
+        "concat('a@', id % 7, '.org') AS email", "sha2(string(id + 1), 256) AS phone", "'A' AS address", "'u' AS source",
+        "id * 7919 % 1000 / 1000 AS v",
+    )
+    known = rows.selectExpr("npi", "'Active' AS status", "specialty", "1 AS deactivated_year").distinct()
+    names = [("hot", "1.org")] + [(f"p{i}", "1.org") for i in range(500)]
+    practices = spark.createDataFrame(names, "practice string, email_domain string")
+    plans = {
+        "registry": registry.validate(rows, known),
+        "companies": outliers.domain_mismatch(rows, practices, "practice"),
+        "blocks": linkage.duplicate_pairs(rows),
+        "groups": outliers.statistical_outliers(rows, "practice", "v"),
+    }
+    assert {name for name, df in plans.items() if "skew=true" not in final_plan(df)} == set()
 
 
 DUPLICATES = [
@@ -112,7 +127,7 @@ def test_registry_issues(spark):
 def test_outliers_in_a_dominating_group(spark):
     rows = [(i, "big", 100.0 + i % 7) for i in range(2000)] + [(9001, "big", 2000.0), (9002, "small", 1.0), (9003, "small", 1.0)]
     df = spark.createDataFrame(rows, "id int, g string, v double")
-    found = {r.id: r for r in outliers.statistical_outliers(df, "g", "v", "id").collect()}
+    found = {r.id: r for r in outliers.statistical_outliers(df, "g", "v").collect()}
     assert found[9001].severity == "High" and found[9001].ratio > 10
     assert 9002 not in found  # a group without spread has no outlier
 
@@ -124,7 +139,7 @@ def test_plausibility(spark):
     assert [r.id for r in outliers.implausible_expiry(licences, "expiry", "2026-07-18").collect()] == [1]
     mails = spark.createDataFrame([(1, "p", "A@Clinic.org"), (2, "p", "b@mail.com"), (3, "p", None), (4, "q", "x@y.z")], "id int, practice string, email string")
     practices = spark.createDataFrame([("p", "clinic.org"), ("q", None)], "practice string, email_domain string")
-    assert [r.id for r in outliers.domain_mismatch(mails, practices, "practice", "id").collect()] == [2]
+    assert [r.id for r in outliers.domain_mismatch(mails, practices, "practice").collect()] == [2]
 
 
 def test_segments_keep_every_provider(spark):
