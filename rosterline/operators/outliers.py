@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.bands import anomaly_band
@@ -29,14 +29,19 @@ def group_statistics(rows: DataFrame, group: str, value: str, accuracy: int = 10
     )
 
 
-def statistical_outliers(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Rows far from their group: ratio to the mean, z-score or above the 99th percentile."""
+def distant() -> Column:
+    """Whether a row with scores is far from its group: ratio to the mean, z-score or above the 99th percentile."""
+    return (F.abs("z") > DEVIATIONS) | (F.col("ratio") >= RATIO) | F.col("above_p99")
+
+
+def with_scores(rows: DataFrame, group: str, value: str, how: str = "inner") -> DataFrame:
+    """Rows with their distance from their group; those without a group are kept by a left join."""
     stats = group_statistics(rows, group, value)
     stats = stats.withColumn("_group", copied(F.col(group))).drop(group)
     v = F.col(value).cast("double")
     z = F.try_divide(v - F.col("group_mean"), F.col("group_sd"))
-    scored = (
-        rows.join(stats, F.col(group).cast("string") == F.col("_group"))
+    return (
+        rows.join(stats, F.col(group).cast("string") == F.col("_group"), how)
         .drop("_group")
         .withColumn("z", z)
         .withColumn("ratio", F.try_divide(v, F.col("group_mean")))
@@ -44,9 +49,11 @@ def statistical_outliers(rows: DataFrame, group: str, value: str) -> DataFrame:
         .withColumn("anomaly_score", 1 - 1 / (1 + F.abs(F.coalesce("z", F.lit(0.0)))))
         .withColumn("severity", anomaly_band(F.col("anomaly_score")))
     )
-    return scored.where(
-        (F.abs("z") > DEVIATIONS) | (F.col("ratio") >= RATIO) | F.col("above_p99")
-    )
+
+
+def statistical_outliers(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Rows far from their group."""
+    return with_scores(rows, group, value).where(distant())
 
 
 def geographic_spread(activity: DataFrame, keys: list[str], state: str, limit: int = MAX_STATES) -> DataFrame:

@@ -72,3 +72,28 @@ def in_columns(df: DataFrame, keys: list[str]) -> DataFrame:
         nothing = "field string, type string, severity string, value string"
         return df.select(*keys, F.inline(F.array().cast(f"array<struct<{nothing.replace(' string', ':string')}>>")))
     return df.select(*keys, F.inline(F.array_compact(F.array(*hits))))
+
+
+def hits(columns: dict[str, str], texts: tuple[str, ...] = ()) -> Column:
+    """``column, field, type, severity`` of all personal data in a row, once per column and kind.
+
+    ``columns`` gives the name that tells what a column holds, ``texts`` are searched.
+    """
+    nothing = F.array().cast("array<struct<column:string,field:string,type:string,severity:string>>")
+
+    def entry(column: str, field: Column, kind: Column, severity: Column) -> Column:
+        return F.struct(F.lit(column).alias("column"), field.alias("field"), kind.alias("type"), severity.alias("severity"))
+
+    named = [
+        F.when(~is_blank(F.col(column)), entry(column, F.lit(field), F.lit(kind), F.lit(severity)))
+        for column, name in columns.items()
+        for field, kind, severity, names in COLUMN_RULES
+        if name.lower() in names
+    ]
+
+    def in_cell(column: str) -> Column:
+        found = F.concat(*[_found(F.col(column), rule) for rule in TEXT_RULES])
+        return F.transform(F.coalesce(found, F.array()), lambda h: entry(column, h["field"], h["type"], h["severity"]))
+
+    filled = F.array_compact(F.array(*named)) if named else nothing
+    return F.array_distinct(F.concat(nothing, filled, *[in_cell(c) for c in texts]))

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterline.functions import text as t
-from rosterline.operators import compliance, linkage, outliers, pii, registry, review, search
+from rosterline.operators import compliance, flags, linkage, outliers, pii, registry, review, score, search
 from rosterline.plans import standins as s
 from rosterline.plans.catalog import plan
 from rosterline.plans.inference import LUHN_SQL
-from rosterline.runtime import table
-from rosterline.sources import tenants
+from rosterline.runtime import scratch, table
 
 # --- duplicates ---------------------------------------------------------------------------------
 
@@ -298,30 +297,117 @@ def accepted_suggestions(spark: SparkSession, d: str) -> DataFrame:
 
 # --- all detectors together ---------------------------------------------------------------------
 
+_STATS = """, stats AS (SELECT specialty, avg(volume) AS m, stddev_samp(volume) AS sd, quantile_disc(volume, 0.99) AS p99
+        FROM records GROUP BY 1),
+    scored AS (SELECT r.*, 1 - 1 / (1 + abs((volume - m) / sd)) AS a,
+        abs((volume - m) / sd) > 3 OR volume / m >= 10 OR volume > p99 AS distant, volume / m AS ratio
+        FROM records r JOIN stats USING (specialty))"""
+
+
+def _flag_sql(category: str, field: str, rest: str, name: str | None = None) -> str:
+    return f"""SELECT company_id, '{category}:{name or field}:' || record_id AS flag_id, '{category}' AS category, record_id,
+        '{field}' AS field, {rest}, false AS resolved"""
+
+
+_DETECTED = f"""{_CHECKED}{_PAIRS}{_STATS}, detected AS (
+    {_flag_sql("npi_validation", "npi", f"""issue_type, {_SEVERITY} AS severity, CAST(NULL AS DOUBLE) AS score,
+        CASE issue_type WHEN 'Inactive' THEN 'NPI is inactive since ' || deactivated_year WHEN 'Invalid' THEN 'NPI check digit invalid'
+        WHEN 'Mismatch' THEN 'NPI specialty mismatch — registered as ' || g.specialty || ', uploaded as ' || r.specialty
+        ELSE 'NPI not found in NPPES registry' END AS reason""")}
+        FROM errors JOIN records r USING (record_id) LEFT JOIN registry g ON g.npi = r.npi
+    UNION ALL {_flag_sql("duplicates", "npi", "'Same npi', 'Medium', NULL, 'Same npi as record ' || rec1")}
+        FROM (SELECT company_id, rec2 AS record_id, rec1 FROM pairs JOIN records ON record_id = rec2)
+    UNION ALL {_flag_sql("outliers", "email", "'Domain', 'Medium', NULL, 'Email domain does not match registered practice location'")}
+        FROM records JOIN companies USING (company_id)
+        WHERE contains(email, '@') AND split_part(lower(email), '@', 2) <> email_domain
+    UNION ALL {_flag_sql("outliers", "volume", """'Statistical', CASE WHEN a >= 0.85 THEN 'High' WHEN a >= 0.70 THEN 'Medium' ELSE 'Low' END,
+        round(a, 4), 'volume ' || CASE WHEN ratio >= 10 THEN CAST(floor(ratio) AS BIGINT) || 'x above ' ELSE 'far from ' END
+        || lower(specialty) || ' specialty average'""")} FROM scored WHERE distant
+    UNION ALL {_flag_sql("outliers", "expires", """'Expiry', 'Low', NULL,
+        'License expiry date ' || (year(updated_at) - 1980) || ' years in the future'""")}
+        FROM records WHERE CAST(updated_at + INTERVAL 20 YEARS AS DATE) > DATE '2020-06-15'
+    UNION ALL {_flag_sql("PII", "address", "'Physical Address', 'High', NULL, 'Physical Address in address'", "address/Home Address")}
+        FROM records WHERE trim(coalesce(address, '')) <> '')"""
+
+
+def _detected(spark: SparkSession, d: str) -> DataFrame:
+    records = s.records(spark, d).withColumn("expires", F.expr("updated_at + INTERVAL 20 YEARS"))
+    found = flags.of_records(
+        records, s.registry(spark, d), s.companies(spark, d), {"address": "home_address"}, ("address",), expiry="expires", as_of="2000-06-15"
+    )
+    pairs = linkage.duplicate_pairs(records, fields=("company_id",))
+    return found.withColumn("score", F.round("score", 4)).unionByName(flags.of_pairs(pairs))
+
+
+@plan(s.sql("records registry companies", _DETECTED + " SELECT * FROM detected"))
+def detected_flags(spark: SparkSession, d: str) -> DataFrame:
+    """One flag list from all detectors."""
+    return _detected(spark, d)
+
+
+# A line item decides on one of the flags of its order.
+_TARGET = """CASE seq % 4 WHEN 0 THEN 'npi_validation:npi:' WHEN 1 THEN 'PII:address/Home Address:' WHEN 2 THEN 'outliers:email:'
+    ELSE 'duplicates:npi:' END"""
+_REVIEWED = (
+    f"{_DETECTED}, flags AS (SELECT * FROM detected), resolutions AS (SELECT * REPLACE ({_TARGET} || flag_id AS flag_id) FROM log), "
+    + ", ".join(f"{name} AS ({s.SQL[name]})" for name in ("accepted", "effective", "decided"))
+).replace("SELECT flags.*, action,", "SELECT flags.* EXCLUDE (resolved), action,")
+_LOG = f"log AS ({s.SQL['resolutions']}), "
+
+
+def _reviewed(spark: SparkSession, d: str) -> DataFrame:
+    """Detected flags with their decisions, stored, since score, gate and release all read them."""
+    found = _detected(spark, d).drop("resolved")
+    resolutions = s.resolutions(spark, d).withColumn("flag_id", F.expr(f"concat({_TARGET}, flag_id)"))
+    path = scratch(spark, "decided")
+    review.with_decision(found, review.latest(review.accepted_overrides(resolutions, found))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _review_sql(body: str) -> str:
+    return s.sql("records registry companies", _REVIEWED + body).replace("WITH ", "WITH " + _LOG, 1)
+
 
 @plan(
-    s.sql(
-        "records registry companies",
-        _CHECKED
-        + _PAIRS
-        + f"""SELECT 'npi_validation' AS category, record_id, {_SEVERITY} AS severity FROM errors
-        UNION ALL SELECT 'duplicates', rec2, 'Medium' FROM pairs
-        UNION ALL SELECT 'outliers', record_id, 'Medium' FROM records JOIN companies USING (company_id)
-            WHERE contains(email, '@') AND split_part(lower(email), '@', 2) <> email_domain
-        UNION ALL SELECT 'pii', record_id, 'High' FROM records WHERE trim(coalesce(address, '')) <> ''""",
+    _review_sql(
+        """, weighted AS (SELECT company_id, lower(category) AS c, resolved,
+            CASE WHEN category = 'duplicates' THEN 1 WHEN severity = 'High' THEN 3 WHEN severity = 'Medium' THEN 2 ELSE 1 END AS w FROM decided),
+        shares AS (SELECT company_id, c, count(*) AS n, sum(CASE WHEN resolved THEN w ELSE 0 END) / sum(w) AS share
+            FROM weighted GROUP BY 1, 2),
+        points AS (SELECT company_id, sum(n) AS flags,
+            coalesce(any_value(share) FILTER (WHERE c = 'npi_validation'), 1) * 30 + coalesce(any_value(share) FILTER (WHERE c = 'pii'), 1) * 25
+            + coalesce(any_value(share) FILTER (WHERE c = 'duplicates'), 1) * 25 + coalesce(any_value(share) FILTER (WHERE c = 'outliers'), 1) * 20 AS p
+            FROM shares GROUP BY 1),
+        sizes AS (SELECT company_id, count(*) AS total_rows FROM records GROUP BY 1)
+        SELECT company_id, CAST(flags AS BIGINT) AS flags,
+            CAST(greatest(0, least(100, floor(p - least(5.0, flags / (total_rows / 1000.0) * 0.4) + 0.5))) AS BIGINT) AS score
+        FROM sizes JOIN points USING (company_id)"""
     )
 )
-def detected_flags(spark: SparkSession, d: str) -> DataFrame:
-    """One flag list from the four detectors."""
-    records = s.records(spark, d)
-    npi = registry.errors(registry.validate(records, s.registry(spark, d))).select("record_id", "severity")
-    pairs = _pairs(spark, d).select(F.col("rec2").alias("record_id"), F.lit("Medium").alias("severity"))
-    off_domain = outliers.domain_mismatch(records, s.companies(spark, d), "company_id")
-    home = records.select("record_id", F.col("address").alias("home_address"))
-    found = {
-        "npi_validation": npi,
-        "duplicates": pairs,
-        "outliers": off_domain.select("record_id", F.lit("Medium").alias("severity")),
-        "pii": pii.in_columns(home, ["record_id"]).select("record_id", "severity"),
-    }
-    return tenants.stack(*[flags.withColumn("category", F.lit(name)) for name, flags in found.items()])
+def review_pipeline_score(spark: SparkSession, d: str) -> DataFrame:
+    """Score of each company after the decisions on its detected flags."""
+    sizes = s.records(spark, d).groupBy("company_id").agg(F.count(F.lit(1)).alias("total_rows"))
+    return score.health_score(_reviewed(spark, d), sizes, ["company_id"]).drop("label")
+
+
+@plan(
+    _review_sql(
+        """, losers AS (SELECT CASE WHEN master = 2 THEN rec1 ELSE rec2 END AS record_id FROM pairs JOIN decided ON record_id = rec2
+            WHERE category = 'duplicates' AND action IN ('merged', 'removed')
+            UNION SELECT record_id FROM decided WHERE category <> 'duplicates' AND action = 'removed'),
+        hidden AS (SELECT record_id FROM decided WHERE action = 'anonymized' AND field = 'address'),
+        masked AS (SELECT DISTINCT record_id FROM decided WHERE action = 'anonymized' AND field = 'email'),
+        warned AS (SELECT record_id, CASE WHEN coalesce(trim(note), '') = '' THEN 'No note provided' ELSE note END AS note
+            FROM decided WHERE action = 'warned')
+        SELECT record_id, CASE WHEN hidden.record_id IS NULL THEN address ELSE sha256(address) END AS address,
+            CASE WHEN masked.record_id IS NULL THEN email ELSE sha256(email) END AS email,
+            CASE WHEN note IS NULL THEN '' ELSE '[DATA QUALITY WARNING]' END AS dq_flag, note AS dq_note
+        FROM records LEFT JOIN hidden USING (record_id) LEFT JOIN masked USING (record_id) LEFT JOIN warned USING (record_id)
+        WHERE record_id NOT IN (SELECT record_id FROM losers)"""
+    )
+)
+def released_list(spark: SparkSession, d: str) -> DataFrame:
+    """What may leave after the decisions on the detected flags."""
+    records = s.records(spark, d).select("record_id", "npi", "address", "email")
+    pairs = linkage.duplicate_pairs(records, fields=("npi",))
+    return flags.release(records, _reviewed(spark, d), pairs, ["address", "email"]).drop("npi")
