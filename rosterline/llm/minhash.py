@@ -4,6 +4,9 @@ Documents with equal shingle sets are one class. Each tree of the forest is a so
 their hashes. Where few classes share a prefix, all of them are neighbours; where many do, the region is searched at
 the next depth. Neighbours whose sketches and set sizes allow the threshold are candidates. Candidates are confirmed
 on full sets, a spanning forest of the likeliest first; pairs that are already connected need no look.
+
+Classes of a region with many at the least depth are crowded. What the forest leaves apart among them is found by an
+exact join: two sets with the similarity share a shingle in short prefixes of any one order, here the rarest first.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ CHUNK = 100_000
 SLACK = 0.2
 #: Pairs of two components that are confirmed in the second round; the third takes all that are left.
 SECOND_ROUND = 8
+#: Bits of a shingle's hash that choose its counter. The counters only order the shingles; any order finds all pairs.
+COUNTER_BITS = 20
 
 _HASHES = TREES * DEPTH
 _SEEDS = np.random.default_rng(51).integers(1, 1 << 63, (2, _HASHES), np.uint64) | np.uint64(1)
@@ -93,7 +98,10 @@ def signatures(docs: DataFrame, text: str, identifier: str, shingle: int) -> Dat
 
 
 def candidates(classes: DataFrame, least: float) -> DataFrame:
-    """u, v (u < v), likeness of neighbouring classes whose similarity may reach ``least``; a pair may come twice."""
+    """u, v (u < v), likeness of neighbouring classes whose similarity may reach ``least``; a pair may come twice.
+
+    A row with u = v says that the class is crowded: not all classes of its region were compared with it in some order.
+    """
 
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,6 +145,8 @@ def _neighbours(rows: pa.Table, least: float) -> pa.RecordBatch:
             i = np.flatnonzero(small[:-step] & (region[:-step] == region[step:]))
             pairs.append((i, i + step))
         settled |= small
+        if depth == LEAST_DEPTH:  # a region at either end may go on in another chunk
+            crowded = ~settled | (region == 0) | (region == region[-1:])
     # What is left agrees on the whole order: each with the first of its region. Besides, the next two in any region.
     i = np.flatnonzero(~settled)
     leader = np.searchsorted(region, region[i])
@@ -156,8 +166,70 @@ def _neighbours(rows: pa.Table, least: float) -> pa.RecordBatch:
     likeness = (agree - 0.25) / 0.75
     on = likeness >= least - SLACK
     group = rows.column("class").to_numpy()
-    a, b = group[i[on]], group[j[on]]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(likeness[on])], ["u", "v", "likeness"])
+    own = group[crowded]
+    a, b, likeness = np.concatenate([group[i[on]], own]), np.concatenate([group[j[on]], own]), np.concatenate([likeness[on], np.ones(len(own))])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(likeness)], ["u", "v", "likeness"])
+
+
+def _counters(sets: DataFrame, shingle: int) -> np.ndarray:
+    """How frequent the shingles of each counter are, in eighths of a power of two."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in common.slices(batches, "text"):
+            h, _ = shingle_sets(common.raw(batch, "text"), shingle)
+            n += np.bincount((h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(n))
+        at = np.flatnonzero(n)
+        for part in range(0, len(at), 1 << 16):
+            some = at[part : part + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["counter", "n"])
+
+    level = F.least(F.floor(8 * F.log2(F.sum("n"))), F.lit(255)).cast("int")
+    found = sets.select("text").mapInArrow(count, "counter long, n long").groupBy("counter").agg(level.alias("level")).toArrow()
+    levels = np.zeros(1 << COUNTER_BITS, np.uint8)
+    levels[found.column("counter").to_numpy()] = found.column("level").to_numpy()
+    return levels
+
+
+def apart(sets: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+    """u, v (u < v), likeness of all pairs of ``sets`` (class, component, text) that may be similar and lie in two components.
+
+    Exact: in any one order of the shingles, the shorter of two similar sets shares one of its first
+    n - ceil(2s / (1 + s) n) + 1 shingles with the first n - ceil(s n) + 1 of the longer, and at the first that is
+    shared enough of both is still to come. Members of one component are never paired with each other.
+    """
+    levels = _counters(sets, shingle)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            h, doc = shingle_sets(common.raw(batch, "text"), shingle)
+            order = np.lexsort((h, levels[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], doc))
+            h, doc = h[order], doc[order]
+            size = np.bincount(doc, minlength=batch.num_rows)
+            n = size[doc]
+            place = np.arange(len(h)) - (np.cumsum(size) - size)[doc]
+            on = place <= n + -share[0] * n // share[1]
+            short = place <= n + -2 * share[0] * n // (share[0] + share[1])
+            named = batch.select(["class", "component"]).take(pa.array(doc[on]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[on].view(np.int64)), *named.columns, pa.array(n[on]), pa.array(place[on]), pa.array(short[on])], ["h", "class", "component", "n", "place", "short"]
+            )
+
+    entries = common.stored(sets.select("class", "component", "text").mapInArrow(prefixes, "h long, class long, component long, n long, place long, short boolean"), "prefixes")
+    held = entries.groupBy("h", "component").agg(F.max("short").alias("short"))
+    several = held.groupBy("h").agg(F.count("*").alias("components")).filter("components > 1").select(F.col("h").bitwiseXOR(F.lit(0)).alias("k"))
+    held = common.stored(held.join(several, held.h == several.k).drop("k"), "prefix-components")
+    one, other = (held.select("h", F.col("component").alias(f"at_{c}"), F.col("short").alias(f"any_{c}")) for c in "uv")
+    met = one.filter("any_u").drop("any_u").join(other.drop("any_v"), "h").filter("at_u <> at_v")
+    for c in "uv":
+        chosen = entries.filter("short") if c == "u" else entries
+        own = chosen.select("h", F.col("component").alias(f"at_{c}"), *(F.col(x).alias(f"{x}_{c}") for x in ("class", "n", "place")))
+        met = met.join(own, ["h", f"at_{c}"])
+    sizes = (F.col("n_u") < F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("class_u") < F.col("class_v")))
+    enough = share[1] * F.col("n_u") >= share[0] * F.col("n_v")
+    to_come = (share[0] + share[1]) * F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v")) >= share[0] * (F.col("n_u") + F.col("n_v"))
+    ordered = [f("class_u", "class_v").alias(c) for f, c in ((F.least, "u"), (F.greatest, "v"))]
+    return met.filter(sizes & enough & to_come).select(*ordered).groupBy("u", "v").agg(F.count("*").cast("double").alias("likeness"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
@@ -192,8 +264,8 @@ def near_duplicates(
         signed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),
         "classes",
     )
-    pairs = common.stored(candidates(classes, share[0] / share[1]).groupBy("u", "v").agg(F.max("likeness").alias("likeness")), "candidates")
-    labels = _components(pairs, _texts(pairs, classes, docs, text, identifier, shingle), shingle, share)
+    neighbours = common.stored(candidates(classes, share[0] / share[1]).groupBy("u", "v").agg(F.max("likeness").alias("likeness")), "candidates")
+    labels = _components(neighbours, _texts(neighbours, classes, docs, text, identifier, shingle), shingle, share)
     component = F.coalesce("component", "class")
     of_class = classes.select("class", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", component)
     least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -217,26 +289,42 @@ def _texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, ide
     return common.stored(found.dropDuplicates(["class"]), "candidate-texts")
 
 
-def _components(pairs: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
-    """node, component of the confirmed links: the likeliest earlier neighbour of each class, then what is still apart."""
+def _components(neighbours: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+    """node, component of the confirmed links: the likeliest earlier neighbour of each class, then what is still apart.
+
+    At last come the pairs of crowded classes that the forest didn't compare.
+    """
+    pairs, crowded = neighbours.filter("u <> v"), neighbours.filter("u = v").select(F.col("u").alias("class"))
     early, late = F.xxhash64("u") < F.xxhash64("v"), F.xxhash64("u") >= F.xxhash64("v")
     turned = pairs.select(F.when(early, F.col("v")).otherwise(F.col("u")).alias("child"), F.when(late, F.col("v")).otherwise(F.col("u")).alias("parent"), "likeness")
     best = turned.groupBy("child").agg(F.max(F.struct("likeness", "parent")).alias("best")).select("child", F.col("best.parent").alias("parent"))
     tested = common.stored(best.select(F.least("child", "parent").alias("u"), F.greatest("child", "parent").alias("v")), "tested")
     links = common.stored(confirmed(tested, texts, shingle, share), "links")
-    labels = graph.components(links)
+    state = _rounds(pairs, texts, shingle, share, (tested, links, graph.components(links)))
+    if not crowded.isEmpty():
+        sets = texts.join(crowded, "class").join(state[2].withColumnRenamed("node", "class"), "class", "left")
+        sets = common.stored(sets.withColumn("component", F.coalesce("component", "class")), "crowded")
+        state = _rounds(common.stored(apart(sets, shingle, share), "crowded-pairs"), texts, shingle, share, state)
+    return state[2]
+
+
+def _rounds(
+    pairs: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int], state: tuple[DataFrame, DataFrame, DataFrame]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tested pairs, links and labels once all ``pairs`` that are apart are tested, the likeliest of two components first."""
+    tested, links, labels = state
     for most in (SECOND_ROUND, None):
         u, v = (labels.select(F.col("node").alias(c), F.col("component").alias(f"at_{c}")) for c in "uv")
-        apart = pairs.join(u, "u", "left").join(v, "v", "left").withColumns({f"at_{c}": F.coalesce(f"at_{c}", c) for c in "uv"}).filter("at_u <> at_v")
-        apart = apart.join(tested, ["u", "v"], "left_anti")
+        left = pairs.join(u, "u", "left").join(v, "v", "left").withColumns({f"at_{c}": F.coalesce(f"at_{c}", c) for c in "uv"}).filter("at_u <> at_v")
+        left = left.join(tested, ["u", "v"], "left_anti")
         if most:
             ranked = Window.partitionBy(F.least("at_u", "at_v"), F.greatest("at_u", "at_v")).orderBy(F.desc("likeness"), "u", "v")
-            apart = apart.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= most)
-        apart = common.stored(apart.select("u", "v"), "tested")
-        if apart.isEmpty():
+            left = left.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= most)
+        left = common.stored(left.select("u", "v"), "tested")
+        if left.isEmpty():
             break
-        more = common.stored(confirmed(apart, texts, shingle, share), "links")
-        tested, links = tested.unionByName(apart), links.unionByName(more)
+        more = common.stored(confirmed(left, texts, shingle, share), "links")
+        tested, links = tested.unionByName(left), links.unionByName(more)
         if not more.isEmpty():
             labels = graph.components(links)
-    return labels
+    return tested, links, labels

@@ -101,6 +101,23 @@ def test_minhash_components(docs, rows):
     }
 
 
+def test_minhash_template_family(spark):
+    """Texts that share a long template are below the threshold as a whole; the pairs among them are found all the same."""
+    common.ship(spark)
+    rng = np.random.default_rng(51)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 8))
+    template = [word() for _ in range(140)]
+    texts = []
+    for _ in range(500):
+        own = [word() for _ in range(10)]
+        texts += [" ".join([*template, *own, *(word() for _ in range(16))]) for _ in range(2)]
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(i, i + 1) >= 0.8 > alike(i, i + 2) for i in range(0, 998, 2))
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(1000)}
+
+
 def test_encoding_and_decoding(docs, rows, small_groups, tokenizer, monkeypatch):
     monkeypatch.setattr(bpe, "ONE_IN", 8)
     library = bpe.Tokenizer.from_str(tokenizer)
