@@ -18,6 +18,8 @@ TILE, STRIP = 4096, 512
 TREE, LEAF, QUERIES = 8192, 32, 4096
 #: Projected dimensions (even), and the confidence of the test that stops a search.
 PROJECTED, CONFIDENCE = 8, 0.98
+#: What rounding may add to a squared projected distance; leaves at the bound itself are read, as ties go to smaller ids.
+MARGIN = 1e-9
 _SEED = 7
 
 
@@ -227,7 +229,7 @@ def _searched(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
                 best, score = np.concatenate([best, new]), np.concatenate([score, cosine])
                 top = np.lexsort((ids[best], -score))[:k]
                 best, score, at, step = best[top], score[top], at + step, step * 2
-                if len(best) == k and at < len(order) and distance[order[at]] >= enough * max(2 - 2 * score[-1], 0):
+                if len(best) == k and at < len(order) and distance[order[at]] > enough * max(2 - 2 * score[-1], 0) + MARGIN:
                     break
             out[0].extend([query_id] * len(best))
             out[1].extend(ids[best])

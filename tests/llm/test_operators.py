@@ -175,6 +175,21 @@ def test_embedding_links_and_neighbours(spark, monkeypatch):
     assert hits >= 0.9 * 75 and len(found) == 75
 
 
+def test_neighbours_among_copies(spark):
+    """A query with hundreds of copies gets those with the smallest ids, whichever way its cosine of 1 is rounded."""
+    common.ship(spark)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((2000, 64))
+    groups = [sorted(g.tolist()) for g in rng.permutation(2000)[:1800].reshape(6, 300)]
+    for g in groups:
+        x[g] = x[g[0]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = {q: g for g in groups for q in g[::100]}
+    found = vectors.nearest(df, df.filter(df.vec_id.isin(list(asked)))).collect()
+    got = {q: [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in asked}
+    assert got == {q: [i for i in g if i != q][:5] for q, g in asked.items()}
+
+
 def test_archives(spark):
     common.ship(spark)
     body = "<p>" + "é\r\n\r\nWARC/1.0\r\n" * 20
