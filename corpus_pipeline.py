@@ -29,19 +29,25 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates on 5-word shingles; those without words are no one's duplicate."""
+    """One document of each group of near-duplicates on 5-word shingles; those without words are no one's duplicate.
+
+    Documents are told apart by all their columns: null ids and ids that several documents have are no reason to go.
+    """
     common.ship(spark)
-    found = minhash.near_duplicates(docs)
-    kept = found.filter("kept").select(found.doc_id.alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return minhash.one_of_each(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated strings; one of which nothing is left goes. A character cut in two goes whole."""
+    """Documents without their repeated strings; one of which nothing is left goes. A character cut in two goes whole.
+
+    Texts return to their rows by a hash of all columns, so null and repeated ids are as good as others.
+    """
     common.ship(spark)
-    found = suffixes.as_text(suffixes.repeats_removed(docs))
-    left = found.filter((F.octet_length("kept_text") > 0) | (F.col("n_bytes") == 0)).select("doc_id", F.col("kept_text").alias("_text"))
-    fresh = docs.drop("text", "n_chars").join(left, "doc_id")
+    keyed = docs.select("*", common.row_keys(docs)[0].alias("_row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes"))
+    found = suffixes.as_text(suffixes.repeats_removed(keyed, identifier="_row"))
+    left = found.filter((F.octet_length("kept_text") > 0) | (F.col("n_bytes") == 0))
+    left = left.select(F.col("doc_id").alias("_row"), F.col("n_bytes").alias("_bytes"), F.col("kept_text").alias("_text")).dropDuplicates(["_row", "_bytes"])
+    fresh = keyed.drop("text", "n_chars").join(left, ["_row", "_bytes"])
     text = F.col("_text")
     return fresh.select(*(text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 

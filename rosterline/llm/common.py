@@ -63,6 +63,13 @@ def remainder(identifier: str, divisor: int) -> Column:
     return F.coalesce(F.crc32(F.col(identifier).cast("string").cast("binary")) % divisor, F.lit(-1))
 
 
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes over all columns, row_a and row_b: rows with equal keys are equal, null ids and repeated ids or not."""
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+    each = [x for c in columns for x in (c.isNull(), c)]
+    return [F.xxhash64(F.lit(k), *each).alias(name) for k, name in enumerate(("row_a", "row_b"))]
+
+
 def parts(df: DataFrame, size: Column, target: int) -> int:
     """How many groups of about ``target`` the rows fill; a count over all rows, no upper limit."""
     total = df.select(F.sum(size)).first()[0] or 0

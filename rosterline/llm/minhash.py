@@ -34,6 +34,7 @@ SECOND_ROUND = 8
 #: Bits of a shingle's hash that choose its counter. The counters only order the shingles; any order finds all pairs.
 COUNTER_BITS = 20
 
+_ROW = ("doc_id", "row_a", "row_b")
 _HASHES = TREES * DEPTH
 _SEEDS = np.random.default_rng(51).integers(1, 1 << 63, (2, _HASHES), np.uint64) | np.uint64(1)
 
@@ -75,7 +76,7 @@ def _classes(h: np.ndarray, doc: np.ndarray, texts: int) -> tuple[np.ndarray, np
 
 
 def signatures(docs: DataFrame, text: str, identifier: str, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, class (of equal sets; null without words) and signature of every row."""
+    """doc_id, row_a, row_b, n_shingles, class (of equal sets; null without words) and signature of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
@@ -89,12 +90,12 @@ def signatures(docs: DataFrame, text: str, identifier: str, shingle: int) -> Dat
                     hashes[at, j] = np.minimum.reduceat((h * _SEEDS[0, j] + _SEEDS[1, j]) >> np.uint64(32), starts)
             none = size == 0
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(size), pa.array(group, mask=none),
+                *(batch.column(c) for c in _ROW), pa.array(size), pa.array(group, mask=none),
                 pa.array([None if x else s.tobytes() for x, s in zip(none, hashes, strict=True)], pa.binary()),
-            ], ["doc_id", "n_shingles", "class", "signature"])
+            ], [*_ROW, "n_shingles", "class", "signature"])
 
-    named = docs.select(F.col(identifier).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return named.mapInArrow(sign, "doc_id long, n_shingles long, class long, signature binary")
+    named = docs.select(F.col(identifier).cast("long").alias("doc_id"), *common.row_keys(docs), F.col(text).alias("text"))
+    return named.mapInArrow(sign, "doc_id long, row_a long, row_b long, n_shingles long, class long, signature binary")
 
 
 def candidates(classes: DataFrame, least: float) -> DataFrame:
@@ -259,34 +260,51 @@ def near_duplicates(
     id is its smallest doc_id; null ids aren't chosen, and a row with a null id isn't kept. Rows with equal ids and
     texts are linked and both kept. An empty table gives an empty result.
     """
+    found = _found(docs.select(identifier, text), shingle, share, text, identifier)
+    chosen: Column = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", chosen.alias("component_id"), F.coalesce(F.col("doc_id") == chosen, F.lit(False)).alias("kept"))
+
+
+def one_of_each(
+    docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), text: str = "text", identifier: str = "doc_id"
+) -> DataFrame:
+    """The rows of docs, one for each component of near-duplicates, whatever its ids; all rows without words.
+
+    It is the one with the smallest id, a null id last, and among equal ids the one with the smallest hash over all
+    columns, so that a retry chooses the same. Rows with equal ids whose texts aren't similar all stay.
+    """
+    found = _found(docs, shingle, share, text, identifier)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), *_ROW)).alias("first")
+    chosen = found.filter("class IS NOT NULL").groupBy("component").agg(first).select("first.row_a", "first.row_b", F.lit(False).alias("every"))
+    kept = chosen.unionByName(found.filter("class IS NULL").select("row_a", "row_b").distinct().withColumn("every", F.lit(True)))
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), *common.row_keys(docs)).join(kept, ["row_a", "row_b"])
+    once = rows.groupBy("row_a", "row_b", "every").agg(F.first("row").alias("row"), F.count("*").alias("n"))
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.when(F.col("every"), F.col("n")).otherwise(1)))).select("row.*")
+
+
+def _found(docs: DataFrame, shingle: int, share: tuple[int, int], text: str, identifier: str) -> DataFrame:
+    """doc_id, row_a, row_b, n_shingles, class, component and component_id (its smallest doc_id) of every row."""
     signed = common.stored(signatures(docs, text, identifier, shingle), "signatures")
     classes = common.stored(
-        signed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),
+        signed.filter("class IS NOT NULL").groupBy("class").agg(
+            F.min("doc_id").alias("doc_id"), F.min(F.struct("row_a", "row_b")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+        ),
         "classes",
     )
     neighbours = common.stored(candidates(classes, share[0] / share[1]).groupBy("u", "v").agg(F.max("likeness").alias("likeness")), "candidates")
-    labels = _components(neighbours, _texts(neighbours, classes, docs, text, identifier, shingle), shingle, share)
+    labels = _components(neighbours, _texts(neighbours, classes, docs, text), shingle, share)
     component = F.coalesce("component", "class")
     of_class = classes.select("class", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", component)
     least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = of_class.select("class", "component").join(least, "component").select("class", "component_id")
-    found = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    chosen: Column = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", chosen.alias("component_id"), F.coalesce(F.col("doc_id") == chosen, F.lit(False)).alias("kept"))
+    named = of_class.select("class", "component").join(least, "component").select("class", "component", "component_id")
+    return signed.drop("signature").join(named, "class", "left")
 
 
-def _texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, identifier: str, shingle: int) -> DataFrame:
-    """class, text for the classes in pairs. Other rows that have the id of the chosen one are recognised by their set."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class")
-    named = docs.select(F.col(identifier).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text"):
-            _, group = _classes(*shingle_sets(common.raw(batch, "text"), shingle), batch.num_rows)
-            yield batch.select(["class", "text"]).filter(pa.array(group == np.asarray(batch.column("class"))))
-
-    found = wanted.join(named, "doc_id").select("class", "text").mapInArrow(check, "class long, text string")
-    return common.stored(found.dropDuplicates(["class"]), "candidate-texts")
+def _texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """class, text for the classes in pairs, of the row that stands for the class."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct().join(classes.select("class", "row.row_a", "row.row_b"), "class")
+    named = docs.select(*common.row_keys(docs), F.col(text).alias("text"))
+    return common.stored(wanted.join(named, ["row_a", "row_b"]).select("class", "text").dropDuplicates(["class"]), "candidate-texts")
 
 
 def _components(neighbours: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -118,6 +119,25 @@ def test_minhash_template_family(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(1000)}
 
 
+def test_stages_keep_null_and_repeated_ids(spark):
+    """Documents with null ids, or an id that others have too, go only as duplicates."""
+    common.ship(spark)
+    rng = np.random.default_rng(6)
+    a, b, c, d, e, f = (" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)) for _ in range(6))
+    # A unique null id; a group of null ids only, near and equal; a null id beside a number; one id with two texts, one
+    # of them a duplicate of a smaller id; wordless rows.
+    table = [(None, a), (None, b), (None, b), (None, b + " more"), (None, c), (4, c + " more"), (5, d), (5, e), (3, e + " more"), (7, f), (8, f), (None, ""), (None, ""), (9, " ")]
+    docs = spark.createDataFrame([(i, t, "en", len(t)) for i, t in table], "doc_id long, text string, lang string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.minhash_dedup(spark, docs, "").collect())
+    group = [x for x in got if x in ((None, b), (None, b + " more"))]
+    assert len(group) == 1 and got == Counter([(None, a), group[0], (4, c + " more"), (5, d), (3, e + " more"), (7, f), (None, ""), (None, ""), (9, " ")])
+    linked = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame([(None, c), (4, c + " more"), (3, c + " most")], "doc_id long, text string")).collect()}
+    assert linked == {(None, 3), (4, 3), (3, 3)}
+    short = spark.createDataFrame([(None, a[:150], 0), (None, b[:150], 0), (5, c[:150], 0), (5, d[:150], 0), (6, e, 0), (6, f, 0), (None, e, 0)], "doc_id long, text string, n_chars long")
+    left = Counter((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.suffix_dedup(spark, short, "").collect())
+    assert left == Counter([(None, a[:150], 150), (None, b[:150], 150), (5, c[:150], 150), (5, d[:150], 150), (6, f, len(f))])
+
+
 def test_encoding_and_decoding(docs, rows, small_groups, tokenizer, monkeypatch):
     monkeypatch.setattr(bpe, "ONE_IN", 8)
     library = bpe.Tokenizer.from_str(tokenizer)
