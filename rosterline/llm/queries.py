@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import bpe, common, divergence, importance, language, minhash, packing, quality, substrings, suffixes, vectors, warc
+from rosterline.llm import bpe, common, divergence, importance, language, minhash, packing, quality, rules, substrings, suffixes, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -197,3 +197,53 @@ scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 429496729
 ranked AS (SELECT i, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= n * 10 // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (i)
 """
+
+
+@query
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all documents and the verdict of the weakly supervised rules."""
+    return rules.judged(common.table(spark, sf_dir, "documents")).drop("quality")
+
+
+def _rounds_sql() -> str:
+    """The statistics, the votes and the rounds of expectation-maximisation in DuckDB's SQL."""
+    names = list(rules.RULES)
+    each = lambda form, join=", ": join.join(form.format(j=j, name=name) for j, name in enumerate(names))
+    votes = ", ".join(f"CASE WHEN {good} THEN 1 WHEN {bad} THEN -1 ELSE 0 END AS v{j}" for j, (good, bad) in enumerate(rules.RULES.values()))
+    odds = "ln(good / (1 - good)) + " + each(
+        "CASE v{j} WHEN 1 THEN ln(a{j} / (1 - b{j})) WHEN -1 THEN ln((1 - a{j}) / b{j}) ELSE 0 END", " + "
+    )
+    start = rules._estimate({(j, v): (0, 0) for j in range(len(names)) for v in (-1, 1)}, 0, 0)
+    first = ", ".join(f"{start.on_good[j]}::DOUBLE AS a{j}, {start.on_bad[j]}::DOUBLE AS b{j}" for j in range(len(names)))
+
+    def share(x: str, y: str, prior: tuple[int, int]) -> str:
+        total = lambda q: f"coalesce(sum({q}), 0)::DOUBLE / {rules.PARTS}"
+        return f"(({total(x)} + {prior[0]}) / ({total(x)} + {total(y)} + {sum(prior)}))"
+
+    vote = lambda part, j, v: f"CASE WHEN v{j} = {v} THEN {part} END"
+    estimates = ", ".join(
+        f"{share(vote('g', j, 1), vote('g', j, -1), rules.ON_GOOD)}, {share(vote('b', j, -1), vote('b', j, 1), rules.ON_BAD)}" for j in range(len(names))
+    )
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+windows AS (SELECT i, k, array_to_string(ws[k:k + 2], ' ') AS t FROM (SELECT i, ws, unnest(range(1, len(ws) - 1)) AS k FROM w WHERE len(ws) >= 3)),
+repeats AS (SELECT i, count(DISTINCT k + x) AS n FROM (SELECT i, k, count(*) OVER (PARTITION BY i, t) AS c FROM windows), range(3) r(x) WHERE c > 1 GROUP BY i),
+s AS (SELECT i, doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+  len(ls) AS n_lines, len(list_distinct(ws)) AS n_distinct, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '[!?*#$%&|<>=+~^_]{{2,}}')) AS n_marks,
+  len(list_filter(ws, lambda x: regexp_matches(x, '[.?!]["'')\]]*$'))) AS n_ends,
+  len(list_filter(ws, lambda x: regexp_matches(x, '^\p{{L}}[\p{{L}}\p{{M}}''-]*[,.;:!?]?$'))) AS n_bare FROM w LEFT JOIN repeats USING (i)),
+v AS (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed, {votes} FROM s),
+patterns AS (SELECT {each("v{j}")}, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+em AS (SELECT 0 AS k, {start.good}::DOUBLE AS good, {first}
+  UNION ALL
+  SELECT k + 1, {share("g", "b", rules.PRIOR)}, {estimates} FROM (
+    SELECT *, n * {rules.PARTS}::HUGEINT - g AS b FROM (SELECT *, n * floor({rules.PARTS} / (1 + exp(-({odds}))))::HUGEINT AS g FROM em, patterns WHERE k < {rules.ROUNDS}))
+  GROUP BY k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {odds} >= 0 AS kept
+FROM v, (SELECT * FROM em ORDER BY k DESC LIMIT 1)
+"""
+
+
+SQL["op12_rules"] = _rounds_sql()
