@@ -58,7 +58,7 @@ def of_records(
     """
     domains = companies.select("company_id", F.lower("email_domain").alias("_expected"))
     checked = registry.validate(records, known).withColumnRenamed("severity", "_npi_severity").join(domains, "company_id", "left")
-    rows = outliers.with_scores(checked, group, value, "left")
+    rows = outliers.with_scores(checked, group, value, "left", records)
     issue, ratio = F.col("issue_type"), F.col("ratio")
     reason = (
         F.when(issue == "Inactive", F.concat(F.lit(INACTIVE), F.coalesce(F.col("deactivated_year").cast("string"), F.lit("?"))))

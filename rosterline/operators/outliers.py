@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterline.functions.bands import anomaly_band
@@ -16,17 +16,46 @@ MAX_YEARS_AHEAD = 20
 
 
 def group_statistics(rows: DataFrame, group: str, value: str, accuracy: int = 10_000) -> DataFrame:
-    """Size, mean, deviation and 99th percentile per group; all of them pre-aggregate.
+    """Size, mean, deviation and exact 99th percentile per group; all of them pre-aggregate."""
+    v = F.col(value).cast("double")
+    stats = rows.groupBy(group).agg(
+        F.count(v).alias("group_size"), F.avg(v).alias("group_mean"), F.stddev_samp(v).alias("group_sd"), _band(v, 0.99, accuracy).alias("_band")
+    )
+    found = _in_band(rows, stats, group, v, 0.99).select(copied(F.col(group)).alias("_of"), F.col("percentile").alias("group_p99"))
+    return stats.drop("_band").join(found, F.col(group).cast("string") == F.col("_of"), "left").drop("_of")
+
 
-    The percentile is a bounded sketch with rank error 1/``accuracy``.
+def group_percentile(rows: DataFrame, group: str, value: str, q: float, accuracy: int = 10_000) -> DataFrame:
+    """``group, percentile``: the smallest value with at least the share ``q`` of its group's values up to it.
+
+    Exact for any partitioning, in two passes: a sketch per group gives a band of values that the percentile lies in;
+    the rows below it are counted, and only those within, some 4/``accuracy`` of a group and its equal values once, are
+    put in order. Nulls don't count; a group without values has no row.
     """
     v = F.col(value).cast("double")
-    return rows.groupBy(group).agg(
-        F.count(v).alias("group_size"),
-        F.avg(v).alias("group_mean"),
-        F.stddev_samp(v).alias("group_sd"),
-        F.percentile_approx(v, 0.99, accuracy).alias("group_p99"),
-    )
+    bands = rows.groupBy(group).agg(F.count(v).alias("group_size"), _band(v, q, accuracy).alias("_band"))
+    return _in_band(rows, bands, group, v, q)
+
+
+def _band(v: Column, q: float, accuracy: int) -> Column:
+    """Two values around the percentile, further off than the sketch's rank error of 1/``accuracy``."""
+    reach = 2 / accuracy
+    return F.percentile_approx(v, [max(0.0, q - reach), min(1.0, q + reach)], accuracy)
+
+
+def _in_band(rows: DataFrame, bands: DataFrame, group: str, v: Column, q: float) -> DataFrame:
+    low, high = F.col("_band")[0], F.col("_band")[1]
+    named = bands.select(copied(F.col(group)).alias("_of"), "group_size", "_band")
+    near = rows.select(group, v.alias("_v")).join(named, F.col(group).cast("string") == F.col("_of")).where(F.col("_v") <= high)
+    # All values below the band are one row per task, those within one row per value.
+    counted = near.groupBy(group, F.when(F.col("_v") >= low, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.first("group_size").alias("_size"))
+    upto = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy(group).orderBy(F.asc_nulls_first("_v"))))
+    rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_size") * F.lit(q).cast("decimal(18,12)")))
+    first = F.min_by(F.struct("_v"), F.col("_upto")).alias("_first")
+    # The first row that reaches the rank lies in the band, unless the sketch broke its promise.
+    reached = upto.where(F.col("_upto") >= rank).groupBy(group).agg(first)
+    sure = F.when(F.col("_first._v").isNotNull(), F.col("_first._v")).otherwise(F.raise_error(F.lit("percentile outside its band")))
+    return reached.select(group, sure.alias("percentile"))
 
 
 def distant() -> Column:
@@ -34,9 +63,12 @@ def distant() -> Column:
     return (F.abs("z") > DEVIATIONS) | (F.col("ratio") >= RATIO) | F.col("above_p99")
 
 
-def with_scores(rows: DataFrame, group: str, value: str, how: str = "inner") -> DataFrame:
-    """Rows with their distance from their group; those without a group are kept by a left join."""
-    stats = group_statistics(rows, group, value)
+def with_scores(rows: DataFrame, group: str, value: str, how: str = "inner", of: DataFrame | None = None) -> DataFrame:
+    """Rows with their distance from their group; those without a group are kept by a left join.
+
+    ``of`` has the rows that the statistics are taken from, where ``rows`` took joins to make.
+    """
+    stats = group_statistics(rows if of is None else of, group, value)
     stats = stats.withColumn("_group", copied(F.col(group))).drop(group)
     v = F.col(value).cast("double")
     z = F.try_divide(v - F.col("group_mean"), F.col("group_sd"))

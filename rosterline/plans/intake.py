@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterline.functions import text as t
@@ -12,7 +12,7 @@ from rosterline.plans import standins as s
 from rosterline.plans.catalog import plan
 from rosterline.plans.inference import COLUMNS, infer_sql
 from rosterline.runtime import scratch, table
-from rosterline.sources import csv_check, csv_scan, exports, tenants, upload
+from rosterline.sources import csv_check, csv_rows, csv_scan, exports, tenants, upload
 from rosterline.streaming import ingest
 
 
@@ -31,19 +31,24 @@ def csv_ingest_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _text_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Every document and page as one file of lines."""
-    documents = table(spark, d, "documents").selectExpr("concat('documents/', doc_id) AS file", "text")
-    pages = table(spark, d, "pages").selectExpr("concat('pages/', page_id) AS file", "html AS text")
-    lines = documents.unionByName(pages).select("file", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """Every document and page as one file of lines; some documents get a byte that isn't UTF-8 in their second line."""
+    documents = table(spark, d, "documents").selectExpr("concat('documents/', doc_id) AS file", "text", "doc_id % 40 = 3 AS bad")
+    pages = table(spark, d, "pages").selectExpr("concat('pages/', page_id) AS file", "html AS text", "false AS bad")
+    split = documents.unionByName(pages).withColumn("text", F.split("text", "\n"))
+    lines = split.select("file", (F.col("bad") & (F.least(F.size("text"), F.lit(2)) == 1)).alias("one"), "bad", F.posexplode("text").alias("pos", "line"))
+    hit = F.col("bad") & (F.col("pos") == F.when(F.col("one"), 0).otherwise(1))
+    broken = F.concat(F.col("line").cast("binary"), F.unhex(F.lit("FF"))).cast("string")
+    lines = lines.withColumn("line", F.when(hit, broken).otherwise(F.col("line")))
     return lines.select("file", F.lit(0).cast("long").alias("block"), F.col("pos").cast("long").alias("pos"), "line")
 
 
 # The check walks the lines of each text one by one.
 @plan(
     """WITH RECURSIVE files AS (
-        SELECT concat('documents/', doc_id) AS file, string_split(text, chr(10)) AS lines FROM documents
-        UNION ALL SELECT concat('pages/', page_id), string_split(html, chr(10)) FROM pages),
-    lines AS (SELECT file, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM files),
+        SELECT concat('documents/', doc_id) AS file, string_split(text, chr(10)) AS lines, doc_id % 40 = 3 AS bad FROM documents
+        UNION ALL SELECT concat('pages/', page_id), string_split(html, chr(10)), false FROM pages),
+    whole AS (SELECT file, bad, len(lines) AS n, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM files),
+    lines AS (SELECT file, i, line || CASE WHEN bad AND i = least(2, n) THEN '?' ELSE '' END AS line FROM whole),
     step AS (SELECT file, i, CASE
         WHEN regexp_matches(line, '^("[^"]*(""[^"]*)*"|[^",][^,]*|)(,("[^"]*(""[^"]*)*"|[^",][^,]*|))*$') THEN 0
         WHEN regexp_matches(line, '^(("[^"]*(""[^"]*)*"|[^",][^,]*|),)*"[^"]*(""[^"]*)*$') THEN 1 ELSE 2 END AS o, CASE
@@ -57,13 +62,14 @@ def _text_lines(spark: SparkSession, d: str) -> DataFrame:
             multi OR (CASE state WHEN 0 THEN o WHEN 1 THEN n ELSE 2 END) = 1
         FROM walk JOIN step ON step.file = walk.file AND step.i = walk.i + 1)
     SELECT walk.file, len(files.lines) AS lines,
-        CASE state WHEN 0 THEN 'ok' WHEN 1 THEN 'unclosed_quote' ELSE 'stray_text' END AS status,
-        CASE state WHEN 1 THEN len(files.lines) WHEN 2 THEN bad ELSE 0 END AS line_number, multi AS multi_line
+        CASE WHEN files.bad THEN 'invalid_utf8' WHEN state = 0 THEN 'ok' WHEN state = 1 THEN 'unclosed_quote' ELSE 'stray_text' END AS status,
+        CASE WHEN files.bad THEN 1 WHEN state = 1 THEN len(files.lines) WHEN state = 2 THEN walk.bad ELSE 0 END AS line_number, multi AS multi_line,
+        CASE WHEN files.bad THEN least(2, len(files.lines)) ELSE 0 END AS bad_line
     FROM walk JOIN files ON walk.file = files.file AND walk.i = len(files.lines)"""
 )
 def csv_structure(spark: SparkSession, d: str) -> DataFrame:
-    verdicts = csv_check.structure_faults(_text_lines(spark, d))
-    return verdicts.withColumn("line_number", F.coalesce("line_number", F.lit(0).cast("long")))
+    verdicts = csv_check.structure_faults(_text_lines(spark, d), ())  # every text is one split
+    return verdicts.drop("header", "header_pos").fillna(0, ["line_number", "bad_line"])
 
 
 @plan(
@@ -379,3 +385,66 @@ def upload_pipeline(spark: SparkSession, d: str) -> DataFrame:
     files = found.verdicts.groupBy(*keys("file")).agg(F.bool_or(F.col("status") != "ok").alias("rejected"))
     joined = files.join(rows, ["company", "layout"], "left").join(aside, ["company", "layout"], "left")
     return joined.fillna(0, ["kept", "quarantined", "short", "id_sum", "note_chars"])
+
+
+_FILES = f"""WITH o AS (SELECT concat('T', o_custkey % 3) AS company, CAST(o_orderkey % 4 AS INT) AS layout, o_orderkey // {IDS_PER_FILE} AS part,
+    o_orderkey AS id, o_custkey AS customer, o_custkey % 5 AS w FROM orders),
+    r AS (SELECT *, concat(company, '/', layout, '/', part) AS upload_id, layout = 2 AND w = 0 AS wide, layout = 2 AND w = 1 AS short FROM o)"""
+
+
+def _scanned(spark: SparkSession, d: str) -> upload.Scan:
+    path = scratch(spark, "uploads")
+    _uploads(spark, d, path)
+    return upload.scan(spark, path)
+
+
+def _part(name: str, file: str = "file") -> Column:
+    return F.regexp_extract(file, f"{name}=([^/]*)", 1)
+
+
+def _upload_id(file: str = "file") -> Column:
+    return F.concat_ws("/", _part("company", file), _part("layout", file), _part("part", file)).alias("upload_id")
+
+
+@plan(
+    _FILES
+    + """SELECT company AS company_id, upload_id, CASE WHEN layout = 3 THEN 'stray_text' ELSE 'ok' END AS status,
+        CASE WHEN layout = 3 THEN 2 ELSE 0 END AS line_number, CASE WHEN layout = 3 THEN 0 ELSE count_if(NOT wide) END AS total_rows,
+        count_if(short) AS short_rows, count_if(wide) AS quarantined,
+        CASE layout WHEN 3 THEN '' WHEN 1 THEN 'note,id,customer' ELSE 'id,customer,note' END AS columns
+    FROM r GROUP BY company, upload_id, layout"""
+)
+def upload_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The list of uploads that the files of three tenants give."""
+    listed = upload.uploads(_scanned(spark, d), _part("company"), _upload_id())
+    return listed.drop("file_name", "storage_path").withColumn("columns", F.array_join("columns", ",")).fillna(0, ["line_number"])
+
+
+@plan(
+    _FILES
+    + """SELECT upload_id, id::VARCHAR AS npi, CASE layout WHEN 0 THEN customer::VARCHAR WHEN 1 THEN 'line one' || chr(10) || 'line two' END AS last_name,
+        CASE WHEN layout = 2 AND NOT short THEN '6" y' END AS notes, short FROM r WHERE layout < 3 AND NOT wide"""
+)
+def uploaded_records(spark: SparkSession, d: str) -> DataFrame:
+    """All uploads as records under canonical names, each file by its own mapping."""
+    found = _scanned(spark, d)
+    pairs = (("id", "NPI", None), ("customer", "Last Name", "0"), ("note", "Last Name", "1"), ("note", "Notes", "2"))
+    chosen = F.array(*[F.struct(F.lit(raw).alias("raw"), F.lit(to).alias("target"), F.lit(layout).alias("layout")) for raw, to, layout in pairs])
+    each = found.files.select("file", F.inline(chosen)).where(F.col("layout").isNull() | (F.col("layout") == _part("layout")))
+    records = upload.mapped(found, each, ["NPI", "Last Name", "Notes"])
+    return records.select(_upload_id(), F.col("NPI").alias("npi"), F.col("Last Name").alias("last_name"), F.col("Notes").alias("notes"), F.col("_short").alias("short"))
+
+
+@plan(
+    _FILES
+    + """, n AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY id) + 1 AS row FROM r WHERE layout IN (0, 2))
+    SELECT upload_id, row, 'note' AS col, 'Non-numeric characters in NPI field' AS detail FROM n WHERE NOT short AND NOT wide"""
+)
+def located_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Faulty cells of uploaded files with the number of their line in the file, whatever splits it was read in."""
+    found = _scanned(spark, d)
+    plain = found.kept.where(_part("layout").isin("0", "2"))
+    value = lambda k: F.get("values", F.lit(k))
+    cells = csv_rows.located(plain, found.lines).select(F.struct("file", "row").alias("at"), value(1).alias("customer"), value(2).alias("note"), "raw")
+    errors = csv_scan.parse_errors(cells, "at", "note", "customer", "raw", ["id", "customer", "note"])
+    return errors.select(_upload_id("row.file"), F.col("row.row").alias("row"), "col", "detail")

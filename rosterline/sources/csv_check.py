@@ -18,6 +18,10 @@ OUTSIDE, INSIDE, FAULT = 0, 1, 2
 # Lines per run; a run's quoted lines are gathered in one array, so this bounds its size.
 RUN_LINES = 1 << 16
 
+# Bytes of a file whose splits become one step at each level of the tree. An array has at most the 1,024 splits of 4 MB in
+# 4 GB, and a file one entry per 4 GB; levels above, each over 1,024 of those below, are for single files of many TB.
+LEVELS = (1 << 32,)
+
 # Grammar of the format: quoted content, one field, and the four ways a line can be well-formed.
 CONTENT = r'[^"]*+(?:""[^"]*+)*+'
 FIELD = rf'(?:"{CONTENT}"|[^",][^,]*+|)'
@@ -78,6 +82,7 @@ def _chain(steps: Column, start: int) -> Column:
         F.lit(None).cast("long").alias("at"),
         F.lit(start == INSIDE).alias("multi"),
         F.lit(0).cast("long").alias("lines"),
+        F.lit(None).cast("long").alias("bad"),
     )
 
     def advance(acc: Column, s: Column) -> Column:
@@ -88,20 +93,32 @@ def _chain(steps: Column, start: int) -> Column:
             F.when(done, acc["at"]).otherwise(acc["lines"] + taken["at"]).alias("at"),
             (acc["multi"] | (~done & taken["multi"])).alias("multi"),
             (acc["lines"] + s["n"]).alias("lines"),
+            F.coalesce(acc["bad"], acc["lines"] + s["bad"]).alias("bad"),
         )
 
     return F.aggregate(steps, begin, advance)
 
 
-def structure_faults(lines: DataFrame) -> DataFrame:
-    """Verdict per file: ``file, lines, status, line_number, multi_line``.
+def _composed(steps: DataFrame, by: list[str], place: str, *starts: int) -> DataFrame:
+    """The consecutive steps of each group, in the order of ``place``, as one: ``by``, ``head`` and the step's fields."""
+    fields = F.struct(place, "n", "bad", "from_outside", "from_inside")
+    gathered = steps.groupBy(*by).agg(F.min_by("head", place).alias("head"), F.array_sort(F.collect_list(fields)).alias("steps"))
+    chained = gathered.select(*by, "head", *(_chain(F.col("steps"), x).alias(f"s{x}") for x in starts))
+    ends = [_outcome(F.col(f"s{x}.state"), F.col(f"s{x}.at"), F.col(f"s{x}.multi")).alias(name) for x, name in zip(starts, ("from_outside", "from_inside"))]
+    return chained.select(*by, "head", F.col(f"s{starts[0]}.lines").alias("n"), F.col(f"s{starts[0]}.bad").alias("bad"), *ends)
+
+
+def structure_faults(lines: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """Verdict per file: ``file, lines, status, line_number, multi_line, bad_line, header, header_pos``.
 
     ``status`` is ``ok``, ``invalid_utf8`` (reported at line 1), ``stray_text`` behind a closing quote
     (at its line) or ``unclosed_quote`` (at the last line). ``multi_line`` tells whether a quoted field
-    spans lines, which is what a reader must know to split the file or not.
+    spans lines, which is what a reader must know to split the file or not. ``bad_line`` is the first line
+    with bytes that aren't UTF-8, ``header`` and ``header_pos`` are the first line of the file and its ``pos``.
 
-    Lines become runs of at most 65,536, the runs of an input split one step, and the splits of a file
-    its verdict, so that no array grows beyond the number of runs per split or of splits per file.
+    Lines become runs of at most 65,536, the runs of an input split one step, and neighbouring splits one step at
+    each level of a tree, so that no array grows with the file. The levels need no further shuffle; there can be none
+    where no file is longer than the first.
     """
     line = F.col("line")
     from_outside, from_inside = _outcomes(line)
@@ -114,68 +131,75 @@ def structure_faults(lines: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("pos").alias("first_pos"),
-            F.count_if(~F.call_function("is_valid_utf8", line)).alias("bad_text"),
+            F.min(F.when(~F.call_function("is_valid_utf8", line), F.col("pos"))).alias("bad_pos"),
+            F.min_by(F.struct("line", "pos"), "pos").alias("head"),
             F.array_sort(F.collect_list(quoted)).alias("quoted"),
         )
         .select(
             "file",
             "block",
-            "bad_text",
-            F.struct(
-                "run",
-                "n",
-                _run(F.col("quoted"), F.col("first_pos"), OUTSIDE).alias("from_outside"),
-                _run(F.col("quoted"), F.col("first_pos"), INSIDE).alias("from_inside"),
-            ).alias("step"),
+            "run",
+            "n",
+            "head",
+            (F.col("bad_pos") - F.col("first_pos") + 1).alias("bad"),
+            _run(F.col("quoted"), F.col("first_pos"), OUTSIDE).alias("from_outside"),
+            _run(F.col("quoted"), F.col("first_pos"), INSIDE).alias("from_inside"),
         )
     )
-    ordered = F.array_sort(F.collect_list("step")).alias("steps")
-    blocks = runs.groupBy("file", "block").agg(F.sum("bad_text").alias("bad_text"), ordered)
-    outside, inside = _chain(F.col("steps"), OUTSIDE), _chain(F.col("steps"), INSIDE)
-    chained = blocks.select("file", "block", "bad_text", outside.alias("o"), inside.alias("i")).select(
-        "file",
-        "bad_text",
-        F.struct(
-            "block",
-            F.col("o.lines").alias("n"),
-            _outcome(F.col("o.state"), F.col("o.at"), F.col("o.multi")).alias("from_outside"),
-            _outcome(F.col("i.state"), F.col("i.at"), F.col("i.multi")).alias("from_inside"),
-        ).alias("step"),
-    )
-    files = chained.groupBy("file").agg(F.sum("bad_text").alias("bad_text"), ordered)
-    ended = files.select("file", "bad_text", _chain(F.col("steps"), OUTSIDE).alias("end"))
-    end = F.col("end")
+    steps = _composed(runs, ["file", "block"], "run", OUTSIDE, INSIDE).repartition("file")
+    for covered in levels:
+        steps = steps.withColumn("part", F.floor(F.col("block") / covered) * covered)
+        steps = _composed(steps, ["file", "part"], "block", OUTSIDE, INSIDE).withColumnRenamed("part", "block")
+    ended = _composed(steps, ["file"], "block", OUTSIDE)
+    end = F.col("from_outside")
     status = (
-        F.when(F.col("bad_text") > 0, "invalid_utf8")
+        F.when(F.col("bad").isNotNull(), "invalid_utf8")
         .when(end["state"] == FAULT, "stray_text")
         .when(end["state"] == INSIDE, "unclosed_quote")
         .otherwise("ok")
     )
     line_number = (
-        F.when(F.col("bad_text") > 0, F.lit(1).cast("long"))
+        F.when(F.col("bad").isNotNull(), F.lit(1).cast("long"))
         .when(end["state"] == FAULT, end["at"])
-        .when(end["state"] == INSIDE, end["lines"])
+        .when(end["state"] == INSIDE, F.col("n"))
     )
     return ended.select(
         "file",
-        end["lines"].alias("lines"),
+        F.col("n").alias("lines"),
         status.alias("status"),
         line_number.alias("line_number"),
         end["multi"].alias("multi_line"),
+        F.col("bad").alias("bad_line"),
+        F.col("head.line").alias("header"),
+        F.col("head.pos").alias("header_pos"),
     )
 
 
-def check_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Verdict per CSV file below ``path``, an empty one ``ok`` with no lines. Only names ending in ``.csv`` are checked."""
-    text = spark.read.text(path)
+def check_files(spark: SparkSession, path: str | list[str], lines: DataFrame | None = None) -> DataFrame:
+    """Verdict per CSV file below ``path``, an empty one ``ok`` with no lines. Only names ending in ``.csv`` are checked.
+
+    ``lines`` are those of the files where they were read already.
+    """
     # a scan leaves empty files out; the names come from the listing that the reader holds anyway
-    files = spark.createDataFrame([(re.sub("^file:/+", "file:/", f),) for f in text.inputFiles()], "file string")
-    lines = read_lines(spark, path).withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
+    files = spark.createDataFrame([(plain(f),) for f in spark.read.text(path).inputFiles()], "file string")
+    levels = LEVELS
+    if lines is None:
+        lines = read_lines(spark, path).withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
+    elif (lines.agg(F.max("block")).first()[0] or 0) < LEVELS[0]:
+        levels = ()
     is_csv = F.lower("file").endswith(".csv")
-    return files.where(is_csv).join(structure_faults(lines.where(is_csv)), "file", "left").select(
+    return files.where(is_csv).join(structure_faults(lines.where(is_csv), levels), "file", "left").select(
         "file",
         F.coalesce("lines", F.lit(0).cast("long")).alias("lines"),
         F.coalesce("status", F.lit("ok")).alias("status"),
         "line_number",
         F.coalesce("multi_line", F.lit(False)).alias("multi_line"),
+        "bad_line",
+        "header",
+        "header_pos",
     )
+
+
+def plain(file: str) -> str:
+    """A file's path with one form of the local scheme."""
+    return re.sub("^file:/+", "file:/", file)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,17 +42,22 @@ def start(stream: DataFrame, columns: list[str], out: str, checkpoint: str, key:
         if not files:
             return
         spark = batch.sparkSession
-        read = upload.read(spark, [upload.literal_path(f["file"]) for f in files])
-        name = upload.below(F.col(upload.FILE), F.lit(files[0]["root"])).alias("upload_id")
-        missing = [F.lit(None).cast("string").alias(c) for c in columns if c not in read.rows.columns]
-        read.rows.select("*", *missing, name).drop(upload.FILE).write.mode("overwrite").parquet(folder("records"))
-        read.quarantine.select("raw", "fields", name).write.mode("overwrite").parquet(folder("quarantine"))
-        rejected = read.verdicts.where("status <> 'ok'")
-        named = upload.below(F.col("file"), F.lit(files[0]["root"])).alias("upload_id")
-        rejected.select(named, "status", "line_number").write.mode("overwrite").parquet(folder("rejected"))
-        written = spark.read.parquet(folder("records"))
-        counts = written.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-        counts.write.mode("overwrite").parquet(folder("counts"))
+        found = upload.scan(spark, [upload.literal_path(f["file"]) for f in files])
+        found = replace(found, records=found.records.persist())  # parsed once for all that is written
+
+        def named(frame: DataFrame) -> DataFrame:
+            return frame.withColumn("upload_id", upload.below(F.col("file"), F.lit(files[0]["root"]))).drop("file")
+
+        known = upload.column_names(found)
+        have = {c.lower() for c in known}
+        missing = [F.lit(None).cast("string").alias(c) for c in columns if c.lower() not in have]
+        records = named(upload.by_name(found, known).select("*", *missing))
+        records.write.mode("overwrite").parquet(folder("records"))
+        named(found.quarantine.select("raw", F.size("values").alias("fields"), "file")).write.mode("overwrite").parquet(folder("quarantine"))
+        rejected = found.files.where("status <> 'ok'").select("file", "status", "line_number")
+        named(rejected).write.mode("overwrite").parquet(folder("rejected"))
+        records.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(folder("counts"))
+        found.records.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)
