@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import hashlib
 import shutil
 import tempfile
 import zipfile
@@ -161,10 +162,16 @@ def powers(base: int, size: int) -> np.ndarray:
     return known[:size]
 
 
+#: Sums of powers modulo 2^64 have collisions that can be written down from 1024 bytes on; runs over this length, which are
+#: few for their bytes, get a hash of their own besides.
+LONG_RUN = 400
+
+
 class Hashes:
     """64-bit hashes of any byte runs of one array, from prefix sums."""
 
     def __init__(self, data: np.ndarray, seed: int):
+        self.data, self.key = data, seed.to_bytes(8, "little")
         self.sums = np.zeros(len(data) + 1, np.uint64)
         terms = _numbers(seed)[data]
         terms *= powers(_BASE, len(data))
@@ -173,6 +180,11 @@ class Hashes:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        long = np.flatnonzero(ends - starts > LONG_RUN)
+        if len(long):
+            pairs = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+            digests = b"".join(hashlib.blake2b(self.data[a:b], digest_size=8, key=self.key).digest() for a, b in pairs)
+            h[long] ^= np.frombuffer(digests, np.uint64)
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 

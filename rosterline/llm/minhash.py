@@ -5,8 +5,8 @@ their hashes. Where few classes share a prefix, all of them are neighbours; wher
 the next depth. Neighbours whose sketches and set sizes allow the threshold are candidates. Candidates are confirmed
 on full sets, a spanning forest of the likeliest first; pairs that are already connected need no look.
 
-Classes of a region with many at the least depth are crowded. What the forest leaves apart among them is found by an
-exact join: two sets with the similarity share a shingle in short prefixes of any one order, here the rarest first.
+A region with many classes at the least depth is crowded. Where its classes are still in several components, all pairs
+across components are compared on full sets in tiles, so that no pair that shares such a prefix goes unseen.
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ TREES, DEPTH, LEAST_DEPTH = 16, 6, 3
 REGION = 6
 #: Classes that are compared at a time; a region cut there is whole in the other orders.
 CHUNK = 100_000
-#: A candidate's similarity as estimated from two bits of each hash (standard deviation 0.042 at 0.8) may be lower
-#: than the threshold by this much.
-SLACK = 0.2
+#: A candidate's similarity as estimated from two bits of each hash (standard deviation 0.049 at 0.8) may be lower
+#: than the threshold by this much: a loss below 1e-8 of the pairs, where the trees themselves lose 1e-5.
+SLACK = 0.3
 #: Pairs of two components that are confirmed in the second round; the third takes all that are left.
 SECOND_ROUND = 8
-#: Bits of a shingle's hash that choose its counter. The counters only order the shingles; any order finds all pairs.
-COUNTER_BITS = 20
+#: Shingles of a tile of classes that are compared at a time (a class counts for LEAST_SHINGLES at least, so that a tile has
+#: at most 1,024 of them), and columns of the matrices that are multiplied.
+TILE, LEAST_SHINGLES, COLUMNS = 1 << 18, 256, 4096
 
 _ROW = ("doc_id", "row_a", "row_b")
 _HASHES = TREES * DEPTH
@@ -99,9 +100,9 @@ def signatures(docs: DataFrame, text: str, identifier: str, shingle: int) -> Dat
 
 
 def candidates(classes: DataFrame, least: float) -> DataFrame:
-    """u, v (u < v), likeness of neighbouring classes whose similarity may reach ``least``; a pair may come twice.
+    """u, v (u < v), likeness, region of neighbouring classes whose similarity may reach ``least``; a pair may come twice.
 
-    A row with u = v says that the class is crowded: not all classes of its region were compared with it in some order.
+    A row with u = v says that the class lies in a crowded region: not all of its classes were compared with each other.
     """
 
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +129,7 @@ def candidates(classes: DataFrame, least: float) -> DataFrame:
 
     forest = classes.mapInArrow(orders, "key binary, class long, n long, sketch binary")
     ordered = forest.repartitionByRange("key", "class").sortWithinPartitions("key", "class")
-    return ordered.mapInArrow(neighbours, "u long, v long, likeness double")
+    return ordered.mapInArrow(neighbours, "u long, v long, likeness double, region long")
 
 
 def _neighbours(rows: pa.Table, least: float) -> pa.RecordBatch:
@@ -167,70 +168,78 @@ def _neighbours(rows: pa.Table, least: float) -> pa.RecordBatch:
     likeness = (agree - 0.25) / 0.75
     on = likeness >= least - SLACK
     group = rows.column("class").to_numpy()
-    own = group[crowded]
-    a, b, likeness = np.concatenate([group[i[on]], own]), np.concatenate([group[j[on]], own]), np.concatenate([likeness[on], np.ones(len(own))])
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(likeness)], ["u", "v", "likeness"])
-
-
-def _counters(sets: DataFrame, shingle: int) -> np.ndarray:
-    """How frequent the shingles of each counter are, in eighths of a power of two."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in common.slices(batches, "text"):
-            h, _ = shingle_sets(common.raw(batch, "text"), shingle)
-            n += np.bincount((h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(n))
-        at = np.flatnonzero(n)
-        for part in range(0, len(at), 1 << 16):
-            some = at[part : part + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["counter", "n"])
-
-    level = F.least(F.floor(8 * F.log2(F.sum("n"))), F.lit(255)).cast("int")
-    found = sets.select("text").mapInArrow(count, "counter long, n long").groupBy("counter").agg(level.alias("level")).toArrow()
-    levels = np.zeros(1 << COUNTER_BITS, np.uint8)
-    levels[found.column("counter").to_numpy()] = found.column("level").to_numpy()
-    return levels
-
-
-def apart(sets: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
-    """u, v (u < v), likeness of all pairs of ``sets`` (class, component, text) that may be similar and lie in two components.
-
-    Exact: in any one order of the shingles, the shorter of two similar sets shares one of its first
-    n - ceil(2s / (1 + s) n) + 1 shingles with the first n - ceil(s n) + 1 of the longer, and at the first that is
-    shared enough of both is still to come. Members of one component are never paired with each other.
+    at = np.flatnonzero(crowded)
+    u, v, likeness = (np.concatenate(x) for x in ((group[i[on]], group[at]), (group[j[on]], group[at]), (likeness[on], np.ones(len(at)))))
+    # The tree and its least prefix, hashed: two regions that meet are compared as one, which loses nothing.
+    prefix = np.zeros(len(at), np.uint64)
+    for column in keys[at, : LEAST_DEPTH + 1].T:
+        prefix = common.mix(prefix * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64) + np.uint64(1))
+    named = pa.concat_arrays([pa.nulls(len(u) - len(at), pa.int64()), pa.array(prefix.view(np.int64))])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(likeness), named], ["u", "v", "likeness", "region"])
+
+
+def across(members: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+    """u, v (u < v): all similar pairs of one region's classes that lie in different components.
+
+    ``members`` are region, class, component, n_shingles. A region whose classes are all connected needs no look; of the
+    others, classes of the component with the most shingles there are compared with the rest, not with each other. Both
+    parts are cut into tiles, and a task multiplies the sets of two tiles. Only links leave a task.
     """
-    levels = _counters(sets, shingle)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    weight = F.greatest(F.col("n_shingles"), F.lit(LEAST_SHINGLES))
+    parts = members.groupBy("region", "component").agg(F.sum(weight).alias("weight"))
+    tiles = lambda c: F.ceil(c / TILE)
+    regions = parts.groupBy("region").agg(F.count("*").alias("parts"), F.max(F.struct("weight", "component")).alias("main"), F.sum("weight").alias("weight"))
+    regions = regions.where("parts > 1").select(
+        F.col("region").bitwiseXOR(F.lit(0)).alias("_region"), F.col("main.component").alias("main"),
+        tiles(F.col("main.weight")).alias("n_main"), tiles(F.col("weight") - F.col("main.weight")).alias("n_rest"),
+    )
+    open_ = common.stored(members.join(regions, F.col("region") == F.col("_region")).drop("_region"), "open-regions")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            h, doc = shingle_sets(common.raw(batch, "text"), shingle)
-            order = np.lexsort((h, levels[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], doc))
-            h, doc = h[order], doc[order]
-            size = np.bincount(doc, minlength=batch.num_rows)
-            n = size[doc]
-            place = np.arange(len(h)) - (np.cumsum(size) - size)[doc]
-            on = place <= n + -share[0] * n // share[1]
-            short = place <= n + -2 * share[0] * n // (share[0] + share[1])
-            named = batch.select(["class", "component"]).take(pa.array(doc[on]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[on].view(np.int64)), *named.columns, pa.array(n[on]), pa.array(place[on]), pa.array(short[on])], ["h", "class", "component", "n", "place", "short"]
-            )
-
-    entries = common.stored(sets.select("class", "component", "text").mapInArrow(prefixes, "h long, class long, component long, n long, place long, short boolean"), "prefixes")
-    held = entries.groupBy("h", "component").agg(F.max("short").alias("short"))
-    several = held.groupBy("h").agg(F.count("*").alias("components")).filter("components > 1").select(F.col("h").bitwiseXOR(F.lit(0)).alias("k"))
-    held = common.stored(held.join(several, held.h == several.k).drop("k"), "prefix-components")
-    one, other = (held.select("h", F.col("component").alias(f"at_{c}"), F.col("short").alias(f"any_{c}")) for c in "uv")
-    met = one.filter("any_u").drop("any_u").join(other.drop("any_v"), "h").filter("at_u <> at_v")
-    for c in "uv":
-        chosen = entries.filter("short") if c == "u" else entries
-        own = chosen.select("h", F.col("component").alias(f"at_{c}"), *(F.col(x).alias(f"{x}_{c}") for x in ("class", "n", "place")))
-        met = met.join(own, ["h", f"at_{c}"])
-    sizes = (F.col("n_u") < F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("class_u") < F.col("class_v")))
-    enough = share[1] * F.col("n_u") >= share[0] * F.col("n_v")
-    to_come = (share[0] + share[1]) * F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v")) >= share[0] * (F.col("n_u") + F.col("n_v"))
-    ordered = [f("class_u", "class_v").alias(c) for f, c in ((F.least, "u"), (F.greatest, "v"))]
-    return met.filter(sizes & enough & to_come).select(*ordered).groupBy("u", "v").agg(F.count("*").cast("double").alias("likeness"))
+            found = _split(*shingle_sets(common.raw(batch, "text"), shingle), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([x.tobytes() for x in found], pa.binary())], ["class", "shingles"])
+
+    wanted = open_.select("class").distinct()
+    known = texts.join(wanted, "class").select("class", "text").mapInArrow(sets, "class long, shingles binary")
+    # Main tiles are 0, 1, ..., the others follow; a cell is a pair of tiles, not both main.
+    is_main, hashed = F.col("component") == F.col("main"), F.xxhash64("class", F.lit(7))
+    tile = F.when(is_main, F.pmod(hashed, F.col("n_main"))).otherwise(F.col("n_main") + F.pmod(hashed, F.col("n_rest")))
+    first = F.when(is_main, F.col("n_main")).otherwise(F.lit(0).cast("long"))
+    placed = open_.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(first, F.col("n_main") + F.col("n_rest") - 1)))
+    cells = placed.select("region", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "class", "component")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        return _links(rows, share)
+
+    return cells.join(known, "class").groupBy("region", "low", "high").applyInArrow(compare, "u long, v long").distinct()
+
+
+def _links(rows: pa.Table, share: tuple[int, int]) -> pa.Table:
+    """The similar pairs of one cell, across components, by products of the matrices of shingles that several sets hold."""
+    group, component, tile = (rows.column(c).to_numpy() for c in ("class", "component", "tile"))
+    blobs = rows.column("shingles").to_pylist()
+    size = np.array([len(b) // 8 for b in blobs], np.int64)
+    _, code, count = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True, return_counts=True)
+    several = count > 1
+    column = (np.cumsum(several) - 1)[code]
+    at = np.flatnonzero(several[code])
+    doc, column = np.repeat(np.arange(len(size)), size)[at], column[at]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    left = np.flatnonzero(tile == rows.column("low")[0].as_py())
+    right = np.flatnonzero(tile == rows.column("high")[0].as_py())
+    both = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, int(several.sum()), COLUMNS):
+        low, high = np.searchsorted(column, [begin, begin + COLUMNS])
+        dense = np.zeros((len(size), COLUMNS), np.float32)
+        dense[doc[low:high], column[low:high] - begin] = 1
+        both += dense[left] @ dense[right].T
+    inter = both.astype(np.int64)
+    union = size[left][:, None] + size[right][None, :] - inter
+    i, j = np.nonzero((share[1] * inter >= share[0] * union) & (component[left][:, None] != component[right][None, :]) & (union > 0))
+    u, v = group[left[i]], group[right[j]]
+    return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
@@ -291,8 +300,8 @@ def _found(docs: DataFrame, shingle: int, share: tuple[int, int], text: str, ide
         ),
         "classes",
     )
-    neighbours = common.stored(candidates(classes, share[0] / share[1]).groupBy("u", "v").agg(F.max("likeness").alias("likeness")), "candidates")
-    labels = _components(neighbours, _texts(neighbours, classes, docs, text), shingle, share)
+    neighbours = common.stored(candidates(classes, share[0] / share[1]).groupBy("u", "v", "region").agg(F.max("likeness").alias("likeness")), "candidates")
+    labels = _components(neighbours, classes, _texts(neighbours, classes, docs, text), shingle, share)
     component = F.coalesce("component", "class")
     of_class = classes.select("class", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", component)
     least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -307,12 +316,12 @@ def _texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str) ->
     return common.stored(wanted.join(named, ["row_a", "row_b"]).select("class", "text").dropDuplicates(["class"]), "candidate-texts")
 
 
-def _components(neighbours: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+def _components(neighbours: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
     """node, component of the confirmed links: the likeliest earlier neighbour of each class, then what is still apart.
 
-    At last come the pairs of crowded classes that the forest didn't compare.
+    At last come the pairs of crowded regions that the forest didn't compare.
     """
-    pairs, crowded = neighbours.filter("u <> v"), neighbours.filter("u = v").select(F.col("u").alias("class"))
+    pairs, crowded = neighbours.filter("region IS NULL").drop("region"), neighbours.filter("region IS NOT NULL").select(F.col("u").alias("class"), "region")
     early, late = F.xxhash64("u") < F.xxhash64("v"), F.xxhash64("u") >= F.xxhash64("v")
     turned = pairs.select(F.when(early, F.col("v")).otherwise(F.col("u")).alias("child"), F.when(late, F.col("v")).otherwise(F.col("u")).alias("parent"), "likeness")
     best = turned.groupBy("child").agg(F.max(F.struct("likeness", "parent")).alias("best")).select("child", F.col("best.parent").alias("parent"))
@@ -320,9 +329,10 @@ def _components(neighbours: DataFrame, texts: DataFrame, shingle: int, share: tu
     links = common.stored(confirmed(tested, texts, shingle, share), "links")
     state = _rounds(pairs, texts, shingle, share, (tested, links, graph.components(links)))
     if not crowded.isEmpty():
-        sets = texts.join(crowded, "class").join(state[2].withColumnRenamed("node", "class"), "class", "left")
-        sets = common.stored(sets.withColumn("component", F.coalesce("component", "class")), "crowded")
-        state = _rounds(common.stored(apart(sets, shingle, share), "crowded-pairs"), texts, shingle, share, state)
+        members = crowded.join(classes.select("class", "n_shingles"), "class").join(state[2].withColumnRenamed("node", "class"), "class", "left")
+        more = common.stored(across(members.withColumn("component", F.coalesce("component", "class")), texts, shingle, share), "links")
+        if not more.isEmpty():
+            return graph.components(state[1].unionByName(more))
     return state[2]
 
 
