@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterline import runtime
 
@@ -66,11 +67,26 @@ def remainder(identifier: str, divisor: int) -> Column:
 
 def row_keys(df: DataFrame) -> list[Column]:
     """Two 64-bit hashes over all columns, row_a and row_b: rows with equal keys are equal, null ids and repeated ids or not."""
-    columns = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+    columns = [_hashable(F.col(f"`{f.name.replace('`', '``')}`"), f.dataType) for f in df.schema.fields]
     each = [x for c in columns for x in (c.isNull(), c)]
     return [F.xxhash64(F.lit(k), *each).alias(name) for k, name in enumerate(("row_a", "row_b"))]
 
 
+def _hashable(column: Column, kind: T.DataType) -> Column:
+    """A map as its entries in order, anything else that holds a map as JSON; Spark hashes neither as they are."""
+    if isinstance(kind, T.MapType) and "map<" not in kind.keyType.simpleString() + kind.valueType.simpleString():
+        return F.array_sort(F.map_entries(column))
+    return F.to_json(F.struct(column)) if "map<" in kind.simpleString() else column
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores behind, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(df: DataFrame, size: Column, target: int) -> int:
     """How many groups of about ``target`` the rows fill; a count over all rows, no upper limit."""
     total = df.select(F.sum(size)).first()[0] or 0

@@ -76,6 +76,7 @@ def write(found: DataFrame, folder: str) -> None:
         .write.option("lineSep", END * 2)
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
         .option("compression", "gzip")
+        .option("zlib.compress.level", "THREE")
         .text(folder)
     )
 

@@ -248,3 +248,29 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(10, 60)] + [(5, 60), (100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 5 for i in [5, *range(10, 61)]} | {100: 100, 101: 100, 102: 100}
+
+
+def test_stages_carry_any_columns(spark, monkeypatch):
+    """Columns named like an operator's results, or as the stages' own, and maps pass through the stages unchanged."""
+    common.ship(spark)
+    rng = np.random.default_rng(9)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(3, 8)))
+    kinds = {"en": "thonerisa", "fr": "éèlauxpie", "de": "chungßöäk"}
+    texts = [(lang, " ".join(word(letters) for _ in range(90)) + ".") for lang, letters in kinds.items() for _ in range(40)]
+    texts.append(("en", " ".join(t for _, t in (texts[0], texts[50], texts[100]))))  # clean, in three languages
+    fields = "doc_id long, text string, lang string, n_chars long, score double, lang_pred string, predicted int, _row string, _text int, row int, m map<string,int>"
+    table = [(i, t, lang, len(t), 77.0, "x", 5, "r", i, 3, {"b": 1, "a": i}) for i, (lang, t) in enumerate(texts)]
+    docs = spark.createDataFrame(table, fields).repartition(3)
+    found = corpus_pipeline.language_id(spark, docs, "")
+    assert found.columns == docs.columns
+    rows = {r.doc_id: r for r in found.collect()}
+    assert set(rows) == set(range(121)) and all((r.score, r.lang_pred, r.m["a"]) == (77.0, "x", r.doc_id) for r in rows.values())
+    labels = spark.createDataFrame([(i, i % 10 != 0) for i in range(120)], "doc_id long, good boolean").selectExpr("doc_id", "int(good) AS quality")
+    monkeypatch.setattr(common, "table", lambda *_: labels)
+    kept = corpus_pipeline.quality_classifier(spark, docs, "")
+    assert kept.columns == docs.columns and all((r.score, r.predicted) == (77.0, 5) for r in kept.collect())
+    once = corpus_pipeline.minhash_dedup(spark, docs.unionByName(docs.limit(3)), "")
+    assert once.columns == docs.columns and {r.doc_id for r in once.collect()} == set(range(121))
+    short = docs.filter("doc_id < 120")
+    left = corpus_pipeline.suffix_dedup(spark, short, "").collect()
+    assert {(r.doc_id, r.text, r._row, r._text) for r in left} == {(i, t, "r", i) for i, (_, t) in enumerate(texts[:120])}
