@@ -64,3 +64,47 @@ def replace_phrases(text: Column, replacements: dict[str, str]) -> Column:
         return F.regexp_replace(out, F.lit("(?iu)" + re.escape(pair[0])), F.lit(literal))
 
     return reduce(put, replacements.items(), text)
+
+
+def _any_of(phrases: list[str]) -> str:
+    """Any of the phrases, in any case; of several that begin at one place the longest."""
+    return "(?iu)(?:" + "|".join(map(re.escape, sorted(phrases, key=lambda p: (-len(p), p)))) + ")"
+
+
+def phrase_hits(text: Column, phrases: list[str]) -> Column:
+    """Array of ``phrase, start, stop`` (from 0, characters) of all hits, found in one pass from left to right.
+
+    Hits don't overlap: one that begins inside an earlier one doesn't count.
+    """
+    pattern = _any_of(phrases)
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<phrase:string,start:int,stop:int>>").alias("hits"))
+
+    def add(acc: Column, pair: Column) -> Column:
+        begin = acc["at"] + F.char_length(pair["before"])
+        end = begin + F.char_length(pair["hit"])
+        hit = F.struct(_named(pair["hit"], phrases).alias("phrase"), begin.alias("start"), end.alias("stop"))
+        return F.struct(end.alias("at"), F.array_append(acc["hits"], hit).alias("hits"))
+
+    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, h: F.struct(b.alias("before"), h.alias("hit")))
+    return F.aggregate(pairs, start, add, lambda acc: acc["hits"])
+
+
+def _named(hit: Column, phrases: list[str]) -> Column:
+    """The phrase that a hit is, as the list spells it."""
+    return F.coalesce(*[F.when(F.lower(hit) == p.lower(), F.lit(p)) for p in phrases], hit)
+
+
+def replace_accepted(text: Column, replacements: dict[str, str], accepted: Column) -> Column:
+    """The text with suggestions in place of those hits whose phrase is in the array ``accepted``; other hits stay as
+    they are written. Hits are those of :func:`phrase_hits`, and what is put in isn't searched again."""
+    pattern = _any_of(list(replacements))
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def put(hit: Column) -> Column:
+        chosen = F.array_contains(accepted, _named(hit, list(replacements)))
+        suggested = F.coalesce(*[F.when(F.lower(hit) == p.lower(), F.lit(s)) for p, s in replacements.items()], hit)
+        return F.when(F.coalesce(chosen, F.lit(False)), suggested).otherwise(hit)
+
+    parts = F.zip_with(between, found, lambda b, h: F.concat(b, F.coalesce(put(h), F.lit(""))))
+    return F.array_join(parts, "")

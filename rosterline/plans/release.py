@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rosterline.operators import review, search
 from rosterline.plans import standins as s
 from rosterline.plans.catalog import plan
-from rosterline.runtime import scratch
+from rosterline.runtime import scratch, table
 from rosterline.sources import exports
 
 EVENTS_AS_OF = "2024-01-30 12:00:00"
@@ -155,16 +155,18 @@ def export_log(spark: SparkSession, d: str) -> DataFrame:
 @plan(
     s.sql(
         DECIDED,
-        f"""SELECT company_id, {s.n_if("serious")} AS open_high, {s.n_if("serious")} = 0 AS available,
+        f"""SELECT n_name AS company_id, {s.n_if("serious")} AS open_high, {s.n_if("serious")} = 0 AS available,
         CASE WHEN {s.n_if("serious")} > 0 THEN concat({s.n_if("serious")}, ' High-severity NPI error',
             CASE WHEN {s.n_if("serious")} > 1 THEN 's' ELSE '' END,
             ' must be resolved in Data Review before export.') END AS block_reason
-        FROM (SELECT *, lower(category) = 'npi_validation' AND severity = 'High' AND NOT resolved AS serious
-            FROM decided) GROUP BY 1""",
+        FROM nation LEFT JOIN (SELECT *, lower(category) = 'npi_validation' AND severity = 'High' AND NOT resolved AS serious
+            FROM decided WHERE company_id <> 'CHINA') ON company_id = n_name GROUP BY 1""",
     )
 )
 def export_gate(spark: SparkSession, d: str) -> DataFrame:
-    return exports.gate(decided_flags(spark, d), ["company_id"])
+    """The gate of every tenant; one of them has no flags."""
+    flags = decided_flags(spark, d).where("company_id <> 'CHINA'")
+    return exports.gate(flags, ["company_id"], table(spark, d, "nation").select(F.col("n_name").alias("company_id")))
 
 
 @plan(

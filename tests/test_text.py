@@ -51,3 +51,21 @@ def test_columns_named_after_personal_data(spark):
     df = spark.createDataFrame([(1, "1970-01-01", " ", "x")], "id int, DOB string, home_address string, other string")
     assert [(r.field, r.severity, r.value) for r in pii.in_columns(df, ["id"]).collect()] == [("DOB", "Medium", "1970-01-01")]
     assert pii.in_columns(df.select("id", "other"), ["id"]).count() == 0
+
+
+def test_only_accepted_hits_are_replaced_by_position(spark):
+    phrases = {"new data": "published data", "data set": "table", "Cure": "$1 help"}
+    table = [("A New Data set, a CURE, new data", ["new data"]), ("cure cure", ["Cure"]), ("new data", []), ("new data set", None), ("", ["Cure"]), (None, ["Cure"])]
+    df = spark.createDataFrame(table, "text string, ok array<string>")
+    got = [r[0] for r in df.select(t.replace_accepted(F.col("text"), phrases, F.col("ok"))).collect()]
+    assert got == ["A published data set, a CURE, published data", "$1 help $1 help", "new data", "new data set", "", None]
+    hits = df.select(t.phrase_hits(F.col("text"), list(phrases))).first()[0]
+    assert [(h.phrase, h.start, h.stop) for h in hits] == [("new data", 2, 10), ("Cure", 18, 22), ("new data", 24, 32)]
+
+
+def test_totals_of_uploads_with_one_time_column(spark):
+    from rosterline.operators import summary
+
+    companies = spark.createDataFrame([("c",)], "company_id string")
+    uploads = spark.createDataFrame([("c", 5, 80.0, "2026-01-02T03:04:05Z")], "company_id string, total_rows int, health_score double, uploaded_at string")
+    assert summary.upload_totals(uploads, companies, "2026-01-03").first().records_this_week == 5
