@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.operators import outliers, pii, registry, review
+from rosterline.operators.skew import copied
+from rosterline.sources import exports
 
 COLUMNS = ("company_id", "flag_id", "category", "record_id", "field", "issue_type", "severity", "score", "reason", "resolved")
 
@@ -19,6 +21,7 @@ INACTIVE = "NPI is inactive since "
 INVALID = "NPI check digit invalid"
 REGISTERED, UPLOADED = "NPI specialty mismatch — registered as ", ", uploaded as "
 OFF_DOMAIN = "Email domain does not match registered practice location"
+SPREAD, IMPLAUSIBLE = "Prescribing pattern spans ", " states — geographically implausible"
 
 
 def _flag(
@@ -100,6 +103,20 @@ def of_pairs(pairs: DataFrame, block: str = "npi") -> DataFrame:
     return _listed(named, F.array(_flag("duplicates", F.lit(block), F.lit("Same " + block), F.lit("Medium"), similarity, reason)))
 
 
+def of_spread(records: DataFrame, activity: DataFrame, state: str = "state", limit: int = outliers.MAX_STATES) -> DataFrame:
+    """Flags of records with ``activity`` (``record_id`` and a state) in more than ``limit`` states."""
+    found = outliers.spread(activity, ["record_id"], state, limit).select(copied(F.col("record_id")).alias("_of"), "states")
+    named = records.select("company_id", "record_id").join(found, F.col("record_id").cast("string") == F.col("_of"))
+    reason = F.concat(F.lit(SPREAD), F.col("states").cast("string"), F.lit(IMPLAUSIBLE))
+    return _listed(named, F.array(_flag("outliers", F.lit(state), F.lit("Geographic"), F.lit("Medium"), None, reason)))
+
+
+def cleared(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of tenants whose gate is open; a tenant without flags has an open gate. One row per closed tenant is joined."""
+    closed = exports.gate(decided, ["company_id"]).where("NOT available").select(copied(F.col("company_id")).alias("_closed"))
+    return rows.join(closed, F.col("company_id").cast("string") == F.col("_closed"), "left_anti")
+
+
 def release(records: DataFrame, decided: DataFrame, pairs: DataFrame, sensitive: list[str]) -> DataFrame:
     """Records that may leave: none that was removed or lost to its duplicate, flagged values anonymised, warned ones tagged.
 

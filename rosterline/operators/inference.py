@@ -89,6 +89,14 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
+def merge_counts(states: DataFrame) -> DataFrame:
+    """:func:`value_counts` of several files of a list as those of the whole; a column goes by its name, not its place."""
+    counts = ["records", "non_empty", *CHECKS]
+    return states.groupBy("column").agg(
+        F.min("ordinal").alias("ordinal"), F.first("header_type").alias("header_type"), *[F.sum(c).alias(c) for c in counts]
+    )
+
+
 def decide(counts: DataFrame) -> DataFrame:
     """Add the inferred type to the rows of :func:`value_counts`.
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterline.functions.bands import half_up, similarity_band
 from rosterline.functions.validators import is_blank, normalize
 from rosterline.operators.skew import copied
+from rosterline.runtime import scratch
 
 # Fields that make up the similarity, and those shown side by side.
 SCORED = ("npi", "first_name", "last_name", "specialty", "state", "email", "phone", "address")
 COMPARED = (*SCORED, "source")
 
+# Rows that one task compares with their neighbours.
+STRETCH = 65_536
+
 
 def duplicate_pairs(
     records: DataFrame, block: str = "npi", key: str = "record_id", fields: tuple[str, ...] = COMPARED
@@ -37,6 +41,55 @@ def duplicate_pairs(
     return members.where("rec1 <> rec2").select(F.col("_block").alias("block"), "rec1", "rec2", "a", "b")
 
 
+def neighbour_pairs(
+    records: DataFrame,
+    block: str = "npi",
+    order: tuple[str, ...] = ("last_name", "first_name"),
+    key: str = "record_id",
+    fields: tuple[str, ...] = COMPARED,
+    reach: int = 2,
+    stretch: int = STRETCH,
+) -> DataFrame:
+    """Records of a block that are at most ``reach`` places apart in its order: ``block, rec1, rec2, a, b``, rec1 the earlier.
+
+    This finds a pair that is alike though neither is like the first record of the block. n records give less than
+    ``reach`` x n pairs. All blocks together are one sorted sequence, cut into stretches of equal length, each of which also
+    gets the first rows of the next: a block of half the rows is spread over many tasks, and no pair is lost at a border.
+    Blank blocks have no pairs; ties in the order go by the unique ``key``.
+    """
+    if not 0 < reach <= stretch:
+        raise ValueError("reach must be positive and at most the stretch")
+    spark = records.sparkSession
+    named = records.where(~is_blank(F.col(block))).select(
+        F.col(block).cast("string").alias("block"),
+        F.array(*[normalize(F.col(c)) for c in order]).alias("place"),
+        F.col(key).alias("rec"),
+        F.struct(*fields).alias("fields"),
+    )
+    # Written, so that the numbers of the ranges hold for everything that follows, also when a task runs again.
+    path = scratch(spark, "neighbours")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named.repartitionByRange(parts, "block", "place", "rec").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    sorted_rows = spark.read.parquet(path)
+    # One row per range, so one task can add them up.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sorted_rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    )
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("block", "place", "rec"))
+    placed = sorted_rows.withColumn("at", inside).join(starts, "part").withColumn("at", F.col("at") + F.col("start") - 1)
+    home = F.floor(F.col("at") / stretch)
+    homes = F.when((F.col("at") % stretch < reach) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
+    dealt = placed.select("block", "rec", "fields", "at", F.explode(homes).alias("home"))
+    along = Window.partitionBy("home").orderBy("at")
+    following = F.array(*[F.lead(F.struct("block", "rec", "fields"), i).over(along) for i in range(1, reach + 1)])
+    own = dealt.withColumn("next", following).where(F.floor(F.col("at") / stretch) == F.col("home"))
+    met = own.select(F.col("block").alias("of"), F.col("rec").alias("rec1"), F.col("fields").alias("a"), F.explode("next").alias("n"))
+    return met.where(F.col("n.block") == F.col("of")).select(
+        F.col("of").alias("block"), "rec1", F.col("n.rec").alias("rec2"), "a", F.col("n.fields").alias("b")
+    )
+
+
 def with_similarity(pairs: DataFrame, fields: tuple[str, ...] = SCORED) -> DataFrame:
     """Add the mean field similarity as 0-100 and its band.
 

@@ -99,6 +99,22 @@ def geographic_spread(activity: DataFrame, keys: list[str], state: str, limit: i
     )
 
 
+def spread(activity: DataFrame, keys: list[str], state: str, limit: int = MAX_STATES) -> DataFrame:
+    """``keys, states`` of those active in more than ``limit`` states, in one aggregate.
+
+    States are two-letter codes in any case; other values count as none. A set of them is a bitmap in eleven numbers that
+    combine by OR, so each task sends on one short row per key and no value is shuffled to tell it apart from others.
+    """
+    code = F.upper(F.trim(F.col(state).cast("string")))
+    index = (F.ascii(code) - 65) * 26 + F.ascii(F.substr(code, F.lit(2))) - 65
+    given = activity.select(*keys, F.when(code.rlike("^[A-Z]{2}$"), index).alias("_i"))
+    words = range(-(-26 * 26 // 64))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_i") % 64)
+    sets = given.groupBy(*keys).agg(*[F.bit_or(F.when(F.floor(F.col("_i") / 64) == w, bit)).alias(f"_w{w}") for w in words])
+    states = sum((F.coalesce(F.bit_count(f"_w{w}"), F.lit(0)) for w in words), F.lit(0)).cast("long")
+    return sets.select(*keys, states.alias("states")).where(F.col("states") > limit)
+
+
 def implausible_expiry(rows: DataFrame, expiry: str, as_of: str, years: int = MAX_YEARS_AHEAD) -> DataFrame:
     """Rows whose expiry lies more than ``years`` after ``as_of``."""
     latest_plausible = F.add_months(F.lit(as_of).cast("date"), 12 * years)

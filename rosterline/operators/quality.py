@@ -43,6 +43,12 @@ FIELD_RULES = (
 )
 
 
+def null_pct(columns: list[str]) -> Column:
+    """Percentage of a row's named columns that are blank."""
+    blank = sum((v.is_blank(F.col(c)).cast("int") for c in columns), F.lit(0))
+    return blank * 100.0 / len(columns)
+
+
 def _normalized(df: DataFrame, rules: tuple[FieldRule, ...]) -> DataFrame:
     """Add the normalised value of every judged column once, for all conditions on it."""
     return df.withColumns({f"_{r.column}": v.normalize(F.col(r.column)) for r in rules})

@@ -14,8 +14,8 @@ PENALTY_PER_DENSITY = 0.4
 MAX_PENALTY = 5
 
 
-def _sums(flags: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: for every category the number of flags and the total and resolved weights."""
+def sums_of(flags: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: for every category the number of flags and the total and resolved weights. These add up over parts."""
     category = F.lower("category")
     weight = F.when(category == UNWEIGHTED, 1).otherwise(severity_rank(F.col("severity")))
     weighted = flags.select(*by, category.alias("c"), weight.alias("w"), F.col("resolved").alias("r"))
@@ -50,7 +50,7 @@ def category_points(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
             for name in WEIGHTS
         ]
     )
-    return _sums(flags, by).select(*by, F.inline(rows))
+    return sums_of(flags, by).select(*by, F.inline(rows))
 
 
 def health_score(flags: DataFrame, sizes: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -59,11 +59,16 @@ def health_score(flags: DataFrame, sizes: DataFrame, by: list[str] | None = None
     Groups without any flag get full points. Without ``by`` both sides are a single row.
     """
     by = by or []
-    sums = _sums(flags, by)
+    sums = sums_of(flags, by)
     if by:
         joined = sizes.join(sums, by, "left")
     else:
         joined = sums.withColumn("total_rows", sizes.select("total_rows").scalar())
+    return from_sums(joined, by)
+
+
+def from_sums(joined: DataFrame, by: list[str]) -> DataFrame:
+    """Score and label of groups whose :func:`sums_of` and ``total_rows`` are known; no flag is read again."""
     flag_count = sum((F.coalesce(F.col(f"{n}_n"), F.lit(0)) for n in WEIGHTS), F.lit(0))
     density = F.coalesce(F.try_divide(flag_count, F.col("total_rows") / 1000), F.lit(0.0))
     penalty = F.least(F.lit(float(MAX_PENALTY)), density * PENALTY_PER_DENSITY)

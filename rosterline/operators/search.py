@@ -47,8 +47,11 @@ def named_like(companies: DataFrame, text: str) -> DataFrame:
     return companies.where(F.lower("name").contains(text.lower()))
 
 
-def sort_key(name: str) -> Column:
-    return severity_rank(F.col("severity")) if name == "severity" else F.col(name)
+def sort_key(name: str, kind: str = "") -> Column:
+    """Severities go by rank and text as a reader sorts it."""
+    if name == "severity":
+        return severity_rank(F.col("severity"))
+    return F.collate(F.col(name), "UNICODE") if kind == "string" else F.col(name)
 
 
 def ordered(df: DataFrame, by: str, unique: str, descending: bool = True) -> DataFrame:
@@ -56,7 +59,7 @@ def ordered(df: DataFrame, by: str, unique: str, descending: bool = True) -> Dat
 
     The unique column also lets the range partitioner cut through runs of equal keys.
     """
-    key = sort_key(by)
+    key = sort_key(by, dict(df.dtypes)[by])
     return df.orderBy(key.desc() if descending else key.asc(), F.col(unique))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterline.functions.bands import half_up
 from rosterline.functions.text import first_filled, instant
+from rosterline.operators import score
 
 # Flag categories of the dashboard.
 CATEGORIES = ("pii", "duplicates", "outliers", "npi_validation")
@@ -112,8 +113,8 @@ def platform_rollup(companies: DataFrame) -> DataFrame:
     )
 
 
-def audit_report(flags: DataFrame, total_records: Column) -> DataFrame:
-    """One row: what was resolved, and the share of records without an open provider-number error."""
+def audit_report(flags: DataFrame, total_records: Column, quality_score: Column | None = None) -> DataFrame:
+    """One row: what was resolved, the share of records without an open provider-number error and the list's score."""
     category = F.lower("category")
     done = F.col("resolved")
     npi_open = F.count_if((category == "npi_validation") & ~done)
@@ -128,4 +129,33 @@ def audit_report(flags: DataFrame, total_records: Column) -> DataFrame:
         "duplicates_merged",
         "warnings",
         F.bround(100 - F.try_divide(F.col("npi_open") * 100.0, total_records), 1).alias("npi_pass_rate"),
+        *([] if quality_score is None else [quality_score.alias("quality_score")]),
     )
+
+
+def partials(records: DataFrame, flags: DataFrame, by: str = "company_id") -> DataFrame:
+    """Rows and flag sums of one upload per tenant: all that dashboard and score need of it."""
+    is_open = ~F.coalesce("resolved", F.lit(False))
+    counted = flags.groupBy(by).agg(*[F.count_if(is_open & (F.lower("category") == c)).alias(f"{c}_open") for c in CATEGORIES])
+    sums = score.sums_of(flags, [by]).join(counted, by)
+    sizes = records.groupBy(by).agg(F.count(F.lit(1)).alias("total_rows"))
+    joined = sizes.join(sums, by, "full")
+    return joined.fillna(0, [c for c in joined.columns if c != by])
+
+
+def store(partial: DataFrame, path: str, upload: str) -> None:
+    """Keep the sums of an upload; the same upload again, or after further decisions, takes the place of its earlier ones."""
+    partial.write.mode("overwrite").parquet(f"{path}/upload={upload}")
+
+
+def combined(spark: SparkSession, path: str, by: str = "company_id") -> DataFrame:
+    """Sums over all stored uploads; reads one row per upload and tenant, no records."""
+    kept = spark.read.parquet(path).drop("upload")
+    return kept.groupBy(by).agg(*[F.sum(c).alias(c) for c in kept.columns if c != by])
+
+
+def warned_records(records: DataFrame, decided: DataFrame, key: str = "record_id") -> DataFrame:
+    """The report's list of records that leave with a warning: name, specialty, score, reason and note of each warning."""
+    warned = decided.where("action = 'warned'").select(key, "score", "reason", "note")
+    name = F.concat_ws(" ", "first_name", "last_name")
+    return records.select(key, name.alias("name"), "specialty").join(warned, key)

@@ -324,6 +324,9 @@ def _flag_sql(category: str, field: str, rest: str, name: str | None = None) ->
         '{field}' AS field, {rest}, false AS resolved"""
 
 
+# A record's activity are the line items of its order, each in the state of its supplier; there are seven at most.
+SPREAD_LIMIT = 5
+
 _DETECTED = f"""{_CHECKED}{_PAIRS}{_STATS}, detected AS (
     {_flag_sql("npi_validation", "npi", f"""issue_type, {_SEVERITY} AS severity, CAST(NULL AS DOUBLE) AS score,
         CASE issue_type WHEN 'Inactive' THEN 'NPI is inactive since ' || deactivated_year WHEN 'Invalid' THEN 'NPI check digit invalid'
@@ -341,6 +344,10 @@ _DETECTED = f"""{_CHECKED}{_PAIRS}{_STATS}, detected AS (
     UNION ALL {_flag_sql("outliers", "expires", """'Expiry', 'Low', NULL,
         'License expiry date ' || (year(updated_at) - 1980) || ' years in the future'""")}
         FROM records WHERE CAST(updated_at + INTERVAL 20 YEARS AS DATE) > DATE '2020-06-15'
+    UNION ALL {_flag_sql("outliers", "state", """'Geographic', 'Medium', NULL,
+        'Prescribing pattern spans ' || states || ' states — geographically implausible'""")}
+        FROM (SELECT company_id, record_id, count(DISTINCT s_nationkey) AS states FROM records
+            JOIN lineitem ON l_orderkey = record_id JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2) WHERE states > {SPREAD_LIMIT}
     UNION ALL {_flag_sql("PII", "address", "'Physical Address', 'High', NULL, 'Physical Address in address'", "address/Home Address")}
         FROM records WHERE trim(coalesce(address, '')) <> '')"""
 
@@ -351,7 +358,10 @@ def _detected(spark: SparkSession, d: str) -> DataFrame:
         records, s.registry(spark, d), s.companies(spark, d), {"address": "home_address"}, ("address",), expiry="expires", as_of="2000-06-15"
     )
     pairs = linkage.duplicate_pairs(records, fields=("company_id",))
-    return found.withColumn("score", F.round("score", 4)).unionByName(flags.of_pairs(pairs))
+    suppliers = table(spark, d, "supplier").selectExpr("s_suppkey AS l_suppkey", "concat('A', char(65 + s_nationkey)) AS state")
+    activity = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("record_id"), "l_suppkey").join(suppliers, "l_suppkey")
+    wide = flags.of_spread(records, activity, limit=SPREAD_LIMIT)
+    return found.withColumn("score", F.round("score", 4)).unionByName(flags.of_pairs(pairs)).unionByName(wide)
 
 
 @plan(s.sql("records registry companies", _DETECTED + " SELECT * FROM detected"))
@@ -368,6 +378,13 @@ _REVIEWED = (
     + ", ".join(f"{name} AS ({s.SQL[name]})" for name in ("accepted", "effective", "decided"))
 ).replace("SELECT flags.*, action,", "SELECT flags.* EXCLUDE (resolved), action,")
 _LOG = f"log AS ({s.SQL['resolutions']}), "
+_LEAVING = """, losers AS (SELECT CASE WHEN master = 2 THEN rec1 ELSE rec2 END AS record_id FROM pairs JOIN decided ON record_id = rec2
+        WHERE category = 'duplicates' AND action IN ('merged', 'removed')
+        UNION SELECT record_id FROM decided WHERE category <> 'duplicates' AND action = 'removed'),
+    hidden AS (SELECT record_id FROM decided WHERE action = 'anonymized' AND field = 'address'),
+    masked AS (SELECT DISTINCT record_id FROM decided WHERE action = 'anonymized' AND field = 'email'),
+    warned AS (SELECT record_id, CASE WHEN coalesce(trim(note), '') = '' THEN 'No note provided' ELSE note END AS note
+        FROM decided WHERE action = 'warned')"""
 
 
 def _reviewed(spark: SparkSession, d: str) -> DataFrame:
@@ -407,14 +424,8 @@ def review_pipeline_score(spark: SparkSession, d: str) -> DataFrame:
 
 @plan(
     _review_sql(
-        """, losers AS (SELECT CASE WHEN master = 2 THEN rec1 ELSE rec2 END AS record_id FROM pairs JOIN decided ON record_id = rec2
-            WHERE category = 'duplicates' AND action IN ('merged', 'removed')
-            UNION SELECT record_id FROM decided WHERE category <> 'duplicates' AND action = 'removed'),
-        hidden AS (SELECT record_id FROM decided WHERE action = 'anonymized' AND field = 'address'),
-        masked AS (SELECT DISTINCT record_id FROM decided WHERE action = 'anonymized' AND field = 'email'),
-        warned AS (SELECT record_id, CASE WHEN coalesce(trim(note), '') = '' THEN 'No note provided' ELSE note END AS note
-            FROM decided WHERE action = 'warned')
-        SELECT record_id, CASE WHEN hidden.record_id IS NULL THEN address ELSE sha256(address) END AS address,
+        _LEAVING
+        + """ SELECT record_id, CASE WHEN hidden.record_id IS NULL THEN address ELSE sha256(address) END AS address,
             CASE WHEN masked.record_id IS NULL THEN email ELSE sha256(email) END AS email,
             CASE WHEN note IS NULL THEN '' ELSE '[DATA QUALITY WARNING]' END AS dq_flag, note AS dq_note
         FROM records LEFT JOIN hidden USING (record_id) LEFT JOIN masked USING (record_id) LEFT JOIN warned USING (record_id)

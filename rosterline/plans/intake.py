@@ -88,13 +88,16 @@ def file_admission(spark: SparkSession, d: str) -> DataFrame:
 
 
 @plan(
-    """SELECT n_name AS folder, 'csv' AS extension, 'accept' AS verdict, n_nationkey % 2 = 0 AS has_rows FROM nation
-    UNION ALL SELECT n_name, 'txt', 'error-type', true FROM nation WHERE n_nationkey % 5 = 0"""
+    """WITH lists AS (SELECT n_name || '-' || c_custkey // 1000 AS folder, any_value(n_nationkey) AS k
+        FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+    SELECT folder, 'csv' AS extension, 'accept' AS verdict, k % 2 = 0 AS has_rows FROM lists
+    UNION ALL SELECT folder, 'txt', 'error-type', true FROM lists WHERE k % 5 = 0"""
 )
 def file_listing(spark: SparkSession, d: str) -> DataFrame:
-    """Admission of one file per nation, and of another format for some; their contents are not read."""
+    """Admission of one file per nation and thousand customers, and of another format for some; their contents are not read."""
     path = scratch(spark, "listing")
-    nations = table(spark, d, "nation").selectExpr("n_name AS folder", "n_nationkey", "repeat(n_name, 20) AS value")
+    customers = table(spark, d, "customer").join(table(spark, d, "nation"), F.expr("c_nationkey = n_nationkey"))
+    nations = customers.selectExpr("concat(n_name, '-', c_custkey div 1000) AS folder", "n_nationkey", "repeat(n_name, 20) AS value").distinct()
     for kind, some in (("csv", F.lit(True)), ("text", F.col("n_nationkey") % 5 == 0)):
         value = F.when((F.col("n_nationkey") % 2 == 0) | F.lit(kind == "text"), F.col("value")).otherwise("-")
         rows = nations.where(some).select("folder", value.alias("value"))
@@ -215,14 +218,16 @@ def storage_paths(spark: SparkSession, d: str) -> DataFrame:
     s.sql(
         "records",
         """SELECT record_id, npi, NULL AS email, state FROM records WHERE has_opted_in
-        UNION ALL SELECT record_id, npi, email, NULL FROM records WHERE has_opted_in IS NULL""",
+        UNION ALL SELECT record_id, npi, email, NULL FROM records WHERE has_opted_in IS NULL
+        UNION ALL SELECT record_id, npi, email, state FROM records WHERE NOT has_opted_in""",
     )
 )
 def stacked_records(spark: SparkSession, d: str) -> DataFrame:
-    """Records of two shapes in one frame."""
+    """Records of three shapes in one frame."""
     r = s.records(spark, d)
     with_state = r.where("has_opted_in").select("record_id", "npi", "state")
-    return tenants.stack(with_state, r.where("has_opted_in IS NULL").select("record_id", "npi", "email"))
+    with_email = r.where("has_opted_in IS NULL").select("record_id", "npi", "email")
+    return tenants.stack(with_state, with_email, r.where("NOT has_opted_in").select("state", "email", "npi", "record_id"))
 
 
 def _resolved_mapping(spark: SparkSession, d: str) -> DataFrame:

@@ -91,9 +91,26 @@ def clean_list(tagged: DataFrame) -> DataFrame:
     return tagged.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in CLEAN_COLUMNS.items()])
 
 
-def clean_list_summary(tagged: DataFrame, role: str) -> DataFrame:
-    """The figures of the list's trailing line, as one row."""
-    counted = tagged.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("dq_flag") != "").alias("dq_warnings"))
+def clean_lines(tagged: DataFrame, role: str, by: str = "company_id") -> DataFrame:
+    """The clean lists of all tenants as lines: ``by, section, line``; section 0 is the header, 1 a record, 2 the trailer."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in CLEAN_COLUMNS.items()]
+    as_csv = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    rows = tagged.select(by, F.lit(1).alias("section"), F.to_csv(F.struct(*cells), as_csv).alias("line"))
+    ends = clean_list_summary(tagged, role, [by])
+    header = F.struct(F.lit(0).alias("section"), F.lit(",".join(CLEAN_COLUMNS.values())).alias("line"))
+    trailer = F.struct(F.lit(2).alias("section"), F.col("trailer").alias("line"))
+    return rows.unionByName(ends.select(by, F.inline(F.array(header, trailer))))
+
+
+def write_clean_lists(tagged: DataFrame, path: str, role: str, by: str = "company_id") -> None:
+    """One folder per tenant with its list as text, in order. The header comes first and the trailer last over its files."""
+    lines = clean_lines(tagged, role, by)
+    lines.repartitionByRange(by, "section", "line").sortWithinPartitions(by, "section", "line").select(by, "line").write.partitionBy(by).text(path)
+
+
+def clean_list_summary(tagged: DataFrame, role: str, by: list[str] | None = None) -> DataFrame:
+    """The figures of the list's trailing line, as one row, or one for each value of ``by``."""
+    counted = tagged.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("dq_flag") != "").alias("dq_warnings"))
     line = F.concat(
         F.lit("# "),
         F.format_number("records", 0),
@@ -126,6 +143,13 @@ def gate(flags: DataFrame, by: list[str] | None = None, groups: DataFrame | None
     )
 
 
-def log(events: DataFrame, path: str) -> None:
-    """Append export events ``format, file_name, size, role, records, timestamp`` with their time."""
-    events.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)
+def log(events: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append export events ``format, file_name, size, role, records, timestamp`` with their time.
+
+    With a ``batch`` id the events of a batch have a folder of their own, so a job that runs again doesn't log twice.
+    """
+    timed = events.withColumn("created_at", F.current_timestamp())
+    if batch is None:
+        timed.write.mode("append").parquet(path)
+    else:
+        timed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
