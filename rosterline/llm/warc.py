@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterline import runtime
+from rosterline.llm import common
 
 #: Files hold at most so many records, so that a task reads an archive file in one piece.
 RECORDS_PER_FILE = 256
@@ -87,19 +88,31 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     A record ends where its length says, so payloads may hold anything. A payload that doesn't match its digest
     is an error, as is a record cut short.
     """
-    schema = HEADERS + (", payload string" if payloads else "")
+    return _parsed(_files(spark, folder), payloads).drop("file")
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    return files.select(F.col("path").alias("file"), "content")
+
+
+def _parsed(files: DataFrame, payloads: bool = False) -> DataFrame:
+    """The records of ``files`` (file, content); ``answers``, if given, has the revisits of a file as record_id, refers_to_record."""
+    schema = "file string, " + HEADERS + (", payload string" if payloads else "")
     names = [x.split()[0] for x in schema.split(", ")]
     types = {"long": pa.int64(), "string": pa.string()}
     arrow = pa.schema([(x.split()[0], types[x.split()[1]]) for x in schema.split(", ")])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                rows = [[row[name] for name in names] for row in _records(content.as_buffer())]
+            given = batch.column("answers").to_pylist() if "answers" in batch.schema.names else [None] * len(batch)
+            for file, content, answers in zip(batch.column("file").to_pylist(), batch.column("content"), given, strict=True):
+                known = {a["record_id"]: a["refers_to_record"] for a in answers or []}
+                found = ({**r, "file": file, "refers_to_record": known.get(r["record_id"], r["refers_to_record"])} for r in _records(content.as_buffer()))
+                rows = [[row[name] for name in names] for row in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)] if rows else [pa.array([], f.type) for f in arrow], schema=arrow)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    return files.select("content").mapInArrow(parse, schema)
+    return files.mapInArrow(parse, schema)
 
 
 def _records(content: pa.Buffer) -> Iterator[dict]:
@@ -142,26 +155,29 @@ def resolve(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
     Among equal payloads of at least ``least_bytes`` the record with the smallest page_id (then record id) is the
     original; a null page_id counts as larger than any. Only headers move; originals are an aggregate per digest
-    that is joined back, so a digest on a third of all rows is combined before the shuffle.
+    that is joined back, so a digest on a third of all rows is combined before the shuffle. ``file`` is kept if there is one.
     """
+    own = ["record_id", *(["file"] if "file" in headers.columns else [])]
     large = headers.filter(F.col("payload_bytes") >= least_bytes)
     first = large.groupBy("payload_digest", "payload_bytes").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "record_id")).alias("first"), F.count("*").alias("n")
     )
     first = first.filter("n > 1").select("payload_digest", "payload_bytes", F.col("first.record_id").alias("refers_to_record"))
     return (
-        large.select("record_id", "payload_digest", "payload_bytes")
+        large.select(*own, "payload_digest", "payload_bytes")
         .join(first, ["payload_digest", "payload_bytes"])
         .filter("record_id <> refers_to_record")
-        .select("record_id", "refers_to_record")
+        .select(*own, "refers_to_record")
     )
 
 
 def deduplicate(spark: SparkSession, folder: str, target: str, least_bytes: int = LEAST_BYTES) -> None:
     """Read the archives in ``folder`` and write them to ``target`` with revisits in place of repeated payloads."""
-    revisits = resolve(read(spark, folder), least_bytes)
-    found = read(spark, folder, payloads=True).drop("refers_to_record", "record_type")
-    write(found.join(revisits, "record_id", "left"), target)
+    files = _files(spark, folder)
+    headers = common.stored(_parsed(files).select("file", "page_id", "record_id", "payload_bytes", "payload_digest"), "headers")
+    # Answers go to the file that holds the record, one row of at most RECORDS_PER_FILE per file; no payload is shuffled.
+    answers = resolve(headers, least_bytes).groupBy("file").agg(F.collect_list(F.struct("record_id", "refers_to_record")).alias("answers"))
+    write(_parsed(files.join(answers, "file", "left"), payloads=True), target)
 
 
 def archived(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_BYTES) -> DataFrame:
