@@ -185,7 +185,7 @@ def digests(docs: DataFrame, tokenizer: str, text: str = "text", identifier: str
 def _encoded(docs, tokenizer, text, identifier, rows, schema):  # noqa: ANN001, ANN202
     groups = common.parts(docs, F.octet_length(F.col(text)) + 1, GROUP_BYTES)
     named = docs.select(
-        F.pmod(F.xxhash64(F.col(identifier)), F.lit(groups)).alias("part"), F.col(identifier).cast("long").alias("doc_id"), F.col(text).alias("text")
+        F.pmod(F.xxhash64(F.col(identifier), F.col(text)), F.lit(groups)).alias("part"), F.col(identifier).cast("long").alias("doc_id"), F.col(text).alias("text")
     )
 
     def list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

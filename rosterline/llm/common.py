@@ -94,10 +94,13 @@ def parts(df: DataFrame, size: Column, target: int) -> int:
 
 
 def grouped(docs: DataFrame, text: str, identifier: str) -> tuple[DataFrame, int]:
-    """part, doc_id, text (compressed) in hashed groups of about GROUP_BYTES, and how many groups there are."""
+    """part, doc_id, text (compressed) in hashed groups of about GROUP_BYTES, and how many groups there are.
+
+    The text is part of the hash, so that rows without an id, or with one and the same, don't share a group.
+    """
     groups = parts(docs, F.octet_length(F.col(text)) + 1, GROUP_BYTES)
     named = docs.select(
-        F.pmod(F.xxhash64(F.col(identifier)), F.lit(groups)).alias("part"), F.col(identifier).cast("long").alias("doc_id"), F.col(text).alias("text")
+        F.pmod(F.xxhash64(F.col(identifier), F.col(text)), F.lit(groups)).alias("part"), F.col(identifier).cast("long").alias("doc_id"), F.col(text).alias("text")
     )
     return named.mapInArrow(pack, "part long, doc_id long, text binary"), groups
 
