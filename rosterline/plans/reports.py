@@ -171,3 +171,49 @@ def provider_segment_totals(spark: SparkSession, d: str) -> DataFrame:
         (F.count(F.lit(1)) <= 6).alias("at_most_six"),
         (F.min("n") > 0).alias("none_empty"),
     )
+
+
+_ROUNDS, _SEGMENTS = 2, 6
+_UNITS = "CAST(floor(1000 * ({c} - avg_{c}) / sd_{c} + 0.5) AS BIGINT) AS {c}"
+_PLACE = "md5(CAST(provider_id AS VARCHAR))"
+
+
+def _round_sql(i: int) -> str:
+    """Assignment to the prototypes of round i - 1, and those of round i; a segment without rows keeps its own."""
+
+    def mode(column: str) -> str:
+        return f"""(SELECT segment, {column}, row_number() OVER (PARTITION BY segment ORDER BY count(*) DESC, {column} NULLS FIRST) AS rn
+            FROM near{i} GROUP BY 1, 2)"""
+
+    return f""", near{i} AS (SELECT * FROM (SELECT points.*, p.segment, row_number() OVER (PARTITION BY provider_id ORDER BY
+            (points.volume - p.volume) * (points.volume - p.volume) + (points.orders - p.orders) * (points.orders - p.orders)
+            + CASE WHEN points.specialty IS DISTINCT FROM p.specialty THEN 500000 ELSE 0 END
+            + CASE WHEN points.region IS DISTINCT FROM p.region THEN 500000 ELSE 0 END, p.segment) AS rn
+            FROM points, at{i - 1} AS p) WHERE rn = 1),
+        moved{i} AS (SELECT segment, a.specialty, b.region, m.volume, m.orders FROM (SELECT segment,
+            CAST(floor(CAST(sum(volume) AS DOUBLE) / count(*)) AS BIGINT) AS volume,
+            CAST(floor(CAST(sum(orders) AS DOUBLE) / count(*)) AS BIGINT) AS orders FROM near{i} GROUP BY 1) AS m
+            JOIN {mode("specialty")} AS a USING (segment) JOIN {mode("region")} AS b USING (segment)
+            WHERE a.rn = 1 AND b.rn = 1),
+        at{i} AS (SELECT * FROM moved{i} UNION ALL SELECT segment, specialty, region, volume, orders FROM at{i - 1}
+            WHERE segment NOT IN (SELECT segment FROM moved{i}))"""
+
+
+@plan(
+    s.sql(
+        "providers",
+        f""", points AS (SELECT provider_id, specialty, region, {_UNITS.format(c="volume")}, {_UNITS.format(c="orders")}
+            FROM providers, (SELECT avg(volume) AS avg_volume, stddev_pop(volume) AS sd_volume,
+            avg(orders) AS avg_orders, stddev_pop(orders) AS sd_orders FROM providers)),
+        tries AS (SELECT * FROM points ORDER BY {_PLACE} LIMIT {segments.TRIES * _SEGMENTS}),
+        at0 AS (SELECT row_number() OVER (ORDER BY place) - 1 AS segment, specialty, region, volume, orders FROM
+            (SELECT specialty, region, volume, orders, min({_PLACE}) AS place FROM tries GROUP BY 1, 2, 3, 4
+            ORDER BY place LIMIT {_SEGMENTS}))
+        {"".join(_round_sql(i) for i in range(1, _ROUNDS + 2))}
+        SELECT provider_id, segment FROM near{_ROUNDS + 1}""",
+    )
+)
+def provider_prototypes(spark: SparkSession, d: str) -> DataFrame:
+    """Segment of every provider after two rounds from the fixed start."""
+    found = segments.prototypes(s.providers(spark, d), "provider_id", ["specialty", "region"], ["volume", "orders"], _SEGMENTS, _ROUNDS)
+    return found.select("provider_id", "segment")

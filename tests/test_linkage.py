@@ -1,4 +1,7 @@
+import hashlib
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +157,50 @@ def test_segments_keep_every_provider(spark):
     assert segments.segment(wide, ["x"], ["volume"], k=3).count() == 5300
 
 
+def _plain_prototypes(rows, k, rounds, weight):
+    """The same rounds in loops over (key, category, number)."""
+    numbers = [x if x is not None and math.isfinite(x) else None for _, _, x in rows]
+    known = [x for x in numbers if x is not None]
+    mean = sum(known) / len(known)
+    deviation = (sum((x - mean) ** 2 for x in known) / len(known)) ** 0.5
+    unit = [0 if x is None or not deviation else math.floor(1000 * (x - mean) / deviation + 0.5) for x in numbers]
+    points = [(c, z) for (_, c, _), z in zip(rows, unit, strict=True)]
+    place = ["" if key is None else hashlib.md5(str(key).encode()).hexdigest() for key, _, _ in rows]
+    order = sorted(range(len(rows)), key=lambda i: (place[i], points[i][0] is not None, points[i][0] or "", points[i][1]))
+    now = list(dict.fromkeys(points[i] for i in order[: segments.TRIES * k]))[:k]
+    near = lambda p: min(range(len(now)), key=lambda s: ((p[1] - now[s][1]) ** 2 + weight * (p[0] != now[s][0]), s))
+    for _ in range(rounds):
+        held = [[p for p, s in zip(points, map(near, points), strict=True) if s == i] for i in range(len(now))]
+        modes = [Counter(c for c, _ in h) for h in held]
+        now = [
+            (min(m, key=lambda c: (-m[c], c is not None, c or "")), math.floor(sum(z for _, z in h) / len(h))) if h else old
+            for h, m, old in zip(held, modes, now, strict=True)
+        ]
+    return Counter((key, near(p)) for (key, _, _), p in zip(rows, points, strict=True))
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_prototypes_equal_plain_rounds(spark, rounds):
+    rows = [(i, "abcd"[i * i % 4], float(i * 37 % 101)) for i in range(400)]
+    rows += [(None, None, 5.0), (7, None, None), (7, "a", float("nan")), (8, "", float("inf")), (9, "z", 1e6)] * 2
+    df = spark.createDataFrame(rows, "key int, kind string, `a.b` double").withColumns({"c0": F.lit("x"), "z0": F.lit(1), "first": F.lit(2)})
+    expected = _plain_prototypes(rows, 5, rounds, 500_000)
+    for partitions in (1, 7):
+        found = segments.prototypes(df.repartition(partitions), "key", ["kind"], ["a.b"], 5, rounds)
+        assert found.columns == [*df.columns, "segment"]
+        assert Counter((r.key, r.segment) for r in found.collect()) == expected
+
+
+def test_prototypes_of_few_or_equal_rows(spark):
+    empty = spark.createDataFrame([], "key int, kind string, x double")
+    assert segments.prototypes(empty, "key", ["kind"], ["x"]).collect() == []
+    equal = spark.createDataFrame([(i, "a", 1.0) for i in range(20)], "key int, kind string, x double")
+    assert {r.segment for r in segments.prototypes(equal, "key", ["kind"], ["x"]).collect()} == {0}
+    assert {r.segment for r in segments.prototypes(equal, "key", [], ["x"]).collect()} == {0}
+    two = equal.withColumn("kind", F.when(F.col("key") % 2 == 0, "a").otherwise("b"))
+    assert len({(r.kind, r.segment) for r in segments.prototypes(two, "key", ["kind"], []).collect()}) == 2
+
+
 def test_names_are_listed_as_a_reader_sorts_them(spark):
     pairs = spark.createDataFrame(
         [(n, ("x", n)) for n in ("Zimmer", "adams", "Élan", "Baker")], "rec2 string, a struct<first_name: string, last_name: string>"
