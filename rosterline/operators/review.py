@@ -53,11 +53,13 @@ def open_flags(flags: DataFrame) -> DataFrame:
 def open_counts(flags: DataFrame, keys: list[str], groups: DataFrame | None = None) -> DataFrame:
     """Flags in total, resolved and still open per group; open never falls below zero.
 
-    ``groups`` has all values of ``keys``; one without flags has zeros.
+    ``groups`` has all values of ``keys``, null being one; one without flags has zeros.
     """
     counted = flags.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if("resolved").alias("resolved"))
     if groups is not None:
-        counted = groups.select(*keys).distinct().join(counted, keys, "left").fillna(0, ["total", "resolved"])
+        found = counted.select(*(F.col(k).alias(f"_{k}") for k in keys), "total", "resolved")
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        counted = groups.select(*keys).distinct().join(found, same, "left").fillna(0, ["total", "resolved"]).select(*keys, "total", "resolved")
     return (
         counted.withColumn("open", F.greatest(F.lit(0), F.col("total") - F.col("resolved")))
     )

@@ -76,6 +76,20 @@ def open_counts(spark: SparkSession, d: str) -> DataFrame:
     return review.open_counts(flags, ["category"])
 
 
+@plan(
+    s.sql(
+        DECIDED,
+        f"""SELECT n_name AS company_id, count(flag_id) AS total, {s.n_if("resolved")} AS resolved,
+        {s.n_if("NOT resolved")} AS open FROM nation LEFT JOIN (SELECT * FROM decided WHERE company_id <> 'CHINA')
+        ON company_id = n_name GROUP BY 1""",
+    )
+)
+def open_counts_by_company(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of every tenant; one of them has no flags."""
+    flags = decided_flags(spark, d).where("company_id <> 'CHINA'")
+    return review.open_counts(flags, ["company_id"], s.table(spark, d, "nation").select(F.col("n_name").alias("company_id")))
+
+
 @plan(
     s.sql(
         DECIDED,

@@ -204,3 +204,11 @@ def test_sorting_and_bands(spark):
     assert [r[0] for r in got.select(bands.score_label(F.col("x"))).collect()] == ["Poor", "Fair", "Good", "Excellent"]
     half = spark.createDataFrame([(2.5,), (-2.5,), (2.4999,)], "x double").select(bands.half_up(F.col("x")))
     assert [r[0] for r in half.collect()] == [3, -2, 2]
+
+
+def test_open_counts_of_groups_without_flags_and_without_name(spark):
+    flags = spark.createDataFrame([("a", True), ("a", False), (None, False), (None, None)], "company string, resolved boolean")
+    groups = spark.createDataFrame([("a",), ("b",), (None,), (None,)], "company string")
+    found = {r.company: (r.total, r.resolved, r.open) for r in review.open_counts(flags, ["company"], groups).collect()}
+    assert found == {"a": (2, 1, 1), "b": (0, 0, 0), None: (2, 0, 2)}
+    assert review.open_counts(flags, ["company"], groups).count() == 3
