@@ -7,6 +7,8 @@ from dataclasses import astuple, dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterline.operators.groups import with_all
+
 
 @dataclass(frozen=True)
 class Phrase:
@@ -68,7 +70,7 @@ def counts(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
 def campaign_gate(flags: DataFrame, by: list[str] | None = None, groups: DataFrame | None = None) -> DataFrame:
     """Whether campaign assets may be exported, with the reason if not.
 
-    ``groups`` has all values of ``by``; one without flags is available.
+    ``groups`` has all values of ``by``, null being one; one without flags is available.
     """
     n = F.col("high_open")
     reason = F.concat(
@@ -79,7 +81,7 @@ def campaign_gate(flags: DataFrame, by: list[str] | None = None, groups: DataFra
     )
     counted = counts(flags, by)
     if groups is not None:
-        counted = groups.select(*by).distinct().join(counted, by, "left").fillna(0, ["high_open"]).fillna({"all_high_resolved": True})
+        counted = with_all(counted, groups, by).fillna(0, ["high_open"]).fillna({"all_high_resolved": True})
     return counted.select(
         *(by or []), F.col("all_high_resolved").alias("available"), F.when(n > 0, reason).alias("block_reason")
     )

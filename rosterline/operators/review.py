@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.validators import normalize
+from rosterline.operators.groups import with_all
 
 # Fixed value: shortest justification that makes an override of a provider number count, and the category of these.
 MIN_JUSTIFICATION = 15
@@ -57,9 +58,7 @@ def open_counts(flags: DataFrame, keys: list[str], groups: DataFrame | None = No
     """
     counted = flags.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if("resolved").alias("resolved"))
     if groups is not None:
-        found = counted.select(*(F.col(k).alias(f"_{k}") for k in keys), "total", "resolved")
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        counted = groups.select(*keys).distinct().join(found, same, "left").fillna(0, ["total", "resolved"]).select(*keys, "total", "resolved")
+        counted = with_all(counted, groups, keys).fillna(0, ["total", "resolved"])
     return (
         counted.withColumn("open", F.greatest(F.lit(0), F.col("total") - F.col("resolved")))
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rosterline.operators.groups import with_all
+
 CONSENT = "has_opted_in"
 
 # Columns of the clean list.
@@ -124,7 +126,7 @@ def clean_list_summary(tagged: DataFrame, role: str, by: list[str] | None = None
 def gate(flags: DataFrame, by: list[str] | None = None, groups: DataFrame | None = None) -> DataFrame:
     """Whether the clean list may be exported: no open High provider-number error.
 
-    ``groups`` has all values of ``by``; one without flags is available.
+    ``groups`` has all values of ``by``, null being one; one without flags is available.
     """
     by = by or []
     is_open = ~F.coalesce("resolved", F.lit(False))
@@ -137,7 +139,7 @@ def gate(flags: DataFrame, by: list[str] | None = None, groups: DataFrame | None
     )
     counted = flags.groupBy(*by).agg(F.count_if(serious).alias("open_high"))
     if groups is not None:
-        counted = groups.select(*by).distinct().join(counted, by, "left").fillna(0, ["open_high"])
+        counted = with_all(counted, groups, by).fillna(0, ["open_high"])
     return (
         counted.select(*by, "open_high", (n == 0).alias("available"), F.when(n > 0, reason).alias("block_reason"))
     )

@@ -212,3 +212,11 @@ def test_open_counts_of_groups_without_flags_and_without_name(spark):
     found = {r.company: (r.total, r.resolved, r.open) for r in review.open_counts(flags, ["company"], groups).collect()}
     assert found == {"a": (2, 1, 1), "b": (0, 0, 0), None: (2, 0, 2)}
     assert review.open_counts(flags, ["company"], groups).count() == 3
+
+
+def test_gates_stay_closed_for_a_group_without_name(spark):
+    flags = spark.createDataFrame([("a", True), (None, False)], "company string, resolved boolean").selectExpr(
+        "*", "'NPI_Validation' AS category", "'High' AS severity", "if(resolved, 'accepted', 'open') AS status")
+    groups = spark.createDataFrame([("a",), ("b",), (None,)], "company string")
+    for gate in (exports.gate, compliance.campaign_gate):
+        assert {r.company: r.available for r in gate(flags, ["company"], groups).collect()} == {"a": True, "b": True, None: False}
