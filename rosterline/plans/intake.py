@@ -101,7 +101,10 @@ def file_listing(spark: SparkSession, d: str) -> DataFrame:
     for kind, some in (("csv", F.lit(True)), ("text", F.col("n_nationkey") % 5 == 0)):
         value = F.when((F.col("n_nationkey") % 2 == 0) | F.lit(kind == "text"), F.col("value")).otherwise("-")
         rows = nations.where(some).select("folder", value.alias("value"))
-        rows.repartition("folder").write.mode("append").partitionBy("folder").format(kind).save(path)
+        # A number of tasks, or the few bytes are coalesced into one task that makes all the files; each task moves its own into place.
+        dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder")
+        by_tasks = dealt.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        by_tasks.partitionBy("folder").format(kind).save(path)
     found = csv_scan.admission(csv_scan.list_files(spark, path))
     folder = F.regexp_extract("path", "folder=([^/]+)/", 1)
     return found.select(folder.alias("folder"), t.extension(F.col("path")).alias("extension"), "verdict", (F.col("length") > 20).alias("has_rows"))

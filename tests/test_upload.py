@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterline.operators import outliers
+from rosterline.plans import intake
 from rosterline.sources import csv_check, csv_rows, upload
 
 
@@ -96,3 +97,17 @@ def test_percentiles_are_exact(spark, partitions, accuracy):
         assert {r.g: r.percentile for r in outliers.group_percentile(df, "g", "v", q, accuracy).collect()} == want
     stats = {r.g: (r.group_size, r.group_p99) for r in outliers.group_statistics(df, "g", "v", accuracy).collect()}
     assert stats["hot"][0] == 4000 and stats["one"] == (1, 5.0) and stats["none"] == (0, None) and stats[None] == (1, None)
+
+
+def test_listed_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/listing"
+    monkeypatch.setattr(intake, "scratch", lambda spark, label: path)
+    spark.createDataFrame([(k, f"N{k}") for k in range(6)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    customers = spark.range(0, 60_000, 250).selectExpr("id AS c_custkey", "CAST(id DIV 250 % 6 AS INT) AS c_nationkey")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    listed = intake.file_listing(spark, str(tmp_path)).collect()
+    assert len(listed) == customers.selectExpr("c_nationkey", "c_custkey DIV 1000").distinct().count() + len([r for r in listed if r.extension == "txt"])
+    assert {r.folder for r in listed if r.extension == "txt"} == {r.folder for r in listed if r.folder.startswith(("N0-", "N5-"))}
+    for kind in ("csv", "txt"):
+        tasks = {f.name.split("-")[1] for f in (tmp_path / "listing").rglob(f"part-*.{kind}")}
+        assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
