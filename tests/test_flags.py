@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from rosterline.operators import flags, linkage
+from rosterline.operators import flags, linkage, outliers
+from rosterline.plans import detection
 
 RECORDS = "company_id string, record_id long, npi string, specialty string, volume double, email string, home string, note string, expires date"
 
@@ -61,3 +62,42 @@ def test_release_holds_nothing_removed_and_nothing_to_be_hidden(spark, records):
     assert (out[2].dq_flag, out[2].dq_note, out[3].dq_flag) == ("[DATA QUALITY WARNING]", "No note provided", "")
     alone = flags.release(records.where("record_id = 1"), decided, pairs.limit(0), ["note"]).first()
     assert alone.note == records.where("record_id = 1").select(F.sha2("note", 256)).first()[0]
+
+
+def test_flags_are_detected_once_and_decided_by_the_latest_accepted_decision(spark, tmp_path, monkeypatch):
+    names = ["npi_validation:npi", "PII:address/Home Address", "outliers:email", "duplicates:npi"]
+    data = [("C", f"{n}:{r}", n.split(":")[0], r, "f", "t", "High", None, "why", False) for n in names for r in (7, 8)]
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        runs.add(1)
+        return row
+
+    schema = """company_id string, flag_id string, category string, record_id long, field string, issue_type string,
+        severity string, score double, reason string, resolved boolean"""
+    found = spark.createDataFrame(spark.sparkContext.parallelize(data, 2).map(seen), schema)
+    monkeypatch.setattr(detection, "_detected", lambda spark, d: found)
+    lines = [  # the line number tells the flag, the quantity and the others the action
+        (7, 4, 40.0, 0.0, 0.01, "A", 2),  # an override that lacks its justification
+        (7, 8, 10.0, 0.0, 0.01, "A", 1),
+        (7, 1, 10.0, 0.0, 0.01, "A", 1),
+        (7, 1, 10.0, 0.08, 0.01, "A", 2),
+        (7, 2, 50.0, 0.0, 0.01, "A", 1),
+        (9, 1, 10.0, 0.0, 0.01, "A", 1),  # no such flag
+    ]
+    columns = "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, day int"
+    log = spark.createDataFrame(lines, columns).selectExpr("*", "TIMESTAMP '2026-01-01' + make_dt_interval(day) AS l_shipdate")
+    log.write.parquet(f"{tmp_path}/lineitem.parquet")
+    decided = detection._reviewed(spark, str(tmp_path))
+    assert runs.value == len(data)
+    assert set(decided.columns) | {"resolved"} == {*found.columns, "ts", "seq", "action", "justification", "note", "master"}
+    actions = {r.flag_id: (r.action, r.resolved) for r in decided.collect()}
+    expected = {f"{n}:{r}": (None, False) for n in names for r in (7, 8)}
+    expected |= {f"{names[0]}:7": ("removed", True), f"{names[1]}:7": ("anonymized", True)}
+    assert actions == expected
+
+
+def test_states_in_odd_spellings(spark):
+    rows = [(1, s) for s in ("AB", " ab ", "ab", "ZZ", "zz", "A", "", "A1", "ABC", "1A", None)] + [(2, s) for s in ("AA", "ZZ", "CD")]
+    found = outliers.spread(spark.createDataFrame(rows, "id int, state string"), ["id"], "state", 0)
+    assert {r["id"]: r.states for r in found.collect()} == {1: 2, 2: 3}
